@@ -1,0 +1 @@
+"""Intentionally empty: every operator of this library is a batch operator."""
