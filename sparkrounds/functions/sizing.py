@@ -33,7 +33,7 @@ def lookup(
     out: str,
     *,
     table_rows: int,
-    big_rows: int,
+    big_rows: int | None = None,
     spread: list[str],
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -48,7 +48,8 @@ def lookup(
     if table_rows <= limit:
         joined = big.join(F.broadcast(small), F.col(key) == F.col("lk"), "left")
         return joined.withColumn(out, F.col("lv")).drop("lk", "lv")
-    hot = F.broadcast(heavy_keys(big, key, big_rows))
+    total = big.count() if big_rows is None else big_rows
+    hot = F.broadcast(heavy_keys(big, key, total))
     hot_values = small.join(hot, F.col("lk") == F.col("hot_key"), "left_semi")
     hot_values = hot_values.select(F.col("lk").alias("hk"), F.col("lv").alias("hv"))
     salted = big.join(F.broadcast(hot_values), F.col(key) == F.col("hk"), "left").withColumn(

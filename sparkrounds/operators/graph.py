@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.checks import require
-from sparkrounds.functions.sizing import BROADCAST_ROWS
+from sparkrounds.functions.sizing import BROADCAST_ROWS, lookup
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -76,12 +76,12 @@ def remove_edges(
 def edge_length(edges: DataFrame, coords: DataFrame) -> DataFrame:
     """Weight every edge by the Euclidean distance of its end points' coordinates."""
     require(coords, "id", "x", "y", what="coords")
-    a = coords.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = coords.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return (
-        edges.select("src", "dst")
-        .join(a, "src")
-        .join(b, "dst")
-        .select("src", "dst", F.sqrt(dx * dx + dy * dy).alias("w"))
+    places = coords.select(F.col("id").alias("k"), F.struct("x", "y").alias("v"))
+    rows = coords.count()
+    ends = edges.select("src", "dst")
+    for end, place in (("src", "p"), ("dst", "q")):
+        ends = lookup(ends, end, places, place, table_rows=rows, spread=["src", "dst"])
+    dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
+    return ends.filter("p IS NOT NULL AND q IS NOT NULL").select(
+        "src", "dst", F.sqrt(dx * dx + dy * dy).alias("w")
     )
