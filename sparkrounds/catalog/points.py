@@ -1 +1,311 @@
+"""Point queries: coresets, seeding, k-means and its measures."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkrounds.catalog.bindings import (
+    EMBEDDING_POINTS,
+    EVENT_CENTERS,
+    EVENT_POINTS,
+    LABEL_CENTERS,
+    embedding_points,
+    event_centers,
+    event_points,
+    label_centers,
+    sql_hash32,
+    sql_md5,
+    sql_uniform,
+    table,
+)
+from sparkrounds.catalog.registry import query
+from sparkrounds.operators import coreset, kmeans, seeding
+from sparkrounds.plans.lineage import materialize
+
+# Shared CTEs: distances, cost, ring parameters and ring assignment in plain SQL.
+_GIVEN = f"WITH {EVENT_POINTS}, {EVENT_CENTERS}"
+_DIST = """dist AS (SELECT id, x, y, w, c, cx, cy,
+  sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM pts, centers)"""
+_COST = """cost AS (SELECT count(*) AS n, sum(w * s) / (SELECT count(*) FROM centers) AS cost
+  FROM (SELECT id, any_value(w) AS w, sqrt(sum(d * d)) AS s FROM dist GROUP BY id))"""
+_PARAMS = """params AS (SELECT n, cost,
+  CASE WHEN 0.5 * ln(n) > 1 THEN ceil(ln(n) * ln(0.5 * ln(n)))::INTEGER ELSE 0 END AS levels,
+  CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END AS r FROM cost)"""
+_SET_UP = f"{_GIVEN}, {_DIST}, {_COST}, {_PARAMS}"
+
+
+def _rings(schedule: str) -> str:
+    """CTEs ending in ``assigned(id, x, y, w, level, c, cx, cy, hi)`` by a join on rings."""
+    if schedule == "two_ring":
+        rings = """SELECT * FROM (SELECT 0 AS level, 0.0::DOUBLE AS lo, r AS hi FROM params
+          UNION ALL SELECT 1, r, 2 * r FROM params) WHERE level < (SELECT levels FROM params)"""
+    else:
+        rings = """SELECT level::INTEGER AS level, CASE WHEN level = 0 THEN 0.0::DOUBLE
+          ELSE r * pow(2.0, level - 1) END AS lo, r * pow(2.0, level) AS hi
+          FROM params, (SELECT unnest(generate_series(0, 99)) AS level) WHERE level < levels"""
+    return f"""rings AS ({rings}),
+    hits AS (SELECT id, c, cx, cy, level, hi, row_number() OVER (PARTITION BY id ORDER BY level, c) AS nr
+      FROM dist JOIN rings ON d > lo AND d < hi),
+    assigned AS (SELECT p.id, p.x, p.y, p.w, h.level, h.c, h.cx, h.cy, h.hi
+      FROM pts p LEFT JOIN (SELECT * FROM hits WHERE nr = 1) h ON p.id = h.id)"""
+
+
+_CELLS = """celled AS (SELECT *, floor((x - (cx - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gx,
+  floor((y - (cy - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gy
+  FROM (SELECT *, 0.25::DOUBLE * hi / sqrt(2.0::DOUBLE) AS side FROM assigned))"""
+_GRID = f"""{_CELLS}, grid AS (
+  SELECT id, x, y, weight AS w FROM (SELECT id, x, y, sum(w) OVER cell AS weight,
+      row_number() OVER (PARTITION BY level, c, gx, gy ORDER BY {sql_md5(0, 'id')}, id) AS nr
+    FROM celled WHERE level IS NOT NULL WINDOW cell AS (PARTITION BY level, c, gx, gy)) WHERE nr = 1
+  UNION ALL SELECT id, x, y, w FROM assigned WHERE level IS NULL)"""
+
+
+def _annulus(size: str) -> str:
+    return f"""annulus AS (
+  SELECT id, x, y, ring_w / least({size}, ring_n) AS w FROM (SELECT id, x, y,
+      sum(w) OVER ring AS ring_w, count(*) OVER ring AS ring_n,
+      row_number() OVER (PARTITION BY level, c ORDER BY {sql_md5(0, 'id')}, id) AS nr
+    FROM assigned WHERE level IS NOT NULL WINDOW ring AS (PARTITION BY level, c))
+  WHERE nr <= {size}
+  UNION ALL SELECT id, x, y, w FROM assigned WHERE level IS NULL)"""
+
+
+@query(
+    "unit_weight",
+    "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 1.0::DOUBLE AS w FROM embeddings",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.unit_weight(embedding_points(spark, sf).drop("w", "label"))
+
+
+@query("label_count", "SELECT count(DISTINCT label) AS k FROM embeddings")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.label_count(embedding_points(spark, sf))
+
+
+@query(
+    "partition_points",
+    f'SELECT event_id AS id, ({sql_hash32(0, "event_id")} % 8)::INTEGER AS "set" FROM events',
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.partition_points(event_points(spark, sf), 8).select("id", "set")
+
+
+@query("center_distance", f"{_GIVEN}, {_DIST} SELECT id, c, round(d, 6) AS dist FROM dist")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    far = coreset.center_distance(event_points(spark, sf), event_centers(spark, sf))
+    return far.withColumn("dist", F.round("dist", 6))
+
+
+@query("coreset_cost", f"{_GIVEN}, {_DIST}, {_COST} SELECT n, round(cost, 4) AS cost FROM cost")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    cost = coreset.coreset_cost(event_points(spark, sf), event_centers(spark, sf))
+    return cost.select("n", F.round("cost", 4).alias("cost"))
+
+
+@query(
+    "ring_params",
+    f"{_SET_UP} SELECT n, round(cost, 4) AS cost, levels, round(r, 9) AS r FROM params",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    params = coreset.ring_params(event_points(spark, sf), event_centers(spark, sf))
+    return params.select("n", F.round("cost", 4).alias("cost"), "levels", F.round("r", 9).alias("r"))
+
+
+def _assigned(spark: SparkSession, sf: str, schedule: str) -> DataFrame:
+    points, centers = event_points(spark, sf), event_centers(spark, sf)
+    params = coreset.ring_params(points, centers)
+    return coreset.ring_assign(points, centers, params, schedule=schedule)
+
+
+@query("ring_assign", f"{_SET_UP}, {_rings('two_ring')} SELECT id, level, c FROM assigned")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf, "two_ring").select("id", "level", "c")
+
+
+@query(
+    "ring_assign_geometric", f"{_SET_UP}, {_rings('geometric')} SELECT id, level, c FROM assigned"
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf, "geometric").select("id", "level", "c")
+
+
+@query(
+    "grid_cell",
+    f"{_SET_UP}, {_rings('geometric')}, {_CELLS} SELECT id, level, c, gx, gy FROM celled",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.grid_cell(_assigned(spark, sf, "geometric")).select("id", "level", "c", "gx", "gy")
+
+
+@query(
+    "grid_coreset",
+    f"{_SET_UP}, {_rings('geometric')}, {_GRID} SELECT id, x, y, w FROM grid",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.grid_coreset(_assigned(spark, sf, "geometric")).drop("set")
+
+
+@query(
+    "annulus_coreset",
+    f"{_SET_UP}, {_rings('geometric')}, {_annulus('100')} SELECT id, x, y, round(w, 6) AS w FROM annulus",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    stored = materialize(_assigned(spark, sf, "geometric"), "assigned")
+    kept = coreset.annulus_coreset(stored, 100)
+    return kept.drop("set").withColumn("w", F.round("w", 6))
+
+
+@query(
+    "coreset_once",
+    f"{_SET_UP}, {_rings('two_ring')}, {_GRID} SELECT id, x, y, w FROM grid",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.coreset_once(
+        event_points(spark, sf), event_centers(spark, sf), sampling="grid", schedule="two_ring"
+    ).drop("set")
+
+
+@query(
+    "coreset_once_annulus",
+    f"""{_SET_UP}, {_rings('two_ring')}, {_annulus('50')}
+    SELECT id, x, y, round(w, 6) AS w FROM annulus""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    kept = coreset.coreset_once(
+        event_points(spark, sf), event_centers(spark, sf),
+        sampling="annulus", sample_size=50, schedule="two_ring",
+    )
+    return kept.drop("set").withColumn("w", F.round("w", 6))
+
+
+def _seeds_sql(k: int, sets: int) -> str:
+    """k-means++ passes unrolled: seed ``i`` of every set from the seeds before it."""
+    parts = [
+        EVENT_POINTS,
+        f'dealt AS (SELECT *, ({sql_hash32(0, "id")} % {sets})::INTEGER AS "set" FROM pts)',
+        f"""s0 AS (SELECT "set", 0 AS c, id, x, y FROM (SELECT *, row_number() OVER
+          (PARTITION BY "set" ORDER BY {sql_md5('0:0', 'id')}, id) AS nr FROM dealt) WHERE nr = 1)""",
+    ]
+    for i in range(1, k):
+        seen = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(i))
+        parts.append(
+            f"""s{i} AS (SELECT "set", {i} AS c, id, x, y FROM (SELECT *, row_number() OVER
+              (PARTITION BY "set" ORDER BY -ln({sql_uniform(f'0:{i}', 'id')}) / d2, id) AS nr FROM
+              (SELECT d."set", d.id, any_value(d.x) AS x, any_value(d.y) AS y,
+                 min((d.x - s.x) * (d.x - s.x) + (d.y - s.y) * (d.y - s.y)) AS d2
+               FROM dealt d JOIN ({seen}) s ON d."set" = s."set" GROUP BY d."set", d.id) WHERE d2 > 0)
+              WHERE nr = 1)"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(k))
+    return "WITH " + ", ".join(parts) + f' SELECT "set", c, x AS cx, y AS cy, id FROM ({every})'
+
+
+@query("kmeanspp_seed", _seeds_sql(4, 8))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    points = materialize(coreset.partition_points(event_points(spark, sf), 8), "points")
+    return seeding.kmeanspp_seed(points, 4, seed=0)
+
+
+@query("coreset_merge_reduce")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.coreset_merge_reduce(event_points(spark, sf), 5, sets=8)
+
+
+@query("coreset_merge_reduce_annulus")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return coreset.coreset_merge_reduce(
+        event_points(spark, sf), 5, sets=8, sampling="annulus", sample_size=100
+    )
+
+
+@query("coreset_merge_weight", "SELECT count(*)::DOUBLE AS total_weight FROM events")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    reduced = coreset.coreset_merge_reduce(
+        event_points(spark, sf), 5, sets=8, schedule="two_ring"
+    )
+    return reduced.agg(F.round(F.sum("w"), 3).alias("total_weight"))
+
+
+@query("kmeans_fit")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return kmeans.kmeans_fit(event_points(spark, sf), 5, seed=100)
+
+
+@query(
+    "nearest_center",
+    f"""{_GIVEN}, {_DIST} SELECT id, c, round(d, 6) AS d FROM (SELECT *, row_number() OVER
+    (PARTITION BY id ORDER BY d, c) AS nr FROM dist) WHERE nr = 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    near = kmeans.nearest_center(event_points(spark, sf), event_centers(spark, sf))
+    return near.select("id", "c", F.round(F.sqrt("d2"), 6).alias("d"))
+
+
+@query(
+    "lloyd_step",
+    f"""{_GIVEN}, {_DIST} SELECT c, round(sum(x * w) / sum(w), 6) AS cx,
+    round(sum(y * w) / sum(w), 6) AS cy, sum(w) AS w FROM (SELECT *, row_number() OVER
+    (PARTITION BY id ORDER BY d, c) AS nr FROM dist) WHERE nr = 1 GROUP BY c""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    step = kmeans.lloyd_step(event_points(spark, sf), event_centers(spark, sf))
+    return step.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+
+
+_LABELS = f"WITH {EMBEDDING_POINTS}, {LABEL_CENTERS}"
+_OTHER = """others AS (SELECT label AS c, round(avg(embedding[3]::DOUBLE), 6) AS ox,
+  round(avg(embedding[4]::DOUBLE), 6) AS oy FROM embeddings GROUP BY 1)"""
+
+
+def _other_centers(spark: SparkSession, sf: str) -> DataFrame:
+    moved = table(spark, sf, "embeddings").select(
+        "label",
+        F.get("embedding", F.lit(2)).cast("double").alias("x"),
+        F.get("embedding", F.lit(3)).cast("double").alias("y"),
+    )
+    return label_centers(moved)
+
+
+@query(
+    "kmeans_sse",
+    f"""{_LABELS} SELECT round(sum(w * ((x - cx) * (x - cx) + (y - cy) * (y - cy))), 6) AS sse
+    FROM pts JOIN centers ON label = c""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    points = embedding_points(spark, sf)
+    return kmeans.kmeans_sse(points, label_centers(points)).select(F.round("sse", 6).alias("sse"))
+
+
+@query(
+    "centroid_pairwise_avg",
+    f"""{_LABELS}, {_OTHER} SELECT round(sum(sqrt((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy)))
+    / (SELECT count(*) FROM centers), 6) AS avg_quality FROM centers, others""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    left = label_centers(embedding_points(spark, sf))
+    quality = kmeans.centroid_pairwise_avg(left, _other_centers(spark, sf))
+    return quality.select(F.round("avg_quality", 6).alias("avg_quality"))
+
+
+@query(
+    "centroid_norm",
+    f"""{_LABELS}, {_OTHER} SELECT round(sqrt(sum((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy))), 6)
+    AS norm_quality FROM centers JOIN others ON centers.c = others.c""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    left = label_centers(embedding_points(spark, sf))
+    quality = kmeans.centroid_norm(left, _other_centers(spark, sf))
+    return quality.select(F.round("norm_quality", 6).alias("norm_quality"))
+
+
+@query(
+    "sample_sizes",
+    """SELECT fraction, round(n * fraction, 6) AS exact_size, ceil(n * fraction)::BIGINT AS used_size
+    FROM (SELECT count(*) AS n FROM events), (SELECT unnest([0.001::DOUBLE, 0.01, 0.1]) AS fraction)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
+    sizes = n.select(F.inline(coreset.sample_sizes(F.col("n"))))
+    return sizes.withColumn("exact_size", F.round("exact_size", 6))

@@ -38,7 +38,7 @@ def compare(spark, connection, query, sql: str, sf_dir: str) -> str | None:
         return f"columns {got_columns} != {want_columns}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
-    different = [(g, w) for g, w in zip(got, want) if g != w or
+    different = [(g, w) for g, w in zip(got, want) if repr(g) != repr(w) or
                  [type(v) for v in g if v is not None] != [type(v) for v in w if v is not None]]
     return f"{len(different)} rows differ, first {different[0]}" if different else None
 
