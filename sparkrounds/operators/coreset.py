@@ -214,18 +214,19 @@ def grid_cell(assigned: DataFrame, *, eps: float = 0.25) -> DataFrame:
 
 
 def grid_coreset(assigned: DataFrame, *, eps: float = 0.25, seed: int = 0) -> DataFrame:
-    """One seeded random point per non-empty cell, carrying the cell's weight."""
+    """One seeded random point per non-empty cell, carrying the cell's weight.
+
+    One pass: a left-over point is a cell of its own, keyed by its id, so the
+    ring assignment is evaluated once per point.
+    """
     celled = grid_cell(assigned, eps=eps)
-    picked = (
-        celled.filter("level IS NOT NULL")
-        .groupBy("set", "level", "c", "gx", "gy")
-        .agg(
-            F.min_by(F.struct("id", "x", "y"), F.struct(order_key(seed, "id"), "id")).alias("p"),
-            F.sum("w").alias("w"),
-        )
+    alone = F.when(F.col("level").isNull(), F.col("id"))
+    order = F.struct(order_key(seed, "id").alias("h"), "id")
+    return (
+        celled.groupBy("set", "level", "c", "gx", "gy", alone.alias("alone"))
+        .agg(F.min_by(F.struct("id", "x", "y"), order).alias("p"), F.sum("w").alias("w"))
         .select("p.id", "p.x", "p.y", "w", "set")
     )
-    return picked.unionByName(_leftover(assigned))
 
 
 def annulus_coreset(
