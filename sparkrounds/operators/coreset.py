@@ -66,21 +66,19 @@ class CenterSets:
     def attach(self, points: DataFrame) -> DataFrame:
         return points.join(F.broadcast(self.table), "set")
 
-    def each(self, fn: Callable[[Column], Column]) -> Column:
-        """Array of ``fn(center)`` over the row's centers."""
+    def each(self, fn: Callable[[str], str]) -> Column:
+        """Array of ``fn(center)`` over the row's centers; ``fn`` maps SQL text to SQL text."""
         if self.k <= UNROLL:
-            return F.array(*[fn(F.get("centers", F.lit(i))) for i in range(self.k)])
-        return F.transform("centers", fn)
+            cells = ", ".join(fn(f"get(centers, {i})") for i in range(self.k))
+            return F.expr(f"array({cells})")
+        return F.expr(f"transform(centers, center -> {fn('center')})")
 
-    def total(self, fn: Callable[[Column], Column]) -> Column:
+    def total(self, fn: Callable[[str], str]) -> Column:
         """Sum of ``fn(center)`` over the row's centers."""
         if self.k <= UNROLL:
-            terms = [F.coalesce(fn(F.get("centers", F.lit(i))), F.lit(0.0)) for i in range(self.k)]
-            out = terms[0]
-            for term in terms[1:]:
-                out = out + term
-            return out
-        return F.aggregate("centers", F.lit(0.0), lambda acc, c: acc + fn(c))
+            terms = (f"coalesce({fn(f'get(centers, {i})')}, 0D)" for i in range(self.k))
+            return F.expr(" + ".join(terms))
+        return F.expr(f"aggregate(centers, 0D, (acc, center) -> acc + {fn('center')})")
 
 
 def _with_set(points: DataFrame) -> DataFrame:
@@ -88,15 +86,18 @@ def _with_set(points: DataFrame) -> DataFrame:
     return points if "set" in points.columns else points.withColumn("set", F.lit(0))
 
 
-def _d2(center: Column) -> Column:
-    dx, dy = F.col("x") - center["cx"], F.col("y") - center["cy"]
-    return dx * dx + dy * dy
+def squared_distance(center: str, x: str = "x", y: str = "y") -> str:
+    """SQL text: squared distance of a place to a center."""
+    dx, dy = f"({x} - {center}.cx)", f"({y} - {center}.cy)"
+    return f"({dx} * {dx} + {dy} * {dy})"
 
 
 def center_distance(points: DataFrame, centers: DataFrame) -> DataFrame:
     """``(id, c, dist)``: distance of every point to every center of its set."""
     sets = CenterSets(centers)
-    far = sets.each(lambda c: F.struct(c["c"].alias("c"), F.sqrt(_d2(c)).alias("dist")))
+    far = sets.each(
+        lambda c: f"named_struct('c', {c}.c, 'dist', sqrt({squared_distance(c)}))"
+    )
     rows = sets.attach(_with_set(points)).select("id", F.inline(far))
     return rows.filter("c IS NOT NULL")
 
@@ -108,7 +109,7 @@ def coreset_cost(points: DataFrame, centers: DataFrame | CenterSets) -> DataFram
     distances to all centers, divided by the number of centers.
     """
     sets = centers if isinstance(centers, CenterSets) else CenterSets(centers)
-    spread = F.sqrt(sets.total(_d2))
+    spread = F.sqrt(sets.total(squared_distance))
     return (
         sets.attach(_with_set(points))
         .groupBy("set")
@@ -155,48 +156,36 @@ def ring_assign(
     rings = F.broadcast(params.select("set", "levels", "r"))
     rows = sets.attach(_with_set(points)).join(rings, "set")
     # Staged columns: each is computed once per row and read by the next.
-    rows = rows.withColumn("dists", sets.each(lambda c: F.sqrt(_d2(c))))
-    rows = rows.withColumn("rings", _ring_levels(schedule))
+    rows = rows.withColumn("dists", sets.each(lambda c: f"sqrt({squared_distance(c)})"))
+    rows = rows.withColumn("rings", F.expr(_RINGS[schedule]))
     rows = rows.withColumn("level", F.array_min("rings"))
     # Centers are in order of c, so the first one at that level is the smallest.
-    at = F.get("centers", F.array_position("rings", F.col("level")).cast("int") - 1)
-    rows = rows.withColumn("at", at)
-    hi = F.col("r") * F.pow(F.lit(2.0), F.col("level"))
-    return rows.select(
+    at = F.expr("get(centers, int(array_position(rings, level)) - 1)")
+    return rows.withColumn("at", at).selectExpr(
         *POINT,
         "set",
         "level",
-        F.col("at.c").alias("c"),
-        F.when(F.col("level").isNotNull(), hi).alias("hi"),
-        F.col("at.cx").alias("cx"),
-        F.col("at.cy").alias("cy"),
+        "at.c AS c",
+        "CASE WHEN level IS NOT NULL THEN r * pow(2D, level) END AS hi",
+        "at.cx AS cx",
+        "at.cy AS cy",
     )
 
 
-def _ring_levels(schedule: str) -> Column:
-    """Per center the level of its ring that holds the point, or null."""
-    r, levels = F.col("r"), F.col("levels")
-    if schedule == "two_ring":
-        def ring(d: Column) -> Column:
-            return F.when((d > 0) & (d < r), 0).when((d > r) & (d < r * 2), 1)
-
-        found = F.transform("dists", ring)
-    else:
-        # log2 may miss by one next to a power of two, and a point on a boundary
-        # is in no ring, so the estimate is checked against the exact radii.
-        def estimate(d: Column) -> Column:
-            return F.greatest(F.lit(0.0), F.ceil(F.log2(d / F.nullif(r, F.lit(0.0)))).cast("double"))
-
-        def settle(d: Column, i: Column) -> Column:
-            hi = r * F.pow(F.lit(2.0), i)
-            return (
-                F.when((i > 0) & (d < hi / 2), i - 1)
-                .when(d > hi, i + 1)
-                .when((d > 0) & (d < hi) & ((i == 0) | (d > hi / 2)), i)
-            )
-
-        found = F.zip_with("dists", F.transform("dists", estimate), settle)
-    return F.transform(found, lambda i: F.when(i < levels, i.cast("int")))
+# Per center the level of its ring that holds the point, or null.  log2 may miss
+# by one next to a power of two, and a point on a boundary is in no ring, so the
+# estimate is checked against the exact radii.
+_ESTIMATE = "greatest(0D, double(ceil(log2(d / nullif(r, 0D)))))"
+_SETTLE = """CASE WHEN i > 0 AND d < r * pow(2D, i) / 2 THEN i - 1
+  WHEN d > r * pow(2D, i) THEN i + 1
+  WHEN d > 0 AND d < r * pow(2D, i) AND (i = 0 OR d > r * pow(2D, i) / 2) THEN i END"""
+_RINGS = {
+    "two_ring": """transform(dists, d -> CASE WHEN d > 0 AND d < r AND levels > 0 THEN 0
+      WHEN d > r AND d < r * 2 AND levels > 1 THEN 1 END)""",
+    "geometric": f"""transform(
+      zip_with(dists, transform(dists, d -> {_ESTIMATE}), (d, i) -> {_SETTLE}),
+      i -> CASE WHEN i < levels THEN int(i) END)""",
+}
 
 
 def grid_cell(assigned: DataFrame, *, eps: float = 0.25) -> DataFrame:
@@ -204,13 +193,13 @@ def grid_cell(assigned: DataFrame, *, eps: float = 0.25) -> DataFrame:
 
     Cells have side ``eps * hi / sqrt(2)`` and the grid is centered on the center.
     """
-    side = F.lit(eps) * F.col("hi") / F.sqrt(F.lit(2.0))
-    width = side * F.ceil(F.col("hi") * 2 / side)
+    side = f"({float(eps)!r}D * hi / sqrt(2D))"
+    width = f"({side} * ceil(hi * 2 / {side}))"
 
-    def cell(v: str, center: str) -> Column:
-        return F.floor((F.col(v) - (F.col(center) - width / 2)) / side).cast("int")
+    def cell(v: str) -> Column:
+        return F.expr(f"int(floor(({v} - (c{v} - {width} / 2)) / {side}))")
 
-    return assigned.withColumns({"gx": cell("x", "cx"), "gy": cell("y", "cy")})
+    return assigned.withColumns({"gx": cell("x"), "gy": cell("y")})
 
 
 def grid_coreset(assigned: DataFrame, *, eps: float = 0.25, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.checks import require
-from sparkrounds.operators.coreset import CenterSets, _d2, _with_set
+from sparkrounds.operators.coreset import CenterSets, _with_set, squared_distance
 from sparkrounds.schemas import CENTERS
 
 
@@ -29,9 +29,12 @@ def kmeans_fit(points: DataFrame, k: int, *, seed: int = 0, max_iter: int = 50)
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Adds the nearest center ``c`` (smaller number on ties) and ``d2`` to each point."""
     sets = CenterSets(centers)
-    best = F.array_min(sets.each(lambda c: F.when(
-        c.isNotNull(), F.struct(_d2(c).alias("d2"), c["c"].alias("c"))
-    )))
+    best = F.array_min(
+        sets.each(
+            lambda c: f"CASE WHEN {c}.c IS NOT NULL THEN "
+            f"named_struct('d2', {squared_distance(c)}, 'c', {c}.c) END"
+        )
+    )
     rows = sets.attach(_with_set(points)).withColumn("best", best)
     return rows.select("id", "x", "y", "w", "best.c", "best.d2")
 
@@ -57,17 +60,14 @@ def kmeans_sse(points: DataFrame, centers: DataFrame) -> DataFrame:
         near = nearest_center(points, centers)
         return near.agg(F.sum(F.col("w") * F.col("d2")).alias("sse"))
     sets = CenterSets(centers)
-    own = F.get("centers", F.col("label"))
-    rows = sets.attach(_with_set(points))
-    return rows.agg(F.sum(F.col("w") * _d2(own)).alias("sse"))
+    own = squared_distance("get(centers, label)")
+    return sets.attach(_with_set(points)).agg(F.expr(f"sum(w * {own}) AS sse"))
 
 
 def centroid_pairwise_avg(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: all k x k distances between two center sets, summed, over k."""
     sets = CenterSets(right)
-    reach = sets.total(lambda c: F.sqrt(
-        F.pow(F.col("lx") - c["cx"], 2) + F.pow(F.col("ly") - c["cy"], 2)
-    ))
+    reach = sets.total(lambda c: f"sqrt({squared_distance(c, 'lx', 'ly')})")
     rows = left.select(F.col("cx").alias("lx"), F.col("cy").alias("ly"), F.lit(0).alias("set"))
     return sets.attach(rows).agg(
         (F.sum(reach) / F.count(F.lit(1))).alias("avg_quality")

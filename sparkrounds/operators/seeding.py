@@ -23,41 +23,34 @@ def kmeanspp_seed(points: DataFrame, k: int, *, seed: object = 0) -> DataFrame:
     """
     require(points, "id", "x", "y", what="points")
     rows = points if "set" in points.columns else points.withColumn("set", F.lit(0))
-    rows = rows.select("set", "id", "x", "y")
-    first = rows.groupBy("set").agg(
-        F.min_by(F.struct("x", "y", "id"), F.struct(order_key(f"{seed}:0", "id"), "id")).alias("p")
-    )
-    chosen = first.select("set", F.array("p").alias("seeds"))
+    rows = rows.select("set", "id", "x", "y").withColumn("place", F.expr("struct(x, y, id)"))
+    start = rows.withColumn("h", order_key(f"{seed}:0", "id"))
+    chosen = start.groupBy("set").agg(F.expr("array(min_by(place, struct(h, id))) AS seeds"))
     for number in range(1, k):
-        nearest = None
-        for i in range(number):
-            at = F.get("seeds", F.lit(i))
-            dx, dy = F.col("x") - at["x"], F.col("y") - at["y"]
-            d2 = dx * dx + dy * dy
-            nearest = d2 if nearest is None else F.least(nearest, d2)
-        u = uniform(f"{seed}:{number}", "id")
-        race = rows.join(F.broadcast(chosen), "set").select(
-            "set", "id", "x", "y", "seeds", nearest.alias("d2"), (-F.log(u)).alias("wait")
-        )
-        race = race.withColumn("arrival", F.when(F.col("d2") > 0, F.col("wait") / F.col("d2")))
-        won = race.groupBy("set").agg(
-            F.first("seeds").alias("seeds"),
-            F.min_by(
-                F.when(F.col("arrival").isNotNull(), F.struct("x", "y", "id")),
-                F.when(F.col("arrival").isNotNull(), F.struct("arrival", "id")),
-            ).alias("p"),
+        d2 = ", ".join(_squared(f"get(seeds, {i})") for i in range(number))
+        raced = (
+            rows.join(F.broadcast(chosen), "set")
+            .withColumns(
+                {
+                    "d2": F.expr(f"least({d2})" if number > 1 else d2),
+                    "u": uniform(f"{seed}:{number}", "id"),
+                }
+            )
+            .withColumn("arrival", F.expr("CASE WHEN d2 > 0 THEN -ln(u) / d2 END"))
         )
-        chosen = won.select(
-            "set",
-            F.when(F.col("p").isNull(), F.col("seeds"))
-            .otherwise(F.concat("seeds", F.array("p")))
-            .alias("seeds"),
+        # A set whose points all coincide with seeds has no arrivals and keeps its seeds.
+        won = raced.groupBy("set").agg(
+            F.expr("first(seeds) AS seeds"),
+            F.expr(
+                "min_by(place, struct(arrival, id)) FILTER (WHERE arrival IS NOT NULL) AS place"
+            ),
         )
-    flat = chosen.select("set", F.posexplode("seeds").alias("c", "p")).select(
-        F.col("set").cast("int").alias("set"),
-        "c",
-        F.col("p.x").alias("cx"),
-        F.col("p.y").alias("cy"),
-        F.col("p.id").alias("id"),
+        chosen = won.select("set", F.expr("concat(seeds, array_compact(array(place))) AS seeds"))
+    flat = chosen.select("set", F.posexplode("seeds").alias("c", "p")).selectExpr(
+        "int(set) AS set", "c", "p.x AS cx", "p.y AS cy", "p.id AS id"
     )
     return materialize(flat, "seeds")
+
+
+def _squared(seed: str) -> str:
+    return f"(x - {seed}.x) * (x - {seed}.x) + (y - {seed}.y) * (y - {seed}.y)"
