@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrounds.functions.hashing import TWO_32, hash32, order_key
+from sparkrounds.functions.hashing import hash32, order_key
 from sparkrounds.functions.sizing import broadcast_if_small
 from sparkrounds.plans.lineage import materialize, materialize_counted
 
@@ -51,12 +51,12 @@ def global_rank(
 def bottom_by_hash(
     df: DataFrame,
     group: list[str],
-    size: Column,
+    size: int,
     *,
     seed: object,
     key: str,
-    largest_group: int,
-    groups: int,
+    weight: str,
+    total_rows: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """A seeded sample of exactly ``min(size, group rows)`` rows of every group.
@@ -65,27 +65,28 @@ def bottom_by_hash(
     histogram of the hash's top bits finds the bucket in which the cut falls;
     lower buckets are taken whole, and only the cut bucket's rows are ranked.
     Hashes are uniform, so a bucket stays small however large its group is.
+
+    Adds ``group_n`` and ``group_w``, the group's row count and total weight.
     """
-    bits = max(0, math.ceil(math.log2(max(1.0, largest_group / rows_per_bucket))))
-    width = TWO_32 >> min(bits, 32)
-    tagged = df.withColumn("hb", F.floor(hash32(seed, key) / F.lit(width)).cast("long"))
-    filled = tagged.groupBy(*group, "hb").agg(F.count(F.lit(1)).alias("hb_n"))
+    bits = min(32, max(0, math.ceil(math.log2(max(1.0, total_rows / rows_per_bucket)))))
+    tagged = df.withColumn("hb", F.shiftright(hash32(seed, key), 32 - bits))
+    filled, cells = materialize_counted(
+        tagged.groupBy(*group, "hb").agg(
+            F.count(F.lit(1)).alias("hb_n"), F.sum(weight).alias("hb_w")
+        ),
+        "hash-histogram",
+    )
     so_far = Window.partitionBy(*group).orderBy("hb")
     running = filled.withColumn("hb_end", F.sum("hb_n").over(so_far))
     # The first bucket whose running count reaches the size; none if all rows fit.
-    cut = (
-        running.filter(F.col("hb_end") >= size)
-        .groupBy(*group)
-        .agg(F.min(F.struct("hb", "hb_end", "hb_n")).alias("cut"))
-        .select(
-            *group,
-            F.col("cut.hb").alias("cut_hb"),
-            (F.col("cut.hb_end") - F.col("cut.hb_n")).alias("below"),
-        )
+    cut = running.groupBy(*group).agg(
+        F.sum("hb_n").alias("group_n"),
+        F.sum("hb_w").alias("group_w"),
+        F.expr(f"min(struct(hb, hb_end - hb_n AS below)) FILTER (WHERE hb_end >= {size}) AS cut"),
     )
-    placed = tagged.join(broadcast_if_small(cut, groups), group, "left")
-    whole = placed.filter(F.col("cut_hb").isNull() | (F.col("hb") < F.col("cut_hb")))
-    edge = placed.filter(F.col("hb") == F.col("cut_hb"))
+    placed = tagged.join(broadcast_if_small(cut, cells), group)
+    whole = placed.filter("cut IS NULL OR hb < cut.hb")
+    edge = placed.filter("hb = cut.hb")
     row = F.row_number().over(Window.partitionBy(*group).orderBy(order_key(seed, key), key))
-    chosen = edge.withColumn("rn", row).filter(F.col("rn") <= size - F.col("below")).drop("rn")
-    return whole.unionByName(chosen).drop("hb", "cut_hb", "below")
+    chosen = edge.withColumn("rn", row).filter(f"rn <= {size} - cut.below").drop("rn")
+    return whole.unionByName(chosen).drop("hb", "cut")

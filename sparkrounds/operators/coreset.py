@@ -218,33 +218,19 @@ def grid_coreset(assigned: DataFrame, *, eps: float = 0.25, seed: int = 0) -> Da
     )
 
 
-def annulus_coreset(
-    assigned: DataFrame, sample_size: int, *, seed: int = 0, rows: int | None = None
-) -> DataFrame:
+def annulus_coreset(assigned: DataFrame, sample_size: int, *, seed: int = 0) -> DataFrame:
     """``min(sample_size, ring size)`` seeded random points per ring, sharing its weight.
 
     ``assigned`` is read several times, so pass a stored table.
     """
     ring = ["set", "level", "c"]
-    inside = assigned.filter("level IS NOT NULL").select(*POINT, *ring)
-    totals, groups = materialize_counted(
-        inside.groupBy(*ring).agg(
-            F.count(F.lit(1)).alias("ring_n"), F.sum("w").alias("ring_w")
-        ),
-        "ring-totals",
-    )
-    largest = totals.agg(F.max("ring_n")).first()[0] or 0
     sample = bottom_by_hash(
-        inside, ring, F.lit(sample_size), seed=seed, key="id",
-        largest_group=largest, groups=groups,
-    )
-    share = F.col("ring_w") / F.least(F.lit(sample_size), F.col("ring_n"))
-    weighted = sample.join(F.broadcast(totals), ring) if groups <= MAX_CENTERS else sample.join(
-        totals, ring
-    )
-    return weighted.select("id", "x", "y", share.alias("w"), "set").unionByName(
-        _leftover(assigned)
+        assigned.filter("level IS NOT NULL").select(*POINT, *ring),
+        ring, sample_size, seed=seed, key="id", weight="w", total_rows=assigned.count(),
     )
+    share = F.expr(f"group_w / least({sample_size}, group_n)")
+    weighted = sample.select("id", "x", "y", share.alias("w"), "set")
+    return weighted.unionByName(_leftover(assigned))
 
 
 def _leftover(assigned: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def test_bottom_by_hash(spark, size, rows_per_bucket):
     group = F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 7)
     rows = spark.range(3000).withColumn("g", group)
     got = bottom_by_hash(
-        rows, ["g"], F.lit(size), seed=5, key="id", largest_group=2100, groups=7,
+        rows, ["g"], size, seed=5, key="id", weight="id", total_rows=3000,
         rows_per_bucket=rows_per_bucket,
     ).collect()
     groups = {}
@@ -38,6 +38,8 @@ def test_bottom_by_hash(spark, size, rows_per_bucket):
         members.sort(key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())
         want |= set(members[:size])
     assert sorted(r["id"] for r in got) == sorted(want)
+    totals = {g: (len(members), sum(members)) for g, members in groups.items()}
+    assert all((r["group_n"], r["group_w"]) == totals[r["g"]] for r in got)
 
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
