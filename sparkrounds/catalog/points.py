@@ -31,7 +31,7 @@ _COST = """cost AS (SELECT count(*) AS n, sum(w * s) / (SELECT count(*) FROM cen
   FROM (SELECT id, any_value(w) AS w, sqrt(sum(d * d)) AS s FROM dist GROUP BY id))"""
 _PARAMS = """params AS (SELECT n, cost,
   CASE WHEN 0.5 * ln(n) > 1 THEN ceil(ln(n) * ln(0.5 * ln(n)))::INTEGER ELSE 0 END AS levels,
-  CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END AS r FROM cost)"""
+  CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END::FLOAT::DOUBLE AS r FROM cost)"""
 _SET_UP = f"{_GIVEN}, {_DIST}, {_COST}, {_PARAMS}"
 
 
@@ -180,35 +180,90 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return kept.drop("set").withColumn("w", F.round("w", 6))
 
 
-def _seeds_sql(k: int, sets: int) -> str:
+def _seed_ctes(points: str, name: str, k: int, seed: str) -> str:
     """k-means++ passes unrolled: seed ``i`` of every set from the seeds before it."""
     parts = [
-        EVENT_POINTS,
-        f'dealt AS (SELECT *, ({sql_hash32(0, "id")} % {sets})::INTEGER AS "set" FROM pts)',
-        f"""s0 AS (SELECT "set", 0 AS c, id, x, y FROM (SELECT *, row_number() OVER
-          (PARTITION BY "set" ORDER BY {sql_md5('0:0', 'id')}, id) AS nr FROM dealt) WHERE nr = 1)""",
+        f"""{name}_0 AS MATERIALIZED (SELECT "set", 0 AS c, id, x, y FROM (SELECT *, row_number() OVER
+          (PARTITION BY "set" ORDER BY {sql_md5(f'{seed}:0', 'id')}, id) AS nr FROM {points}) WHERE nr = 1)""",
     ]
     for i in range(1, k):
-        seen = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(i))
+        seen = " UNION ALL ".join(f"SELECT * FROM {name}_{j}" for j in range(i))
         parts.append(
-            f"""s{i} AS (SELECT "set", {i} AS c, id, x, y FROM (SELECT *, row_number() OVER
-              (PARTITION BY "set" ORDER BY -ln({sql_uniform(f'0:{i}', 'id')}) / d2, id) AS nr FROM
+            f"""{name}_{i} AS MATERIALIZED (SELECT "set", {i} AS c, id, x, y FROM (SELECT *,
+              row_number() OVER (PARTITION BY "set"
+                ORDER BY -ln({sql_uniform(f'{seed}:{i}', 'id')}) / d2, id) AS nr FROM
               (SELECT d."set", d.id, any_value(d.x) AS x, any_value(d.y) AS y,
                  min((d.x - s.x) * (d.x - s.x) + (d.y - s.y) * (d.y - s.y)) AS d2
-               FROM dealt d JOIN ({seen}) s ON d."set" = s."set" GROUP BY d."set", d.id) WHERE d2 > 0)
+               FROM {points} d JOIN ({seen}) s ON d."set" = s."set" GROUP BY d."set", d.id) WHERE d2 > 0)
               WHERE nr = 1)"""
         )
-    every = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(k))
-    return "WITH " + ", ".join(parts) + f' SELECT "set", c, x AS cx, y AS cy, id FROM ({every})'
+    every = " UNION ALL ".join(f"SELECT * FROM {name}_{j}" for j in range(k))
+    parts.append(f'{name} AS (SELECT "set", c, x AS cx, y AS cy, id AS seed_id FROM ({every}))')
+    return ",\n".join(parts)
 
 
-@query("kmeanspp_seed", _seeds_sql(4, 8))
+def _dealt(sets: int) -> str:
+    return f'dealt AS MATERIALIZED (SELECT *, ({sql_hash32(0, "id")} % {sets})::INTEGER AS "set" FROM pts)'
+
+
+def _merge_sql(k: int, sets: int) -> str:
+    """Merge-and-reduce with grid sampling and geometric rings, every round unrolled."""
+    parts = [EVENT_POINTS, _dealt(sets)]
+    points, number = "dealt", 0
+    while True:
+        number += 1
+        t = f"t{number}"
+        parts.append(_seed_ctes(points, f"{t}_seeds", k, f"0:{number}"))
+        merged = max(sets // 2, 1)
+        parts.append(
+            f"""{t}_dist AS MATERIALIZED (SELECT p."set", id, x, y, w, c, cx, cy,
+              sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d
+              FROM {points} p JOIN {t}_seeds s ON p."set" = s."set"),
+            {t}_cost AS (SELECT "set", count(*) AS n, sum(w * s) / any_value(k) AS cost FROM
+              (SELECT "set", id, any_value(w) AS w, sqrt(sum(d * d)) AS s, count(*) AS k
+               FROM {t}_dist GROUP BY "set", id) GROUP BY "set"),
+            {t}_params AS MATERIALIZED (SELECT "set",
+              CASE WHEN 0.5 * ln(n) > 1 THEN ceil(ln(n) * ln(0.5 * ln(n)))::INTEGER ELSE 0 END AS levels,
+              CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END::FLOAT::DOUBLE AS r
+              FROM {t}_cost),
+            {t}_rings AS MATERIALIZED (SELECT "set", level::INTEGER AS level,
+              CASE WHEN level = 0 THEN 0.0::DOUBLE ELSE r * pow(2.0, level - 1) END AS lo,
+              r * pow(2.0, level) AS hi
+              FROM {t}_params, (SELECT unnest(generate_series(0, 99)) AS level) WHERE level < levels),
+            {t}_hits AS (SELECT id, c, cx, cy, level, hi,
+              row_number() OVER (PARTITION BY id ORDER BY level, c) AS nr
+              FROM {t}_dist d JOIN {t}_rings g ON d."set" = g."set" AND d > lo AND d < hi),
+            {t}_celled AS MATERIALIZED (SELECT p.id, p.x, p.y, p.w, p."set", level, c,
+              floor((x - (cx - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gx,
+              floor((y - (cy - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gy,
+              CASE WHEN level IS NULL THEN p.id END AS alone
+              FROM {points} p LEFT JOIN (SELECT *, 0.25::DOUBLE * hi / sqrt(2.0::DOUBLE) AS side
+                FROM {t}_hits WHERE nr = 1) h ON p.id = h.id),
+            {t}_out AS MATERIALIZED (SELECT id, x, y, weight AS w,
+              least("set" // 2, {merged - 1})::INTEGER AS "set" FROM (
+                SELECT id, x, y, "set", sum(w) OVER cell AS weight, row_number() OVER (PARTITION BY
+                  "set", level, c, gx, gy, alone ORDER BY {sql_md5(f'0:{number}', 'id')}, id) AS nr
+                FROM {t}_celled WINDOW cell AS (PARTITION BY "set", level, c, gx, gy, alone))
+              WHERE nr = 1)"""
+        )
+        points = f"{t}_out"
+        if sets == 1:
+            break
+        sets = merged
+    return "WITH " + ",\n".join(parts) + f" SELECT id, x, y, w FROM {points}"
+
+
+@query(
+    "kmeanspp_seed",
+    f"""WITH {EVENT_POINTS}, {_dealt(8)}, {_seed_ctes('dealt', 'seeds', 4, '0')}
+    SELECT "set", c, cx, cy, seed_id AS id FROM seeds""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     points = materialize(coreset.partition_points(event_points(spark, sf), 8), "points")
     return seeding.kmeanspp_seed(points, 4, seed=0)
 
 
-@query("coreset_merge_reduce")
+@query("coreset_merge_reduce", _merge_sql(5, 8))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return coreset.coreset_merge_reduce(event_points(spark, sf), 5, sets=8)
 

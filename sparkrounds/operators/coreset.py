@@ -127,7 +127,9 @@ def ring_params(
 ) -> DataFrame:
     """Per set ``(set, n, cost, levels, r)``: number of rings and first radius.
 
-    Where ``a * ln(n) <= 1`` there are no rings and the set passes through.
+    Where ``a * ln(n) <= 1`` there are no rings and the set passes through.  The
+    radius is rounded to single precision: the last bits of a sum depend on the
+    order of its terms, and the rings must not.
     """
     log_n = F.log(F.col("n").cast("double"))
     scaled = F.lit(a) * log_n
@@ -135,7 +137,7 @@ def ring_params(
     levels = F.when(usable, F.ceil(log_n * F.log(scaled))).otherwise(0)
     radius = F.when(usable, F.sqrt(F.col("cost") / (scaled * F.col("n"))))
     return coreset_cost(points, centers).select(
-        "set", "n", "cost", levels.cast("int").alias("levels"), radius.alias("r")
+        "set", "n", "cost", levels.cast("int").alias("levels"), radius.cast("float").cast("double").alias("r")
     )
 
 
