@@ -206,8 +206,24 @@ def _dealt(sets: int) -> str:
     return f'dealt AS MATERIALIZED (SELECT *, ({sql_hash32(0, "id")} % {sets})::INTEGER AS "set" FROM pts)'
 
 
-def _merge_sql(k: int, sets: int) -> str:
-    """Merge-and-reduce with grid sampling and geometric rings, every round unrolled."""
+def _kept_sql(t: str, number: int, sample_size: int | None) -> str:
+    """One round's reduced points: a point per cell, or ``sample_size`` points per ring."""
+    order = f"ORDER BY {sql_md5(f'0:{number}', 'id')}, id"
+    if sample_size is None:
+        cell = 'PARTITION BY "set", level, c, gx, gy, alone'
+        return f"""SELECT id, x, y, weight AS w, "set" FROM (SELECT id, x, y, "set",
+          sum(w) OVER ({cell}) AS weight, row_number() OVER ({cell} {order}) AS nr
+          FROM {t}_celled) WHERE nr = 1"""
+    ring = 'PARTITION BY "set", level, c'
+    return f"""SELECT id, x, y, ring_w / least({sample_size}, ring_n) AS w, "set" FROM (
+        SELECT id, x, y, "set", sum(w) OVER ({ring}) AS ring_w, count(*) OVER ({ring}) AS ring_n,
+          row_number() OVER ({ring} {order}) AS nr FROM {t}_celled WHERE level IS NOT NULL)
+      WHERE nr <= {sample_size}
+      UNION ALL SELECT id, x, y, w, "set" FROM {t}_celled WHERE level IS NULL"""
+
+
+def _merge_sql(k: int, sets: int, sample_size: int | None = None) -> str:
+    """Merge-and-reduce with geometric rings, every round unrolled."""
     parts = [EVENT_POINTS, _dealt(sets)]
     points, number = "dealt", 0
     while True:
@@ -239,18 +255,14 @@ def _merge_sql(k: int, sets: int) -> str:
               CASE WHEN level IS NULL THEN p.id END AS alone
               FROM {points} p LEFT JOIN (SELECT *, 0.25::DOUBLE * hi / sqrt(2.0::DOUBLE) AS side
                 FROM {t}_hits WHERE nr = 1) h ON p.id = h.id),
-            {t}_out AS MATERIALIZED (SELECT id, x, y, weight AS w,
-              least("set" // 2, {merged - 1})::INTEGER AS "set" FROM (
-                SELECT id, x, y, "set", sum(w) OVER cell AS weight, row_number() OVER (PARTITION BY
-                  "set", level, c, gx, gy, alone ORDER BY {sql_md5(f'0:{number}', 'id')}, id) AS nr
-                FROM {t}_celled WINDOW cell AS (PARTITION BY "set", level, c, gx, gy, alone))
-              WHERE nr = 1)"""
+            {t}_out AS MATERIALIZED (SELECT id, x, y, w, least("set" // 2, {merged - 1})::INTEGER AS "set"
+              FROM ({_kept_sql(t, number, sample_size)}))"""
         )
         points = f"{t}_out"
         if sets == 1:
             break
         sets = merged
-    return "WITH " + ",\n".join(parts) + f" SELECT id, x, y, w FROM {points}"
+    return "WITH " + ",\n".join(parts) + f" SELECT id, x, y, round(w, 6) AS w FROM {points}"
 
 
 @query(
@@ -265,14 +277,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("coreset_merge_reduce", _merge_sql(5, 8))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return coreset.coreset_merge_reduce(event_points(spark, sf), 5, sets=8)
+    reduced = coreset.coreset_merge_reduce(event_points(spark, sf), 5, sets=8)
+    return reduced.withColumn("w", F.round("w", 6))
 
 
-@query("coreset_merge_reduce_annulus")
+@query("coreset_merge_reduce_annulus", _merge_sql(5, 8, 100))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return coreset.coreset_merge_reduce(
+    reduced = coreset.coreset_merge_reduce(
         event_points(spark, sf), 5, sets=8, sampling="annulus", sample_size=100
     )
+    return reduced.withColumn("w", F.round("w", 6))
 
 
 @query("coreset_merge_weight", "SELECT count(*)::DOUBLE AS total_weight FROM events")
