@@ -6,6 +6,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 
@@ -16,12 +17,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def streaming_forest(
     limit: int,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task function: fold batches into per-part forests within ``limit`` rows."""
+    """Task function: fold batches into per-part forests within ``limit`` rows.
+
+    Folding happens as soon as the rows held are several times the last forest,
+    so the buffer stays small and each row is sorted only a few times.
+    """
     names = ["part", "src", "dst", "w"]
+    chunk = 1 << 18
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        rows, trigger = 0, limit
+        rows, trigger = 0, min(limit, chunk)
         for batch in batches:
             held.append(tuple(batch.column(name).to_numpy(False) for name in names))
             rows += batch.num_rows
@@ -33,6 +39,7 @@ def streaming_forest(
                     held, rows = [], 0
                 else:
                     held = [kept]
+                trigger = min(limit, max(chunk, 4 * rows))
         if held:
             kept = _forest_of(held)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names)
@@ -43,14 +50,17 @@ def streaming_forest(
 def _forest_of(chunks: list[tuple]) -> tuple:
     """Minimum spanning forest per part of the rows in ``chunks`` (numpy contraction)."""
     part, src, dst, w = (np.concatenate(column) for column in zip(*chunks))
-    order = np.lexsort((dst, src, w))
-    part, src, dst, w = part[order], src[order], dst[order], w[order]
     m = len(w)
-    _, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    # Dense vertex numbers in id order; one number per (part, vertex).
+    ends, _ = pd.factorize(np.concatenate([src, dst]), sort=True)
     if m and part.min() != part.max():
-        keyed = np.tile(part.astype(np.int64), 2) * (ends.max() + 1) + ends
-        _, ends = np.unique(keyed, return_inverse=True)
-    a, b = ends[:m], ends[m:]
+        ends = np.tile(part.astype(np.int64), 2) * (int(ends.max()) + 1) + ends
+        ends, _ = pd.factorize(ends, sort=True)
+    ends = ends.astype(np.int64)
+    width = int(ends.max()) + 1 if m else 1
+    order = np.lexsort((ends[:m] * width + ends[m:], w))
+    part, src, dst, w = part[order], src[order], dst[order], w[order]
+    a, b = ends[:m][order], ends[m:][order]
     n = int(ends.max()) + 1 if m else 0
     keep = np.zeros(m, dtype=bool)
     rank = np.arange(m)

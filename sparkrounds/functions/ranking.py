@@ -12,8 +12,10 @@ from sparkrounds.functions.sizing import broadcast_if_small
 from sparkrounds.plans.lineage import materialize, materialize_counted
 
 ROWS_PER_TASK = 1_000_000
-# Rows of one group that may share a selection bucket, on average.
+# Rows of one group that may share a selection bucket, on average, until the
+# histogram has 2**MAX_BITS buckets per group.
 ROWS_PER_BUCKET = 10_000
+MAX_BITS = 16
 
 
 def global_rank(
@@ -68,7 +70,7 @@ def bottom_by_hash(
 
     Adds ``group_n`` and ``group_w``, the group's row count and total weight.
     """
-    bits = min(32, max(0, math.ceil(math.log2(max(1.0, total_rows / rows_per_bucket)))))
+    bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1.0, total_rows / rows_per_bucket)))))
     tagged = df.withColumn("hb", F.shiftright(hash32(seed, key), 32 - bits))
     filled, cells = materialize_counted(
         tagged.groupBy(*group, "hb").agg(

@@ -155,6 +155,7 @@ def ring_assign(
     """
     one_of(schedule, SCHEDULES, "schedule")
     sets = centers if isinstance(centers, CenterSets) else CenterSets(centers)
+    # One row per set, and every set has a center: MAX_CENTERS bounds this too.
     rings = F.broadcast(params.select("set", "levels", "r"))
     rows = sets.attach(_with_set(points)).join(rings, "set")
     # Staged columns: each is computed once per row and read by the next.
@@ -287,7 +288,7 @@ def coreset_merge_reduce(
         partition_points(points.select(*POINT), sets, seed=seed), "coreset-points"
     )
     for number in range(1, merge_rounds(sets) + 1):
-        centers = kmeanspp_seed(current, k, seed=f"{seed}:{number}")
+        centers = kmeanspp_seed(current, k, seed=f"{seed}:{number}", sets=sets)
         # A set of at most k points is its own coreset: all distances to the
         # seeds that matter are zero, and left-over points pass through.
         reduced = coreset_once(

@@ -12,24 +12,33 @@ from pyspark.sql import functions as F
 
 from sparkrounds.functions.checks import require
 from sparkrounds.functions.hashing import order_key, uniform
+from sparkrounds.functions.sizing import broadcast_if_small
 from sparkrounds.plans.lineage import materialize
 
 
-def kmeanspp_seed(points: DataFrame, k: int, *, seed: object = 0) -> DataFrame:
+# Seeds over all sets that may be broadcast; more are joined by shuffle.
+MAX_SEEDS = 100_000
+
+
+def kmeanspp_seed(
+    points: DataFrame, k: int, *, seed: object = 0, sets: int | None = None
+) -> DataFrame:
     """``(set, c, cx, cy, id)``: ``k`` seeds per set, fewer if a set has fewer places.
 
     ``points`` is read ``k`` times, so pass a stored table.  The seeds so far are
-    a short array per set and are broadcast (sets x k entries).
+    a short array per set; ``sets`` is the number of sets (counted if not given).
     """
     require(points, "id", "x", "y", what="points")
     rows = points if "set" in points.columns else points.withColumn("set", F.lit(0))
     rows = rows.select("set", "id", "x", "y").withColumn("place", F.expr("struct(x, y, id)"))
+    if sets is None:
+        sets = rows.select("set").distinct().count()
     start = rows.withColumn("h", order_key(f"{seed}:0", "id"))
     chosen = start.groupBy("set").agg(F.expr("array(min_by(place, struct(h, id))) AS seeds"))
     for number in range(1, k):
         d2 = ", ".join(_squared(f"get(seeds, {i})") for i in range(number))
         raced = (
-            rows.join(F.broadcast(chosen), "set")
+            rows.join(broadcast_if_small(chosen, sets * k, MAX_SEEDS), "set")
             .withColumns(
                 {
                     "d2": F.expr(f"least({d2})" if number > 1 else d2),
