@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sparkrounds.functions.checks import one_of, require
 from sparkrounds.functions.hashing import bucket, order_key
 from sparkrounds.functions.ranking import bottom_by_hash
-from sparkrounds.operators.seeding import kmeanspp_seed
-from sparkrounds.plans.lineage import materialize, materialize_counted
+from sparkrounds.operators.seeding import seed_arrays
+from sparkrounds.plans.lineage import materialize
 from sparkrounds.plans.rounds import merge_rounds
 
 # Centers over all sets; they are broadcast, so more than this is refused.
@@ -49,19 +49,34 @@ def partition_points(points: DataFrame, sets: int, *, seed: int = 0) -> DataFram
 
 
 class CenterSets:
-    """Centers as one row per set: ``(set, centers ARRAY<STRUCT<c, cx, cy>>)``."""
+    """Centers as one row per set: ``(set, centers ARRAY<STRUCT<c, cx, cy, ...>>)``.
 
-    def __init__(self, centers: DataFrame):
+    ``k`` bounds the centers of a set; sets times k is at most ``MAX_CENTERS``.
+    """
+
+    def __init__(self, table: DataFrame, k: int):
+        self.table, self.k = table, k
+
+    @classmethod
+    def of(cls, centers: DataFrame | CenterSets) -> CenterSets:
+        """From rows ``([set,] c, cx, cy)``, whose number is checked."""
+        if isinstance(centers, CenterSets):
+            return centers
         require(centers, "c", "cx", "cy", what="centers")
         if "set" not in centers.columns:
             centers = centers.withColumn("set", F.lit(0))
         size = centers.agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).first()
-        if size["n"] > MAX_CENTERS:
-            raise ValueError(f"{size['n']} centers exceed the broadcast bound {MAX_CENTERS}")
-        self.k = int(size["c"]) + 1 if size["n"] else 0
-        self.table = centers.groupBy(F.col("set").cast("int").alias("set")).agg(
+        _check_centers(size["n"])
+        table = centers.groupBy(F.col("set").cast("int").alias("set")).agg(
             F.array_sort(F.collect_list(F.struct("c", "cx", "cy"))).alias("centers")
         )
+        return cls(table, int(size["c"]) + 1 if size["n"] else 0)
+
+    @classmethod
+    def seeded(cls, points: DataFrame, k: int, *, seed: object, sets: int) -> CenterSets:
+        """k-means++ seeds of every set."""
+        _check_centers(sets * k)
+        return cls(seed_arrays(points, k, seed=seed, sets=sets), k)
 
     def attach(self, points: DataFrame) -> DataFrame:
         return points.join(F.broadcast(self.table), "set")
@@ -81,6 +96,11 @@ class CenterSets:
         return F.expr(f"aggregate(centers, 0D, (acc, center) -> acc + {fn('center')})")
 
 
+def _check_centers(count: int) -> None:
+    if count > MAX_CENTERS:
+        raise ValueError(f"{count} centers exceed the broadcast bound {MAX_CENTERS}")
+
+
 def _with_set(points: DataFrame) -> DataFrame:
     require(points, *POINT, what="points")
     return points if "set" in points.columns else points.withColumn("set", F.lit(0))
@@ -94,7 +114,7 @@ def squared_distance(center: str, x: str = "x", y: str = "y") -> str:
 
 def center_distance(points: DataFrame, centers: DataFrame) -> DataFrame:
     """``(id, c, dist)``: distance of every point to every center of its set."""
-    sets = CenterSets(centers)
+    sets = CenterSets.of(centers)
     far = sets.each(
         lambda c: f"named_struct('c', {c}.c, 'dist', sqrt({squared_distance(c)}))"
     )
@@ -108,7 +128,7 @@ def coreset_cost(points: DataFrame, centers: DataFrame | CenterSets) -> DataFram
     ``cost`` is the weighted sum of each point's root of summed squared
     distances to all centers, divided by the number of centers.
     """
-    sets = centers if isinstance(centers, CenterSets) else CenterSets(centers)
+    sets = CenterSets.of(centers)
     spread = F.sqrt(sets.total(squared_distance))
     return (
         sets.attach(_with_set(points))
@@ -154,7 +174,7 @@ def ring_assign(
     outer radius at every level.  ``params`` has one row per set.
     """
     one_of(schedule, SCHEDULES, "schedule")
-    sets = centers if isinstance(centers, CenterSets) else CenterSets(centers)
+    sets = CenterSets.of(centers)
     # One row per set, and every set has a center: MAX_CENTERS bounds this too.
     rings = F.broadcast(params.select("set", "levels", "r"))
     rows = sets.attach(_with_set(points)).join(rings, "set")
@@ -242,7 +262,7 @@ def _leftover(assigned: DataFrame) -> DataFrame:
 
 def coreset_once(
     points: DataFrame,
-    centers: DataFrame,
+    centers: DataFrame | CenterSets,
     *,
     sampling: str = "grid",
     sample_size: int = 10,
@@ -254,8 +274,8 @@ def coreset_once(
     """Reduce every set once around the given centers; total weight is unchanged."""
     one_of(sampling, SAMPLINGS, "sampling")
     rows = _with_set(points)
-    sets = CenterSets(centers)
-    params = materialize(ring_params(rows, sets, a=a), "ring-params")
+    sets = CenterSets.of(centers)
+    params = ring_params(rows, sets, a=a)
     assigned = ring_assign(rows, sets, params, schedule=schedule)
     if sampling == "grid":
         return grid_coreset(assigned, eps=eps, seed=seed)
@@ -288,7 +308,7 @@ def coreset_merge_reduce(
         partition_points(points.select(*POINT), sets, seed=seed), "coreset-points"
     )
     for number in range(1, merge_rounds(sets) + 1):
-        centers = kmeanspp_seed(current, k, seed=f"{seed}:{number}", sets=sets)
+        centers = CenterSets.seeded(current, k, seed=f"{seed}:{number}", sets=sets)
         # A set of at most k points is its own coreset: all distances to the
         # seeds that matter are zero, and left-over points pass through.
         reduced = coreset_once(
@@ -297,12 +317,10 @@ def coreset_merge_reduce(
         )
         merged = max(sets // 2, 1)
         target = F.least(F.floor(F.col("set") / 2), F.lit(merged - 1)).cast("int")
-        current, rows = materialize_counted(
-            reduced.withColumn("set", target), "coreset-points"
-        )
+        current = materialize(reduced.withColumn("set", target), "coreset-points")
         sets = merged
         if on_round is not None:
-            on_round(number, rows)
+            on_round(number, current.count())
     return current.select(*POINT)
 
 

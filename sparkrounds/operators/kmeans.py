@@ -28,7 +28,7 @@ def kmeans_fit(points: DataFrame, k: int, *, seed: int = 0, max_iter: int = 50)
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Adds the nearest center ``c`` (smaller number on ties) and ``d2`` to each point."""
-    sets = CenterSets(centers)
+    sets = CenterSets.of(centers)
     best = F.array_min(
         sets.each(
             lambda c: f"CASE WHEN {c}.c IS NOT NULL THEN "
@@ -59,14 +59,14 @@ def kmeans_sse(points: DataFrame, centers: DataFrame) -> DataFrame:
     if "label" not in points.columns:
         near = nearest_center(points, centers)
         return near.agg(F.sum(F.col("w") * F.col("d2")).alias("sse"))
-    sets = CenterSets(centers)
+    sets = CenterSets.of(centers)
     own = squared_distance("get(centers, label)")
     return sets.attach(_with_set(points)).agg(F.expr(f"sum(w * {own}) AS sse"))
 
 
 def centroid_pairwise_avg(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: all k x k distances between two center sets, summed, over k."""
-    sets = CenterSets(right)
+    sets = CenterSets.of(right)
     reach = sets.total(lambda c: f"sqrt({squared_distance(c, 'lx', 'ly')})")
     rows = left.select(F.col("cx").alias("lx"), F.col("cy").alias("ly"), F.lit(0).alias("set"))
     return sets.attach(rows).agg(

@@ -23,7 +23,15 @@ MAX_SEEDS = 100_000
 def kmeanspp_seed(
     points: DataFrame, k: int, *, seed: object = 0, sets: int | None = None
 ) -> DataFrame:
-    """``(set, c, cx, cy, id)``: ``k`` seeds per set, fewer if a set has fewer places.
+    """``(set, c, cx, cy, id)``: ``k`` seeds per set, fewer if a set has fewer places."""
+    arrays = seed_arrays(points, k, seed=seed, sets=sets)
+    return arrays.selectExpr("set", "inline(centers)")
+
+
+def seed_arrays(
+    points: DataFrame, k: int, *, seed: object = 0, sets: int | None = None
+) -> DataFrame:
+    """``(set, centers ARRAY<STRUCT<c, cx, cy, id>>)``, stored: the seeds of every set.
 
     ``points`` is read ``k`` times, so pass a stored table.  The seeds so far are
     a short array per set; ``sets`` is the number of sets (counted if not given).
@@ -55,10 +63,11 @@ def kmeanspp_seed(
             ),
         )
         chosen = won.select("set", F.expr("concat(seeds, array_compact(array(place))) AS seeds"))
-    flat = chosen.select("set", F.posexplode("seeds").alias("c", "p")).selectExpr(
-        "int(set) AS set", "c", "p.x AS cx", "p.y AS cy", "p.id AS id"
+    arrays = chosen.selectExpr(
+        "int(set) AS set",
+        "transform(seeds, (p, i) -> named_struct('c', i, 'cx', p.x, 'cy', p.y, 'id', p.id)) AS centers",
     )
-    return materialize(flat, "seeds")
+    return materialize(arrays, "seeds")
 
 
 def _squared(seed: str) -> str:
