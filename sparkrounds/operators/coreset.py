@@ -54,23 +54,27 @@ class CenterSets:
     ``k`` bounds the centers of a set; sets times k is at most ``MAX_CENTERS``.
     """
 
-    def __init__(self, table: DataFrame, k: int):
-        self.table, self.k = table, k
+    def __init__(self, table: DataFrame, k: int, *, shared: bool = False):
+        self.table, self.k, self.shared = table, k, shared
 
     @classmethod
     def of(cls, centers: DataFrame | CenterSets) -> CenterSets:
-        """From rows ``([set,] c, cx, cy)``, whose number is checked."""
+        """From rows ``([set,] c, cx, cy)``, whose number is checked.
+
+        Without a ``set`` column all sets share the centers.
+        """
         if isinstance(centers, CenterSets):
             return centers
         require(centers, "c", "cx", "cy", what="centers")
-        if "set" not in centers.columns:
+        shared = "set" not in centers.columns
+        if shared:
             centers = centers.withColumn("set", F.lit(0))
         size = centers.agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).first()
         _check_centers(size["n"])
         table = centers.groupBy(F.col("set").cast("int").alias("set")).agg(
             F.array_sort(F.collect_list(F.struct("c", "cx", "cy"))).alias("centers")
         )
-        return cls(table, int(size["c"]) + 1 if size["n"] else 0)
+        return cls(table, int(size["c"]) + 1 if size["n"] else 0, shared=shared)
 
     @classmethod
     def seeded(cls, points: DataFrame, k: int, *, seed: object, sets: int) -> CenterSets:
@@ -79,6 +83,8 @@ class CenterSets:
         return cls(seed_arrays(points, k, seed=seed, sets=sets), k)
 
     def attach(self, points: DataFrame) -> DataFrame:
+        if self.shared:
+            return points.withColumn("centers", self.table.select("centers").scalar())
         return points.join(F.broadcast(self.table), "set")
 
     def each(self, fn: Callable[[str], str]) -> Column:
@@ -175,9 +181,13 @@ def ring_assign(
     """
     one_of(schedule, SCHEDULES, "schedule")
     sets = CenterSets.of(centers)
-    # One row per set, and every set has a center: MAX_CENTERS bounds this too.
-    rings = F.broadcast(params.select("set", "levels", "r"))
-    rows = sets.attach(_with_set(points)).join(rings, "set")
+    rows = sets.attach(_with_set(points))
+    if "set" in points.columns:
+        # One row per set, and every set has a center: MAX_CENTERS bounds this too.
+        rows = rows.join(F.broadcast(params.select("set", "levels", "r")), "set")
+    else:
+        only = params.select(F.struct("levels", "r")).scalar()
+        rows = rows.withColumn("rp", only).select("*", "rp.levels", "rp.r").drop("rp")
     # Staged columns: each is computed once per row and read by the next.
     rows = rows.withColumn("dists", sets.each(lambda c: f"sqrt({squared_distance(c)})"))
     rows = rows.withColumn("rings", F.expr(_RINGS[schedule]))
@@ -273,10 +283,9 @@ def coreset_once(
 ) -> DataFrame:
     """Reduce every set once around the given centers; total weight is unchanged."""
     one_of(sampling, SAMPLINGS, "sampling")
-    rows = _with_set(points)
     sets = CenterSets.of(centers)
-    params = ring_params(rows, sets, a=a)
-    assigned = ring_assign(rows, sets, params, schedule=schedule)
+    params = ring_params(points, sets, a=a)
+    assigned = ring_assign(points, sets, params, schedule=schedule)
     if sampling == "grid":
         return grid_coreset(assigned, eps=eps, seed=seed)
     stored = materialize(assigned, "ring-assigned")

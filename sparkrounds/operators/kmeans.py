@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.checks import require
-from sparkrounds.operators.coreset import CenterSets, _with_set, squared_distance
+from sparkrounds.functions.sizing import broadcast_if_small
+from sparkrounds.operators.coreset import (
+    MAX_CENTERS,
+    CenterSets,
+    _with_set,
+    squared_distance,
+)
 from sparkrounds.schemas import CENTERS
 
 
@@ -59,9 +65,11 @@ def kmeans_sse(points: DataFrame, centers: DataFrame) -> DataFrame:
     if "label" not in points.columns:
         near = nearest_center(points, centers)
         return near.agg(F.sum(F.col("w") * F.col("d2")).alias("sse"))
-    sets = CenterSets.of(centers)
-    own = squared_distance("get(centers, label)")
-    return sets.attach(_with_set(points)).agg(F.expr(f"sum(w * {own}) AS sse"))
+    own = centers.select(F.col("c").alias("label"), "cx", "cy")
+    rows = points.join(broadcast_if_small(own, own.count(), MAX_CENTERS), "label")
+    return rows.agg(
+        F.expr("sum(w * ((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS sse")
+    )
 
 
 def centroid_pairwise_avg(left: DataFrame, right: DataFrame) -> DataFrame:
