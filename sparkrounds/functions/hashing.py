@@ -38,6 +38,11 @@ def hash32(seed: object, *keys: str) -> Column:
     return F.expr(_hash32(seed, keys))
 
 
+def hash60(seed: object, *keys: str) -> Column:
+    """First 60 bits of :func:`order_key` as a LONG: the same order, as a number."""
+    return F.expr(f"bigint(conv(substring({_md5(seed, keys)}, 1, 15), 16, 10))")
+
+
 def bucket(seed: object, n: int, *keys: str) -> Column:
     """Seeded bucket number in ``[0, n)``."""
     return F.expr(f"{_hash32(seed, keys)} % {int(n)}")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.checks import one_of, require
-from sparkrounds.functions.hashing import bucket, order_key
+from sparkrounds.functions.hashing import bucket, hash60
 from sparkrounds.functions.ranking import bottom_by_hash
 from sparkrounds.operators.seeding import seed_arrays
 from sparkrounds.plans.lineage import materialize
@@ -243,11 +243,14 @@ def grid_coreset(assigned: DataFrame, *, eps: float = 0.25, seed: int = 0) -> Da
     """
     celled = grid_cell(assigned, eps=eps)
     alone = F.when(F.col("level").isNull(), F.col("id"))
-    order = F.struct(order_key(seed, "id").alias("h"), "id")
+    # Plain numbers in the aggregate's buffers keep it a hash aggregate.
+    drawn = celled.withColumns({"alone": alone, "draw": hash60(seed, "id")})
     return (
-        celled.groupBy("set", "level", "c", "gx", "gy", alone.alias("alone"))
-        .agg(F.min_by(F.struct("id", "x", "y"), order).alias("p"), F.sum("w").alias("w"))
-        .select("p.id", "p.x", "p.y", "w", "set")
+        drawn.groupBy("set", "level", "c", "gx", "gy", "alone")
+        .agg(
+            *[F.min_by(v, "draw").alias(v) for v in ("id", "x", "y")], F.sum("w").alias("w")
+        )
+        .select(*POINT, "set")
     )
 
 
