@@ -7,28 +7,20 @@ executors, so a lost executor costs a re-read, never a replay of old rounds.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one in local mode only."""
+    """The session's shared checkpoint folder, or a folder of the warehouse when none is set.
+
+    Both are places that every executor and the driver can read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="sparkrounds-")
-    return _LOCAL_DIRS[app]
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -48,3 +40,12 @@ def materialize_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     """:func:`materialize` plus the row count, taken from the Parquet footers."""
     table = materialize(df, tag)
     return table, table.count()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again."""
+    for table in tables:
+        jvm, spark = table.sparkSession.sparkContext._jvm, table.sparkSession
+        for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
