@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.llm import mixing
-from sparkrounds.llm.common import table, word_count
+from sparkrounds.llm import exact_dedup, mixing, packing
+from sparkrounds.llm.common import UPPER, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,32 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(
         targets.hint("broadcast"), F.col("source").eqNullSafe(F.col("name"))
     ).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+@query("op2_stream_dedup")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every text, by the state of a stream over all documents."""
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+SQL["op2_stream_dedup"] = f"""
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS norm FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY norm)
+"""
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_pack")
+def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", "text"), tokenizer=tokenizer_path())
