@@ -66,6 +66,8 @@ def fill_state(
         STATE + "rocksdb.maxMemoryUsageMB": "256",
         STATE + "rocksdb.writeBufferSizeMB": "8",
         STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+        # Many small stores: files as large as what they hold, none allocated ahead.
+        STATE + "rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {c: spark.conf.get(c, None) for c in confs}
