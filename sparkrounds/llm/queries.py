@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.llm import exact_dedup, mixing, packing, toxicity
+from sparkrounds.llm import ann, exact_dedup, mixing, packing, toxicity, warc
 from sparkrounds.llm.common import UPPER, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,17 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled ones that are not held out."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_warc")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest, folder)
+
+
+@query("op5_learned_partitions")
+def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest neighbours of every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
