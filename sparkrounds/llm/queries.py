@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.llm import ann, exact_dedup, mixing, packing, toxicity, warc
+from sparkrounds.llm import ann, exact_dedup, line_dedup, mixing, packing, toxicity, warc
 from sparkrounds.llm.common import UPPER, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,49 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest neighbours of every hundredth vector."""
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_line_dedup")
+def line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line deduplication leaves of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs)
+    return left.select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+SQL["op6_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, i, list_extract(ls, i) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)
+),
+solid AS (SELECT * FROM l WHERE regexp_matches(line, '[^\s]')),
+firsts AS (
+  SELECT line, min((doc_id, i)) AS first, length(line) AS n FROM solid GROUP BY line
+),
+long AS (SELECT *, unnest(list_distinct([(n - 1) // 2, n // 2])) AS m FROM firsts WHERE n >= 20),
+halves AS (
+  SELECT *, 'a' AS side, left(line, m) AS half FROM long UNION ALL
+  SELECT *, 'z' AS side, right(line, m) AS half FROM long
+),
+pairs AS (
+  SELECT DISTINCT s.line AS s, t.line AS t FROM halves s JOIN halves t
+  ON s.side = t.side AND s.m = t.m AND s.half = t.half AND t.first < s.first AND abs(s.n - t.n) <= 1
+),
+near AS (
+  SELECT DISTINCT s AS line FROM pairs WHERE len(list_filter(range(1, greatest(length(s), length(t)) + 1), lambda i:
+    left(s, i - 1) = left(t, i - 1) AND CASE
+      WHEN length(s) = length(t) THEN substr(s, i + 1) = substr(t, i + 1)
+      WHEN length(s) > length(t) THEN substr(s, i + 1) = substr(t, i)
+      ELSE substr(s, i) = substr(t, i + 1) END)) > 0
+),
+judged AS (
+  SELECT l.doc_id, l.i, l.line, near.line IS NOT NULL AS near,
+         near.line IS NULL AND f.first IS NOT NULL AND (l.doc_id, l.i) <> f.first AS exact
+  FROM l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near ON l.line = near.line
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT exact AND NOT near), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
