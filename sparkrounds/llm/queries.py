@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.llm import ann, exact_dedup, line_dedup, mixing, packing, toxicity, warc
+from sparkrounds.llm import ann, exact_dedup, line_dedup, mixing, ngram_join, packing, toxicity, warc
 from sparkrounds.llm.common import UPPER, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, co
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT exact AND NOT near), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query("op10_ngram_join")
+def ngram_join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar five-word shingle sets."""
+    docs = table(spark, sf_dir, "documents")
+    return ngram_join.jaccard_components(docs.select("doc_id", "text"))
