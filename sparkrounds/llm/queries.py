@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.llm import ann, exact_dedup, line_dedup, mixing, ngram_join, packing, toxicity, warc
+from sparkrounds.llm import (
+    ann,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from sparkrounds.llm.common import UPPER, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +152,10 @@ def ngram_join_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar five-word shingle sets."""
     docs = table(spark, sf_dir, "documents")
     return ngram_join.jaccard_components(docs.select("doc_id", "text"))
+
+
+@query("op8_suffix_dedup")
+def suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).drop("kept")
