@@ -9,9 +9,10 @@ stands for all its earlier partners and no pairs are listed.  What is found is
 verified by edit distance.
 
 Only lines that share a first or last half with another line of fitting length
-can lie within one edit, so only these emit variants.  A variant's key combines
-the hashes of what lies before, in and after the block with the deletion, so a
-long line costs little more than its length.
+can lie within one edit, and only blocks of them outside of which the lines agree
+can hold the edit, so only these blocks emit variants.  A variant's key combines
+the hashes of what lies before, in and after its block, so a long line costs
+little more than its length.
 """
 
 from __future__ import annotations
@@ -52,27 +53,52 @@ def _half_keys() -> str:
     return f"if(n >= {MIN_CHARS}, array_distinct(array({', '.join(halves)})), array())"
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """digest, first and the key and kind of every variant of ``lines``.
+def _open_blocks(lines: DataFrame) -> DataFrame:
+    """The blocks of ``lines`` outside of which another line is the same.
 
-    Kinds: ``at`` a deletion at a given place, ``cut`` a deletion anywhere, ``all``
-    the whole line.
+    Lines of equal length agree before and after the block; of lines whose length
+    differs by one, the shorter one's block is a character shorter.
     """
     n = F.length("line")
     blocks = lines.withColumn("n", n).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}")))
     )
-    parts = blocks.select(
-        "digest", "first", "n", "j",
-        F.expr(f"xxhash64(left(line, {BLOCK} * j))").alias("before"),
-        F.expr(f"substring(line, {BLOCK} * j + 1, {BLOCK})").alias("mid"),
-        F.expr(f"xxhash64(substring(line, {BLOCK} * (j + 1) + 1))").alias("after"),
-        F.expr(f"xxhash64(substring(line, {BLOCK} * (j + 1)))").alias("after_less"),
+    blocks = materialize(
+        blocks.select(
+            "digest", "first", "n", "j",
+            F.expr(f"xxhash64(left(line, {BLOCK} * j))").alias("before"),
+            F.expr(f"substring(line, {BLOCK} * j + 1, {BLOCK})").alias("mid"),
+            F.expr(f"xxhash64(substring(line, {BLOCK} * (j + 1) + 1))").alias("after"),
+            F.expr(f"xxhash64(substring(line, {BLOCK} * (j + 1)))").alias("after_less"),
+        ),
+        "line-blocks",
     )
+    roles = blocks.select(
+        "digest", "j",
+        F.expr(
+            "explode(array("
+            "struct(xxhash64('same', j, n, before, after) AS key, 0 AS role),"
+            "struct(xxhash64('less', j, n - 1, before, after) AS key, 1 AS role),"
+            "struct(xxhash64('less', j, n, before, after_less) AS key, 2 AS role)))"
+        ).alias("r"),
+    ).select("digest", "j", "r.*")
+    met = roles.groupBy("key").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("role").alias("low"), F.max("role").alias("high")
+    ).filter("if(low = 0, lines > 1, low < high)")
+    shared = roles.join(met.select("key"), "key").select("digest", "j").distinct()
+    return blocks.join(shared, ["digest", "j"])
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """digest, first and the key and kind of the variants of ``lines`` that may meet others.
+
+    Kinds: ``at`` a deletion at a given place, ``cut`` a deletion anywhere, ``all``
+    the whole line.
+    """
     # All keys carry the block, the resulting length and its three parts' hashes.
     less = "concat(left(mid, i - 1), substring(mid, i + 1))"
     each = "sequence(1, length(mid))"
-    keyed = parts.select(
+    keyed = _open_blocks(lines).select(
         "digest", "first",
         F.expr(
             "explode(concat("
