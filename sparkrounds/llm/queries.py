@@ -11,6 +11,7 @@ from sparkrounds.llm import (
     ann,
     exact_dedup,
     line_dedup,
+    lm_scoring,
     mixing,
     ngram_join,
     packing,
@@ -159,3 +160,10 @@ def suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).drop("kept")
+
+
+@query("op7_context_mixing")
+def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a mixture of context models."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score_texts(docs.select("doc_id", "text"))
