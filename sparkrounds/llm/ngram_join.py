@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkrounds.functions.sizing import broadcast_if_small
 from sparkrounds.llm.shingles import STEP, U64, mix, shingle_sets
-from sparkrounds.plans.lineage import materialize, materialize_counted
+from sparkrounds.plans.lineage import discard, materialize, materialize_counted
 
 ORDERS = 2
 CHUNKS = 64
@@ -130,6 +130,21 @@ def _prefix(tokens: np.ndarray, classes: np.ndarray, order: int) -> tuple[np.nda
     return tokens[first], place[first]
 
 
+def _new_sets(sets: list[np.ndarray], met: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Names and sets without empty ones and those that the task has met."""
+    if len(met) > 1_000_000:
+        met.clear()
+    for x in sets:
+        if len(x) and (name := signature(x)) not in met:
+            met.add(name)
+            yield name, x
+
+
+def _cell(place: np.ndarray) -> np.ndarray:
+    """By the low bits: the high ones are small for every prefix token."""
+    return (place & U64((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
 def _prefix_cells(classes) -> Callable:
     """Task function: the cells of all prefix tokens, by order and chunk."""
 
@@ -150,12 +165,13 @@ def _prefix_cells(classes) -> Callable:
                 )
                 cells.clear()
 
+        met: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch):
-                for x in {signature(x): x for x in sets if len(x)}.values():
+                for _, x in _new_sets(sets, met):
                     for order in range(ORDERS):
                         place = _prefix(x, table, order)[1]
-                        held[order].append((place >> U64(64 - CELL_BITS)).astype(np.int64))
+                        held[order].append(_cell(place))
                         size += len(place)
                 if size > 8_000_000:
                     yield from emit()
@@ -178,13 +194,16 @@ def _prefix_rows(classes, shared) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = classes.value, shared.value
+        met: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch):
                 out = [(np.zeros(0, np.int64),) * 4]
-                for name, x in {signature(x): x for x in sets if len(x)}.items():
+                for name, x in _new_sets(sets, met):
                     for order in range(ORDERS):
                         token, place = _prefix(x, table, order)
-                        cell = (place >> U64(64 - CELL_BITS)).astype(np.int64)
+                        cell = _cell(place)
+                        # A token has another name under each order.
+                        token = mix(token + U64(order))
                         kept = token[(bits[order][cell >> 3] >> (7 - (cell & 7))) & 1 == 1].view(np.int64)
                         n = len(kept)
                         out.append((np.full(n, order), kept, np.full(n, name), np.full(n, len(x))))
@@ -315,28 +334,33 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     cells = rows.mapInArrow(_prefix_cells(classes), "chunk long, data binary")
     shared = spark.sparkContext.broadcast(_table(cells, _shared_cells, ORDERS, "u1"))
     prefixes = rows.mapInArrow(_prefix_rows(classes, shared), "ord long, token long, sig long, n long")
-    prefixes = materialize(prefixes.distinct(), "ngram-prefixes")
-    groups = prefixes.groupBy("ord", "token").agg(
-        F.count(F.lit(1)).alias("members"), F.min("sig").alias("lead"), F.min_by("n", "sig").alias("lead_n")
-    ).filter("members > 1")
-    members = materialize(prefixes.join(groups, ["ord", "token"]), "ngram-members")
+    prefixes = materialize(prefixes, "ngram-prefixes")
+    groups = prefixes.groupBy("token").agg(
+        F.count(F.lit(1)).alias("members"), F.min("sig").alias("lead"), F.max("sig").alias("last")
+    ).filter("lead < last").drop("last")
+    members = materialize(prefixes.join(groups, "token"), "ngram-members")
+    discard(prefixes)
+    reps = people.filter("sig IS NOT NULL").groupBy("sig").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("size")
+    )
+    reps = materialize(reps, "ngram-classes")
     stars = (
         members.filter("sig <> lead")
         .groupBy("ord", F.col("lead").alias("a"), F.col("sig").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.first("lead_n").alias("m"), F.first("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        .join(reps.select(F.col("sig").alias("a"), F.col("size").alias("m")), "a")
         .filter(possible("c", "m", "n"))
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).filter(f"orders = {ORDERS}")
     )
-    reps = people.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     stars = materialize(stars.select("a", "b"), "ngram-stars")
     links = _verified(rows, reps, stars)
     parts = materialize(connected(links), "ngram-parts")
     placed = members.select("ord", "token", "sig", "n", "members").join(parts, "sig", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "sig"))
-    open_ = placed.groupBy("ord", "token").agg(
+    open_ = placed.groupBy("token").agg(
         F.min("comp").alias("main"), F.max("comp").alias("other")
     ).filter("main <> other").drop("other")
-    left = materialize(placed.join(open_, ["ord", "token"]), "ngram-left")
+    left = materialize(placed.join(open_, "token").distinct(), "ngram-left")
     small = left.filter(f"members <= {SMALL_GROUP}")
     one = small.select("ord", "token", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("comp").alias("p"))
     two = small.select("ord", "token", F.col("sig").alias("b"), "n", F.col("comp").alias("q"))
