@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -157,89 +158,147 @@ def _whole(batch: Batch, place, first, last, length: int) -> np.ndarray:
         return mix(batch.hashes(first, last + length) + shape)
 
 
-def _cells(length: int) -> Callable:
+def _cell(fp: np.ndarray) -> np.ndarray:
+    return (fp >> U64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    cell = _cell(fp)
+    return (bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1
+
+
+def _cell_rows(fps: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
+    """Task function: the cells of all fingerprints that ``fps`` finds, by chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
         edges = np.arange(1, CHUNKS, dtype=np.int64) << (CELL_BITS - 6)
+        held: list[np.ndarray] = []
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for kind, fps in enumerate(held):
-                cells = np.sort(np.concatenate([np.zeros(0, dtype=U64), *fps]) >> U64(64 - CELL_BITS)).astype(np.int64)
-                low = (cells & ((1 << (CELL_BITS - 6)) - 1)).astype(np.uint32)
-                parts = [x.tobytes() for x in np.split(low, np.searchsorted(cells, edges))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind * CHUNKS + i for i in range(CHUNKS)], pa.int64()), pa.array(parts, pa.binary())],
-                    ["chunk", "data"],
-                )
-                fps.clear()
+            cells = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *held]))
+            held.clear()
+            low = (cells & ((1 << (CELL_BITS - 6)) - 1)).astype(np.uint32)
+            parts = [x.tobytes() for x in np.split(low, np.searchsorted(cells, edges))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "data"])
 
         for batch in batches:
-            for parts, _, _ in _segments(batch.column("text").to_pylist(), length):
-                b = Batch(parts)
-                _, place, first, last = b.anchors(length)
-                held[0].append(b.hashes(place, place + GRAM))
-                held[1].append(_whole(b, place, first, last, length))
-            if sum(map(len, held[0])) > 8_000_000:
+            held += [_cell(fp) for fp in fps(batch)]
+            if sum(map(len, held)) > 8_000_000:
                 yield from emit()
         yield from emit()
 
     return run
 
 
-ENTRIES = "doc long, body long, s long, e long, b long, outer long, inner long, whole long"
+def _any_cells(rows: pd.DataFrame) -> pd.DataFrame:
+    there = np.zeros(1 << (CELL_BITS - 6), dtype=bool)
+    for data in rows["data"]:
+        there[np.frombuffer(data, np.uint32)] = True
+    return pd.DataFrame({"chunk": rows["chunk"][:1], "data": [np.packbits(there).tobytes()]})
+
+
+@dataclass
+class Anchored:
+    """The anchors of some texts whose gram may be shared; first and last are starts in ``hashed``."""
+
+    hashed: Batch
+    owner: np.ndarray
+    shift: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    whole: np.ndarray
+
+    def blocks(self, which: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Of the chosen anchors: anchor, first and last start of each block, its outer and inner fingerprint."""
+        place, first, last = self.place[which], self.first[which], self.last[which]
+        # Blocks of distances place - start.
+        low, high = (place - last) // BLOCK, (place - first) // BLOCK
+        n = high - low + 1
+        row = np.repeat(np.arange(len(place)), n)
+        block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n - low, n)
+        begin = place[row] - block * BLOCK
+        s, e = np.maximum(first[row], begin - BLOCK + 1), np.minimum(last[row], begin)
+        outer = _whole(self.hashed, place[row], s, e, length)
+        with np.errstate(over="ignore"):
+            inner = mix(self.hashed.hashes(begin, begin + length - BLOCK + 1) + block.astype(U64) * STEP)
+        return which[row], s, e, outer, inner
+
+
+def _anchored(batch: pa.RecordBatch, grams: np.ndarray, length: int) -> Iterator[Anchored]:
+    for parts, owner, offset in _segments(batch.column("text").to_pylist(), length):
+        b = Batch(parts)
+        text, place, first, last = b.anchors(length)
+        keep = _has(grams, b.hashes(place, place + GRAM))
+        text, place, first, last = text[keep], place[keep], first[keep], last[keep]
+        whole = _whole(b, place, first, last, length)
+        yield Anchored(b, owner[text], offset[text] - b.bounds[text], place, first, last, whole)
+
+
+def _gram_fps(length: int) -> Callable:
+    def fps(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for parts, _, _ in _segments(batch.column("text").to_pylist(), length):
+            b = Batch(parts)
+            place = b.anchors(length)[1]
+            yield b.hashes(place, place + GRAM)
+
+    return fps
+
+
+def _inner_fps(grams, alone, length: int) -> Callable:
+    """Of the blocks of anchors whose whole may be alone: their inner fingerprints."""
+
+    def fps(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for a in _anchored(batch, grams.value, length):
+            yield a.blocks(np.flatnonzero(_has(alone.value, a.whole)), length)[4]
 
+    return fps
 
-def _entries(shared, length: int) -> Callable:
-    """Task function: one row for an anchor (b = -1) or for each block of its strings.
 
-    s and e are the first and last start of the strings.  Anchors whose whole may
-    be shared give a row for it; the first of the task also gives its blocks, so
-    that matches which end there find them.
+def _row_fps(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column("fp").to_numpy().view(U64)
+
+
+WHOLES = "doc long, body long, s long, e long, fp long"
+BLOCKS = "doc long, body long, s long, e long, outer long, inner long, whole long"
+
+
+def _wholes(grams, length: int) -> Callable:
+    """Task function: a row for each anchor whose gram may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, bodies = batch.column("doc"), batch.column("body")
+            for a in _anchored(batch, grams.value, length):
+                at = pa.array(a.owner)
+                columns = [docs.take(at), bodies.take(at), *map(pa.array, (a.first + a.shift, a.last + a.shift, a.whole.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WHOLES.split(", ")])
+
+    return run
+
+
+def _blocks(grams, alone, inners, length: int) -> Callable:
+    """Task function: the blocks of anchors whose whole may be alone, and blocks that may match those.
+
+    Of anchors with one whole, all found elsewhere too, the task's first stands for the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, wholes = shared.value
-        at = lambda bits, fp: (bits[(c := (fp >> U64(64 - CELL_BITS)).astype(np.int64)) >> 3] >> (7 - (c & 7))) & 1 == 1
         met: set[int] = set()
         for batch in batches:
-            docs, bodies = (batch.column(c).to_pylist() for c in ("doc", "body"))
-            for parts, owner, offset in _segments(batch.column("text").to_pylist(), length):
-                b = Batch(parts)
-                text, place, first, last = b.anchors(length)
-                keep = at(grams, b.hashes(place, place + GRAM))
-                text, place, first, last = text[keep], place[keep], first[keep], last[keep]
-                whole = _whole(b, place, first, last, length)
-                often = at(wholes, whole)
-                new = np.array([not (w in met or met.add(w)) for w in whole.tolist()], dtype=bool)
-                if len(met) > 2_000_000:
+            docs, bodies = batch.column("doc"), batch.column("body")
+            for a in _anchored(batch, grams.value, length):
+                single = _has(alone.value, a.whole)
+                new = np.fromiter((w not in met and not met.add(w) for w in a.whole.tolist()), bool, len(single))
+                if len(met) > 1_000_000:
                     met.clear()
-                cut = ~often | new
-                # Blocks of distances x = place - start.
-                low, high = (place - last) // BLOCK, (place - first) // BLOCK
-                n = np.where(cut, high - low + 1, 0)
-                row = np.repeat(np.arange(len(place)), n)
-                block = np.repeat(low, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                s = np.maximum(first[row], place[row] - block * BLOCK - BLOCK + 1)
-                e = np.minimum(last[row], place[row] - block * BLOCK)
-                begin = place[row] - block * BLOCK
-                outer = _whole(b, place[row], s, e, length)
-                with np.errstate(over="ignore"):
-                    inner = mix(b.hashes(begin, begin + length - BLOCK + 1) + block.astype(U64) * STEP)
-                which = np.flatnonzero(often)
-                shift = lambda rows, x: x - b.bounds[text[rows]] + offset[text[rows]]
-                rows = np.concatenate([which, row])
-                none = np.zeros(len(which), dtype=bool)
-                columns = [
-                    pa.array([docs[i] for i in owner[text[rows]]], pa.int64()),
-                    pa.array([bodies[i] for i in owner[text[rows]]], pa.int64()),
-                    pa.array(shift(rows, np.concatenate([first[which], s]))),
-                    pa.array(shift(rows, np.concatenate([last[which], e]))),
-                    pa.array(np.concatenate([np.full(len(which), -1), block])),
-                    pa.array(np.concatenate([_salted(whole[which], 0), _salted(outer, 1)]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(len(which), U64), _salted(inner, 2)]).view(np.int64), mask=np.concatenate([~none, np.zeros(len(row), bool)])),
-                    pa.array(_salted(whole[rows], 0).view(np.int64), mask=~often[rows]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ENTRIES.split(", ")])
+                row, s, e, outer, inner = a.blocks(np.flatnonzero(single | new), length)
+                keep = single[row] | _has(inners.value, inner)
+                row, s, e, outer, inner = row[keep], s[keep], e[keep], outer[keep], inner[keep]
+                at, shift = pa.array(a.owner[row]), a.shift[row]
+                fps = (_salted(outer, 1), _salted(inner, 2), a.whole[row])
+                columns = [docs.take(at), bodies.take(at), pa.array(s + shift), pa.array(e + shift), *(pa.array(x.view(np.int64)) for x in fps)]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
 
     return run
 
@@ -342,20 +401,31 @@ def remove_repeats(
     rows = docs.select(
         F.col(f"`{key}`").cast("long").alias("doc"), body.alias("body"), F.col(f"`{text}`").cast("string").alias("text")
     )
-    cells = rows.select("text").mapInArrow(_cells(length), "chunk long, data binary")
-    shared_cells = spark.sparkContext.broadcast(_table(cells, _shared_cells, 2, "u1"))
-    found = materialize(rows.mapInArrow(_entries(shared_cells, length), ENTRIES), "suffix-entries")
+    send = spark.sparkContext.broadcast
+    cells = "chunk long, data binary"
+    texts = rows.select("text")
+    grams = send(_table(texts.mapInArrow(_cell_rows(_gram_fps(length)), cells), _shared_cells, 1, "u1")[0])
+    wholes = materialize(rows.mapInArrow(_wholes(grams, length), WHOLES), "suffix-wholes")
     family = IndexFamily()
     for i in range(batches):
-        part = found.filter(f"pmod(body, {batches}) = {i}")
-        family.add(part.select(F.explode(F.array("outer", "inner")).alias("fp"), F.lit(1).alias("n")).filter("fp IS NOT NULL"))
+        family.add(wholes.filter(f"pmod(body, {batches}) = {i}").select("fp", F.lit(1).alias("n")))
     shared = materialize(family.shared(), "suffix-shared")
-    mark = lambda name: shared.select(F.col("fp").alias(name), F.lit(True).alias(f"{name}_twice"))
-    full = found.filter("b = -1").join(mark("outer"), "outer").select("doc", "body", "s", "e")
-    blocks = found.filter("b >= 0").join(mark("inner"), "inner")
-    blocks = blocks.join(mark("outer"), "outer", "left").join(mark("whole"), "whole", "left")
+    full = materialize(wholes.join(shared, "fp").select("doc", "body", "s", "e"), "suffix-full")
+    single = wholes.select("fp").join(shared, "fp", "left_anti")
+    alone = send(_table(single.mapInArrow(_cell_rows(_row_fps), cells), _any_cells, 1, "u1")[0])
+    inners = texts.mapInArrow(_cell_rows(_inner_fps(grams, alone, length)), cells)
+    inners = send(_table(inners, _any_cells, 1, "u1")[0])
+    found = materialize(rows.mapInArrow(_blocks(grams, alone, inners, length), BLOCKS), "suffix-found")
+    family = IndexFamily()
+    for i in range(batches):
+        part = found.filter(f"pmod(body, {batches}) = {i}")
+        family.add(part.select(F.explode(F.array("outer", "inner")).alias("fp"), F.lit(1).alias("n")))
+    twice = materialize(family.shared(), "suffix-twice")
+    blocks = found.join(twice.select(F.col("fp").alias("inner")), "inner")
+    blocks = blocks.join(twice.select(F.col("fp").alias("outer"), F.lit(True).alias("o")), "outer", "left")
+    blocks = blocks.join(shared.select(F.col("fp").alias("whole"), F.lit(True).alias("w")), "whole", "left")
     blocks = materialize(
-        blocks.select("doc", "body", "s", "e", "outer", "inner", F.expr("coalesce(outer_twice, whole_twice, false)").alias("done")),
+        blocks.select("doc", "body", "s", "e", "outer", "inner", F.expr("coalesce(o, w, false)").alias("done")),
         "suffix-blocks",
     )
     open_ = blocks.filter("NOT done")
@@ -373,15 +443,14 @@ def remove_repeats(
     n = asked.agg(F.sum(F.expr("aggregate(ranges, 0L, (a, r) -> a + r.e - r.s + 1)"))).first()[0] or 0
     on = F.col("doc").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b"))
     # Rows that repeat key and text are copies anyway: their anchors were found whole.
-    texts = rows.join(asked, on).drop("d", "b")
-    strings = texts.mapInArrow(
+    strings = rows.join(asked, on).drop("d", "b").mapInArrow(
         _strings(length, max(1, n // BUCKET_STRINGS)),
         "bucket long, docs array<long>, bodies array<long>, fp binary, at binary, p binary",
     )
-    single = strings.groupBy("bucket").applyInPandas(_repeated, "doc long, body long, s long, e long")
+    ends = strings.groupBy("bucket").applyInPandas(_repeated, "doc long, body long, s long, e long")
     done = blocks.filter("done").select("doc", "body", "s", "e")
     ranges = (
-        full.unionByName(done).unionByName(materialize(single, "suffix-single"))
+        full.unionByName(done).unionByName(materialize(ends, "suffix-ends"))
         .groupBy(F.col("doc").alias("d"), F.col("body").alias("b"))
         .agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     )
