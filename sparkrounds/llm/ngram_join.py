@@ -34,7 +34,7 @@ from sparkrounds.plans.lineage import discard, materialize, materialize_counted
 ORDERS = 2
 CHUNKS = 64
 COUNT_BITS = 22
-CELL_BITS = 27
+CELL_BITS = 28
 SMALL_GROUP = 128
 BLOCK = 1024
 BROADCAST_ROWS = 100_000
@@ -246,7 +246,7 @@ def _verify() -> Callable:
 
 
 def _compare_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of different components; common tokens by matrix products."""
+    """Links that join the block's components as all its links do; common tokens by matrix products."""
     out = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     if not len(left) or not len(right):
         return out
@@ -269,8 +269,25 @@ def _compare_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     m, n = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
     apart = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
     i, j = np.nonzero(apart & similar(common.astype(np.int64), m, n))
-    a, b = left["sig"].to_numpy()[i], right["sig"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    # One link for each pair of components, and of these only a spanning forest.
+    p, q = left["comp"].to_numpy()[i], right["comp"].to_numpy()[j]
+    _, first = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    kept = []
+    for f in first.tolist():
+        one, two = find(int(p[f])), find(int(q[f]))
+        if one != two:
+            root[max(one, two)] = min(one, two)
+            kept.append(f)
+    a, b = left["sig"].to_numpy()[i[kept]], right["sig"].to_numpy()[j[kept]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -303,12 +320,16 @@ def connected(links: DataFrame) -> DataFrame:
 
 def _table(rows: DataFrame, add: Callable, orders: int, dtype: str) -> list[np.ndarray]:
     """Per order the whole table of cells: a fixed number of bytes, whatever the corpus."""
-    found = {r.chunk: bytes(r.data) for r in rows.groupBy("chunk").applyInPandas(add, "chunk long, data binary").collect()}
-    size = next((len(x) for x in found.values()), 1)
-    return [
-        np.frombuffer(b"".join(found.get(o * CHUNKS + i, bytes(size)) for i in range(CHUNKS)), dtype=dtype)
-        for o in range(orders)
-    ]
+    summed = rows.groupBy("chunk").applyInPandas(add, "chunk long, data binary")
+    if orders > 1:
+        summed = materialize(summed, "ngram-cells")
+    out = []
+    for order in range(orders):
+        mine = summed.filter(f"chunk >= {order * CHUNKS} AND chunk < {(order + 1) * CHUNKS}")
+        found = {r.chunk % CHUNKS: r.data for r in mine.collect()}
+        size = next((len(x) for x in found.values()), 1)
+        out.append(np.frombuffer(b"".join(found.get(i, bytes(size)) for i in range(CHUNKS)), dtype=dtype))
+    return out
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -354,13 +375,15 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     )
     stars = materialize(stars.select("a", "b"), "ngram-stars")
     links = _verified(rows, reps, stars)
-    parts = materialize(connected(links), "ngram-parts")
-    placed = members.select("ord", "token", "sig", "n", "members").join(parts, "sig", "left")
+    parts, n = materialize_counted(connected(links), "ngram-parts")
+    placed = members.select("ord", "token", "sig", "n", "members").join(
+        broadcast_if_small(parts, n, BROADCAST_ROWS), "sig", "left"
+    )
     placed = placed.withColumn("comp", F.coalesce("comp", "sig"))
     open_ = placed.groupBy("token").agg(
         F.min("comp").alias("main"), F.max("comp").alias("other")
     ).filter("main <> other").drop("other")
-    left = materialize(placed.join(open_, "token").distinct(), "ngram-left")
+    left = materialize(placed.join(open_, "token"), "ngram-left")
     small = left.filter(f"members <= {SMALL_GROUP}")
     one = small.select("ord", "token", F.col("sig").alias("a"), F.col("n").alias("m"), F.col("comp").alias("p"))
     two = small.select("ord", "token", F.col("sig").alias("b"), "n", F.col("comp").alias("q"))
