@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.catalog import QUERIES
+from sparkrounds.catalog import FIXTURES, QUERIES
 from sparkrounds.catalog.bindings import part_supplier_edges
 from sparkrounds.operators.boruvka import minimum_spanning_forest
 from sparkrounds.operators.components import single_linkage
@@ -89,7 +89,7 @@ def cases(spark: SparkSession) -> dict:
         "kmeanspp_seed", "kmeans_fit", "build_graph", "build_graph_incident", "pivot_mean",
         "facet_pivot", "mean_all_numeric", "transpose_means", "rounds_long",
     ):
-        out[name] = lambda name=name: QUERIES[name](spark, SF_DIR).count()
+        out[name] = lambda name=name: {**FIXTURES, **QUERIES}[name](spark, SF_DIR).count()
     return out
 
 

@@ -1,4 +1,4 @@
-"""Generator queries.  Sizes come from the tables, so the work grows with them."""
+"""Generated graphs and points as fixtures of tests, and weightings and shells of table rows."""
 
 from __future__ import annotations
 
@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from sparkrounds.catalog.bindings import (
     EMBEDDING_POINTS,
     EVENT_POINTS,
+    PART_SUPPLIER_EDGES,
     embedding_points,
     event_points,
+    part_supplier_edges,
     row_count,
     sql_hash32,
     sql_normals,
 )
-from sparkrounds.catalog.registry import query
+from sparkrounds.catalog.registry import fixture, query
+from sparkrounds.functions.ranking import global_rank
+from sparkrounds.operators.graph import vertices_of
 from sparkrounds.sources import graphgen, pointgen
 
 SPARSITY = 0.6
@@ -53,18 +57,18 @@ def _plain_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return graphgen.graph_backbone(spark, n).unionByName(fill), n
 
 
-@query("graph_backbone", f"WITH {_PAIRS} SELECT src, dst, pos FROM backbone")
+@fixture("graph_backbone", f"WITH {_PAIRS} SELECT src, dst, pos FROM backbone")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return graphgen.graph_backbone(spark, _size(spark, sf))
 
 
-@query("graph_fill", f"WITH {_LAYERS} SELECT src, dst, pos FROM fill")
+@fixture("graph_fill", f"WITH {_LAYERS} SELECT src, dst, pos FROM fill")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     n = _size(spark, sf)
     return graphgen.graph_fill(spark, n, graphgen.target_edges(n, SPARSITY) + 1 - (n - 1))
 
 
-@query(
+@fixture(
     "weight_random",
     f"""WITH {_LAYERS} SELECT src, dst,
     (1 + {sql_hash32(100, 'src', 'dst')} % 100)::DOUBLE AS w FROM layers""",
@@ -74,18 +78,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return graphgen.weight_random(layers, w_min=1, w_max=100, seed=100).drop("pos")
 
 
-@query("weight_constant", f"WITH {_LAYERS} SELECT src, dst, 1.0::DOUBLE AS w FROM layers")
+@fixture("weight_constant", f"WITH {_LAYERS} SELECT src, dst, 1.0::DOUBLE AS w FROM layers")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return graphgen.weight_constant(_plain_layers(spark, sf)[0]).drop("pos")
 
 
-@query("weight_unique", f"WITH {_LAYERS} SELECT src, dst, ({_UNIQUE})::DOUBLE AS w FROM layers")
+@fixture("weight_unique", f"WITH {_LAYERS} SELECT src, dst, ({_UNIQUE})::DOUBLE AS w FROM layers")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     layers, n = _plain_layers(spark, sf)
     return graphgen.weight_unique(layers, n).drop("pos")
 
 
-@query(
+@fixture(
     "weight_unique_reversed",
     f"WITH {_LAYERS} SELECT src, dst, ({_MAX} + 2 - ({_UNIQUE}))::DOUBLE AS w FROM layers",
 )
@@ -94,7 +98,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return graphgen.weight_unique_reversed(layers, n).drop("pos")
 
 
-@query(
+@fixture(
     "weight_incident",
     f"""WITH {_LAYERS}, {_owners('layers', 'layers')}
     SELECT src, dst, rank::DOUBLE AS w FROM weighted""",
@@ -103,7 +107,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return graphgen.weight_incident(_plain_layers(spark, sf)[0])
 
 
-@query(
+@fixture(
     "weight_incident_reversed",
     f"""WITH {_LAYERS}, {_owners('layers', 'layers')}
     SELECT src, dst, ((SELECT n FROM n) + 2 - rank)::DOUBLE AS w FROM weighted""",
@@ -113,6 +117,65 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return graphgen.weight_incident(layers, reversed_from=n)
 
 
+# Weightings of the part-supplier graph: positions are ranks of the pairs (src, dst).
+_TABLE = f"""{PART_SUPPLIER_EDGES}, n AS (SELECT count(*) AS m FROM raw),
+ids AS (SELECT src AS id FROM raw UNION SELECT dst FROM raw),
+placed AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS pos FROM raw)"""
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = part_supplier_edges(spark, sf).select("src", "dst")
+    return global_rank(pairs, [F.col("src"), F.col("dst")])
+
+
+@query(
+    "weight_random",
+    f"""WITH {PART_SUPPLIER_EDGES} SELECT src, dst,
+    (1 + {sql_hash32(100, 'src', 'dst')} % 100)::DOUBLE AS w FROM raw""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = part_supplier_edges(spark, sf).select("src", "dst")
+    return graphgen.weight_random(pairs, w_min=1, w_max=100, seed=100)
+
+
+@query("weight_constant", f"WITH {PART_SUPPLIER_EDGES} SELECT src, dst, 1.0::DOUBLE AS w FROM raw")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graphgen.weight_constant(part_supplier_edges(spark, sf).select("src", "dst"))
+
+
+@query("weight_unique", f"WITH {_TABLE} SELECT src, dst, pos::DOUBLE AS w FROM placed")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _placed(spark, sf).select("src", "dst", F.col("pos").cast("double").alias("w"))
+
+
+@query(
+    "weight_unique_reversed",
+    f"WITH {_TABLE} SELECT src, dst, (m + 1 - pos)::DOUBLE AS w FROM placed, n",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    placed = _placed(spark, sf)
+    m = placed.count()
+    return placed.select("src", "dst", (F.lit(m + 1) - F.col("pos")).cast("double").alias("w"))
+
+
+@query(
+    "weight_incident",
+    f"""WITH {_TABLE}, {_owners('raw', 'raw')} SELECT src, dst, rank::DOUBLE AS w FROM weighted""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graphgen.weight_incident(part_supplier_edges(spark, sf))
+
+
+@query(
+    "weight_incident_reversed",
+    f"""WITH {_TABLE}, {_owners('raw', 'raw')}
+    SELECT src, dst, ((SELECT count(*) FROM ids) + 2 - rank)::DOUBLE AS w FROM weighted""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    edges = part_supplier_edges(spark, sf)
+    return graphgen.weight_incident(edges, reversed_from=vertices_of(edges).count())
+
+
 CLIQUE = 5
 
 
@@ -126,7 +189,7 @@ def _ring(cliques: str) -> str:
         greatest(id + 1, (id + {CLIQUE}) % (q * {CLIQUE})) FROM ring_ids, q WHERE id % {CLIQUE} = 0)"""
 
 
-@query(
+@fixture(
     "ring_of_cliques",
     f"WITH {_N}, {_ring('n // 4')} SELECT src, dst FROM ring",
 )
@@ -169,7 +232,7 @@ def _build(spark: SparkSession, sf: str, method: str) -> DataFrame:
     return graph.withColumn("w", F.round("w", 6))
 
 
-@query(
+@fixture(
     "build_graph",
     _clique_graph(f"(1 + {sql_hash32(100, 'src', 'dst')} % 100)::DOUBLE", incident=False),
 )
@@ -177,17 +240,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _build(spark, sf, "RANDOM")
 
 
-@query("build_graph_same", _clique_graph("1.0::DOUBLE", incident=False))
+@fixture("build_graph_same", _clique_graph("1.0::DOUBLE", incident=False))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _build(spark, sf, "ALL_THE_SAME")
 
 
-@query("build_graph_unique", _clique_graph(f"({_UNIQUE})::DOUBLE", incident=False))
+@fixture("build_graph_unique", _clique_graph(f"({_UNIQUE})::DOUBLE", incident=False))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _build(spark, sf, "UNIQUE")
 
 
-@query(
+@fixture(
     "build_graph_unique_reversed",
     _clique_graph(f"({_MAX} + 2 - ({_UNIQUE}))::DOUBLE", incident=False),
 )
@@ -195,12 +258,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _build(spark, sf, "UNIQUE_REVERSED")
 
 
-@query("build_graph_incident", _clique_graph("rank::DOUBLE", incident=True))
+@fixture("build_graph_incident", _clique_graph("rank::DOUBLE", incident=True))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _build(spark, sf, "INCIDENT_EDGES_THE_SAME")
 
 
-@query(
+@fixture(
     "build_graph_incident_reversed",
     _clique_graph("((SELECT n FROM n) + 2 - rank)::DOUBLE", incident=True),
 )
@@ -272,22 +335,22 @@ def _round_xy(df: DataFrame) -> DataFrame:
 _EVENTS = "(SELECT count(*) FROM events)"
 
 
-@query("points_circles", _shown(_circles(_EVENTS)))
+@fixture("points_circles", _shown(_circles(_EVENTS)))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round_xy(pointgen.points_circles(spark, row_count(spark, sf, "events")))
 
 
-@query("points_moons", _shown(_moons(_EVENTS)))
+@fixture("points_moons", _shown(_moons(_EVENTS)))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round_xy(pointgen.points_moons(spark, row_count(spark, sf, "events")))
 
 
-@query("points_blobs", _shown(_blobs(_EVENTS)))
+@fixture("points_blobs", _shown(_blobs(_EVENTS)))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round_xy(pointgen.points_blobs(spark, row_count(spark, sf, "events")))
 
 
-@query("points_varied", _shown(_blobs(_EVENTS, spread=pointgen.VARIED_SPREAD)))
+@fixture("points_varied", _shown(_blobs(_EVENTS, spread=pointgen.VARIED_SPREAD)))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round_xy(pointgen.points_varied(spark, row_count(spark, sf, "events")))
 
@@ -327,7 +390,7 @@ def _catalog_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("points_catalog", _catalog_sql())
+@fixture("points_catalog", _catalog_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     sizes = [row_count(spark, sf, name) for name in ("supplier", "customer")]
     return _round_xy(pointgen.points_catalog(spark, sizes))

@@ -10,6 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+# Generators make the input of tests and benchmarks: checked like queries, but none.
+FIXTURES: dict[str, Query] = {}
+FIXTURE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,3 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return register
+
+
+def fixture(name: str, sql: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        FIXTURES[name], FIXTURE_SQL[name] = fn, sql
+        return fn
+
+    return register

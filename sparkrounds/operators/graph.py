@@ -24,6 +24,16 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
     return pair.groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
+def weighed(edges: DataFrame) -> DataFrame:
+    """The edges, failing the job that meets a null or NaN weight: it has no place in any order."""
+    bad = F.col("w").isNull() | F.isnan(F.col("w").cast("double"))
+    wrong = F.raise_error(
+        F.concat(F.lit("null or NaN weight of edge "), F.concat_ws("-", F.to_json(F.struct("src", "dst"))))
+    )
+    kind = edges.schema["w"].dataType
+    return edges.withColumn("w", F.when(bad, wrong.cast(kind)).otherwise(F.col("w")))
+
+
 def vertices_of(edges: DataFrame) -> DataFrame:
     """Distinct end points of the edges."""
     require(edges, "src", "dst", what="edges")
@@ -74,7 +84,10 @@ def remove_edges(
 
 
 def edge_length(edges: DataFrame, coords: DataFrame) -> DataFrame:
-    """Weight every edge by the Euclidean distance of its end points' coordinates."""
+    """Weight every edge by the Euclidean distance of its end points' coordinates.
+
+    An edge with an end that has no coordinates fails the job.
+    """
     require(coords, "id", "x", "y", what="coords")
     places = coords.select(F.col("id").alias("k"), F.struct("x", "y").alias("v"))
     rows = coords.count()
@@ -82,6 +95,10 @@ def edge_length(edges: DataFrame, coords: DataFrame) -> DataFrame:
     for end, place in (("src", "p"), ("dst", "q")):
         ends = lookup(ends, end, places, place, table_rows=rows, spread=["src", "dst"])
     dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
-    return ends.filter("p IS NOT NULL AND q IS NOT NULL").select(
-        "src", "dst", F.sqrt(dx * dx + dy * dy).alias("w")
+    lost = F.raise_error(
+        F.concat(F.lit("no coordinates for an end of edge "), F.concat_ws("-", "src", "dst"))
+    ).cast("double")
+    missing = F.col("p").isNull() | F.col("q").isNull()
+    return ends.select(
+        "src", "dst", F.when(missing, lost).otherwise(F.sqrt(dx * dx + dy * dy)).alias("w")
     )

@@ -49,8 +49,9 @@ def transpose_means(
     df: DataFrame, key: str, categories: Sequence[str], values: Sequence[str], out: str = "measure"
 ) -> DataFrame:
     """Means per key with the value columns as rows and the keys as columns."""
-    long = df.unpivot([key], list(values), out, "value")
-    return long.groupBy(out).pivot(key, list(categories)).agg(F.avg("value"))
+    # Means first: only one row per key is turned.
+    long = group_means(df, [key], values).unpivot([key], list(values), out, "value")
+    return long.groupBy(out).pivot(key, list(categories)).agg(F.first("value"))
 
 
 def log10_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -18,6 +18,8 @@ from sparkrounds.plans.lineage import materialize
 
 # Seeds over all sets that may be broadcast; more are joined by shuffle.
 MAX_SEEDS = 100_000
+# Passes between two stores of the distances; in between they are a few columns more.
+STORE_EVERY = 4
 
 
 def kmeanspp_seed(
@@ -33,8 +35,9 @@ def seed_arrays(
 ) -> DataFrame:
     """``(set, centers ARRAY<STRUCT<c, cx, cy, id>>)``, stored: the seeds of every set.
 
-    ``points`` is read ``k`` times, so pass a stored table.  The seeds so far are
-    a short array per set; ``sets`` is the number of sets (counted if not given).
+    Work is linear in ``k``: a pass updates each point's distance to its nearest
+    seed by the newest one.  ``points`` is read for the first passes only, then
+    stored distances are; ``sets`` is the number of sets (counted if not given).
     """
     require(points, "id", "x", "y", what="points")
     rows = points if "set" in points.columns else points.withColumn("set", F.lit(0))
@@ -43,26 +46,32 @@ def seed_arrays(
         sets = rows.select("set").distinct().count()
     start = rows.withColumn("h", order_key(f"{seed}:0", "id"))
     chosen = start.groupBy("set").agg(F.expr("array(min_by(place, struct(h, id))) AS seeds"))
+    # The running least distance to a seed; a pass compares with the newest seed only.
+    state = rows.withColumn("d2", F.lit(float("inf")))
+    chosen = materialize(chosen, "seeds")
     for number in range(1, k):
-        d2 = ", ".join(_squared(f"get(seeds, {i})") for i in range(number))
-        raced = (
-            rows.join(broadcast_if_small(chosen, sets * k, MAX_SEEDS), "set")
-            .withColumns(
-                {
-                    "d2": F.expr(f"least({d2})" if number > 1 else d2),
-                    "u": uniform(f"{seed}:{number}", "id"),
-                }
-            )
-            .withColumn("arrival", F.expr("CASE WHEN d2 > 0 THEN -ln(u) / d2 END"))
+        newest = chosen.selectExpr("set", "get(seeds, size(seeds) - 1) AS newest")
+        newest = broadcast_if_small(newest, sets, MAX_SEEDS)
+        state = state.join(newest, "set").withColumn(
+            "d2", F.expr(f"least(d2, {_squared('newest')})")
+        ).drop("newest")
+        if number % STORE_EVERY == 0:
+            state = materialize(state, "seed-distances")
+        raced = state.withColumn("u", uniform(f"{seed}:{number}", "id")).withColumn(
+            "arrival", F.expr("CASE WHEN d2 > 0 THEN -ln(u) / d2 END")
         )
         # A set whose points all coincide with seeds has no arrivals and keeps its seeds.
         won = raced.groupBy("set").agg(
-            F.expr("first(seeds) AS seeds"),
             F.expr(
                 "min_by(place, struct(arrival, id)) FILTER (WHERE arrival IS NOT NULL) AS place"
             ),
         )
-        chosen = won.select("set", F.expr("concat(seeds, array_compact(array(place))) AS seeds"))
+        chosen = materialize(
+            chosen.join(broadcast_if_small(won, sets, MAX_SEEDS), "set").selectExpr(
+                "set", "concat(seeds, array_compact(array(place))) AS seeds"
+            ),
+            "seeds",
+        )
     arrays = chosen.selectExpr(
         "int(set) AS set",
         "transform(seeds, (p, i) -> named_struct('c', i, 'cx', p.x, 'cy', p.y, 'id', p.id)) AS centers",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,20 +12,33 @@ from sparkrounds.schemas import CORESET_RUNLOG, GRAPH_RUNLOG
 def read_runlog(
     spark: SparkSession, path: str, *, sep: str = ",", schema: T.StructType = GRAPH_RUNLOG
 ) -> DataFrame:
-    """Run log in CSV with a header; surplus cells at the end of a row are ignored.
+    """Run log in CSV with a header; columns are found by name, others are ignored.
 
-    Columns are those of ``schema``, in that order.  List columns hold JSON text.
+    A missing column or a cell that is not of its column's type fails, whatever
+    the session's ANSI setting; empty cells are null.  List columns hold JSON text.
     """
-    lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
-    flat = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name in lists else f.dataType) for f in schema]
-    )
-    reader = spark.read.schema(flat).option("header", True).option("sep", sep)
-    # enforceSchema keeps reading positional, so unnamed trailing columns drop out.
-    table = reader.option("escape", '"').option("enforceSchema", True).csv(path)
-    for name in lists:
-        table = table.withColumn(name, F.from_json(name, schema[name].dataType))
-    return table.select(*schema.names)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    # The header alone gives the names; unnamed columns get names that match nothing.
+    names = [n.strip() for n in reader.csv(path).columns]
+    missing = [n for n in schema.names if names.count(n) != 1]
+    if missing:
+        raise ValueError(f"run log needs exactly one column of each of {missing}; it has {names}")
+    flat = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    cells = reader.schema(flat).option("enforceSchema", True).csv(path)
+    return cells.select(*[_parsed(f"c{names.index(f.name)}", f).alias(f.name) for f in schema])
+
+
+def _parsed(cell: str, field: T.StructField) -> Column:
+    """The cell in the field's type; a filled cell that does not parse fails the job."""
+    text = F.nullif(F.trim(cell), F.lit(""))
+    if isinstance(field.dataType, T.StringType):
+        return F.nullif(F.col(cell), F.lit(""))
+    if isinstance(field.dataType, T.ArrayType):
+        value = F.from_json(text, field.dataType)
+    else:
+        value = text.try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"{field.name}: bad cell "), text)).cast(field.dataType)
+    return F.when(text.isNotNull() & value.isNull(), wrong).otherwise(value)
 
 
 def write_runlog(df: DataFrame, path: str, *, mode: str = "append") -> None:
@@ -68,9 +81,13 @@ def read_points_text(
         F.raise_error(F.concat(F.lit("wrong number of columns in line: "), F.col("line")))
     )
     rows = cells.select(checked.alias("cells"))
-    return rows.select(
-        *[F.get("cells", F.lit(i)).cast("double").alias(name) for i, name in enumerate(columns)]
-    )
+    def number(i: int) -> Column:
+        cell = F.get("cells", F.lit(i))
+        value = cell.try_cast("double")
+        wrong = F.raise_error(F.concat(F.lit("not a number: "), cell)).cast("double")
+        return F.when(value.isNull(), wrong).otherwise(value)
+
+    return rows.select(*[number(i).alias(name) for i, name in enumerate(columns)])
 
 
 def write_points_text(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:

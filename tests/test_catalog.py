@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import compare, duck
 
-from sparkrounds.catalog import QUERIES, SQL
+from sparkrounds.catalog import FIXTURE_SQL, FIXTURES, QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,11 @@ def test_equals_sql(spark, db, name):
     assert compare(spark, db, QUERIES[name], SQL[name], SF) is None
 
 
+@pytest.mark.parametrize("name", sorted(FIXTURES))
+def test_generator_equals_sql(spark, db, name):
+    assert compare(spark, db, FIXTURES[name], FIXTURE_SQL[name], SF) is None
+
+
 def test_every_twin_has_a_query():
     assert set(SQL) <= set(QUERIES)
 

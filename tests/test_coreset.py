@@ -150,3 +150,16 @@ def test_measures(spark):
 def test_sample_sizes(spark):
     row = spark.range(1).select(F.inline(coreset.sample_sizes(F.lit(1500)))).collect()
     assert [(r["fraction"], r["used_size"]) for r in row] == [(0.001, 2), (0.01, 15), (0.1, 150)]
+
+
+def test_many_seeds_in_linear_work(spark, blobs):
+    import time
+
+    dealt = coreset.partition_points(blobs, 4, seed=3).cache()
+    dealt.count()
+    took = []
+    for k in (10, 20):
+        started = time.monotonic()
+        assert kmeanspp_seed(dealt, k, seed=3).count() == 4 * k
+        took.append(time.monotonic() - started)
+    assert took[1] < 3.5 * took[0]

@@ -185,3 +185,29 @@ def test_views(spark):
     assert rows(graph.edge_length(edges, coords)) == {(1, 2, 5.0), (1, 3, 1.0)}
     with pytest.raises(ValueError, match="lacks column"):
         graph.canonical_edges(edges.select(F.col("src")))
+
+
+def test_vertex_blocks_filter_when_a_forest_exceeds_a_task(spark):
+    edges = random_graph(120, 3000, 9)
+    df = spark.createDataFrame(edges, EDGES)
+    want, _ = kruskal(edges)
+    # A forest of 120 vertices exceeds 100 rows; one of two blocks does not.
+    result = mst_filtering(df, max_task_rows=100)
+    assert {tuple(r) for r in result.tree.collect()} == want
+    log = result.log.filter("round > 0").orderBy("round").collect()
+    assert result.rounds == len(log) >= 1 and log[0]["edges_out"] < log[0]["edges_in"]
+
+
+@pytest.mark.parametrize("weight", [None, float("nan")])
+def test_every_path_refuses_weights_without_order(spark, weight):
+    df = spark.createDataFrame([(0, 1, weight), (1, 2, 1.0), (0, 2, 2.0)], EDGES)
+    for run in (minimum_spanning_forest, lambda e: mst_filtering(e).tree):
+        with pytest.raises(Exception, match="null or NaN weight"):
+            run(df).collect()
+
+
+def test_edges_without_coordinates_fail(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], EDGES)
+    coords = spark.createDataFrame([(0, 0.0, 0.0), (1, 3.0, 4.0)], "id long, x double, y double")
+    with pytest.raises(Exception, match="no coordinates"):
+        graph.edge_length(edges, coords).collect()
