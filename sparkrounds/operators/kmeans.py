@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +15,41 @@ from sparkrounds.operators.coreset import (
     _with_set,
     squared_distance,
 )
+from sparkrounds.operators.seeding import kmeanspp_seed
 from sparkrounds.schemas import CENTERS
 
 
-def kmeans_fit(points: DataFrame, k: int, *, seed: int = 0, max_iter: int = 50) -> DataFrame:
-    """Centers ``(c, cx, cy)`` of weighted k-means, numbered by position (cx, cy)."""
-    require(points, "x", "y", "w", what="points")
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(
-        points.select(F.col("x").cast("double"), F.col("y").cast("double"), "w")
+# Decimals of a center's coordinates: sums in another order then give the same centers.
+DECIMALS = 9
+
+
+def kmeans_fit(
+    points: DataFrame, k: int, *, seed: int = 0, max_iter: int = 50, tolerance: float = 1e-4
+) -> DataFrame:
+    """Centers ``(c, cx, cy)`` of weighted k-means, numbered by position (cx, cy).
+
+    Starts from the seeded k-means++ seeds and repeats weighted Lloyd steps until
+    no center moves by more than ``tolerance``; a center without points stays.
+    """
+    require(points, "id", "x", "y", "w", what="points")
+    spark = points.sparkSession
+    rows = points.select(
+        "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "w"
     )
-    model = KMeans(
-        k=k, seed=seed, maxIter=max_iter, weightCol="w", featuresCol="features"
-    ).fit(rows)
-    places = sorted((float(c[0]), float(c[1])) for c in model.clusterCenters())
-    rows_out = [(i, x, y) for i, (x, y) in enumerate(places)]
-    return points.sparkSession.createDataFrame(rows_out, CENTERS)
+    seeds = kmeanspp_seed(rows, k, seed=seed, sets=1).select("c", "cx", "cy").collect()
+    places = {r.c: (r.cx, r.cy) for r in seeds}
+    for _ in range(max_iter):
+        centers = spark.createDataFrame([(c, *p) for c, p in sorted(places.items())], CENTERS)
+        moved = {
+            r.c: (round(r.cx, DECIMALS), round(r.cy, DECIMALS))
+            for r in lloyd_step(rows, centers).collect()
+        }
+        far = max((math.dist(p, places[c]) for c, p in moved.items()), default=0.0)
+        places.update(moved)
+        if far <= tolerance:
+            break
+    rows_out = [(i, x, y) for i, (x, y) in enumerate(sorted(places.values()))]
+    return spark.createDataFrame(rows_out, CENTERS)
 
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:

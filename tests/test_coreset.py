@@ -122,6 +122,11 @@ def test_coreset_clusters_like_the_data(spark, blobs):
     assert reduced <= 1.3 * full
 
 
+def test_kmeans_ignores_partitioning(spark, blobs):
+    fits = {tuple(map(tuple, kmeans.kmeans_fit(blobs.repartition(p), 3, seed=2).collect())) for p in (1, 7)}
+    assert len(fits) == 1
+
+
 def test_seeds_are_distinct_points_of_their_set(spark, blobs):
     dealt = coreset.partition_points(blobs, 4, seed=3)
     seeds = kmeanspp_seed(dealt, 5, seed=3)
