@@ -33,8 +33,8 @@ LENGTH = 400
 GRAM = 40
 BLOCK = 32
 BATCHES = 4
-SEGMENT = 1 << 20
-BATCH_BYTES = 2 << 20
+SEGMENT = 1 << 18
+BATCH_BYTES = 1 << 19
 # Strings that one bucket of the last step compares, on average.
 BUCKET_STRINGS = 1 << 20
 _INVERSE = U64(pow(int(ROOT), -1, 1 << 64))
