@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrounds.llm.ngram_join import CELL_BITS, CHUNKS, _shared_cells, _table
+from sparkrounds.llm.ngram_join import CHUNKS, _table
 from sparkrounds.llm.shingles import ROOT, STEP, U64, mix, powers
 from sparkrounds.plans.lineage import discard, materialize
 
@@ -33,6 +33,7 @@ LENGTH = 400
 GRAM = 40
 BLOCK = 32
 BATCHES = 4
+CELL_BITS = 27
 SEGMENT = 1 << 18
 BATCH_BYTES = 1 << 19
 # Strings that one bucket of the last step compares, on average.
@@ -167,34 +168,47 @@ def _has(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7))) & 1 == 1
 
 
-def _cell_rows(fps: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
-    """Task function: the cells of all fingerprints that ``fps`` finds, by chunk."""
+def _cell_rows(fps: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], kinds: int) -> Callable:
+    """Task function: the cells of all fingerprints that ``fps`` finds, by kind and chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, CHUNKS, dtype=np.int64) << (CELL_BITS - 6)
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+        size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            cells = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *held]))
-            held.clear()
-            low = (cells & ((1 << (CELL_BITS - 6)) - 1)).astype(np.uint32)
-            parts = [x.tobytes() for x in np.split(low, np.searchsorted(cells, edges))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "data"])
+            for kind, cells in enumerate(held):
+                all_ = np.sort(np.concatenate([np.zeros(0, dtype=np.uint32), *cells]))
+                cells.clear()
+                low = all_ & np.uint32((1 << (CELL_BITS - 6)) - 1)
+                parts = [x.tobytes() for x in np.split(low, np.searchsorted(all_, edges))]
+                chunks = pa.array(range(kind * CHUNKS, (kind + 1) * CHUNKS), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunks, pa.array(parts, pa.binary())], ["chunk", "data"])
 
         for batch in batches:
-            held += [_cell(fp) for fp in fps(batch)]
-            if sum(map(len, held)) > 8_000_000:
+            for kind, fp in fps(batch):
+                held[kind].append(_cell(fp).astype(np.uint32))
+                size += len(fp)
+            if size > 4_000_000:
                 yield from emit()
+                size = 0
         yield from emit()
 
     return run
 
 
-def _any_cells(rows: pd.DataFrame) -> pd.DataFrame:
-    there = np.zeros(1 << (CELL_BITS - 6), dtype=bool)
-    for data in rows["data"]:
-        there[np.frombuffer(data, np.uint32)] = True
-    return pd.DataFrame({"chunk": rows["chunk"][:1], "data": [np.packbits(there).tobytes()]})
+def _filled(least: tuple[int, ...]) -> Callable:
+    """Sums up cells: those filled so many times, 1 or 2, by kind."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        times = np.zeros(1 << (CELL_BITS - 6), dtype=np.uint8)
+        for data in rows["data"]:
+            cells, n = np.unique(np.frombuffer(data, np.uint32), return_counts=True)
+            times[cells] = np.minimum(times[cells] + np.minimum(n, 2), 2)
+        enough = times >= least[int(rows["chunk"].iloc[0]) // CHUNKS]
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "data": [np.packbits(enough).tobytes()]})
+
+    return add
 
 
 @dataclass
@@ -236,27 +250,29 @@ def _anchored(batch: pa.RecordBatch, grams: np.ndarray, length: int) -> Iterator
 
 
 def _gram_fps(length: int) -> Callable:
-    def fps(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def fps(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for parts, _, _ in _segments(batch.column("text").to_pylist(), length):
             b = Batch(parts)
             place = b.anchors(length)[1]
-            yield b.hashes(place, place + GRAM)
+            yield 0, b.hashes(place, place + GRAM)
 
     return fps
 
 
 def _inner_fps(grams, alone, length: int) -> Callable:
-    """Of the blocks of anchors whose whole may be alone: their inner fingerprints."""
+    """Inner fingerprints of all blocks (kind 0), and of anchors whose whole may be alone (kind 1)."""
 
-    def fps(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def fps(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for a in _anchored(batch, grams.value, length):
-            yield a.blocks(np.flatnonzero(_has(alone.value, a.whole)), length)[4]
+            row, _, _, _, inner = a.blocks(np.arange(len(a.whole)), length)
+            yield 0, inner
+            yield 1, inner[_has(alone.value, a.whole)[row]]
 
     return fps
 
 
-def _row_fps(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield batch.column("fp").to_numpy().view(U64)
+def _row_fps(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    yield 0, batch.column("fp").to_numpy().view(U64)
 
 
 WHOLES = "doc long, body long, s long, e long, fp long"
@@ -278,9 +294,10 @@ def _wholes(grams, length: int) -> Callable:
 
 
 def _blocks(grams, alone, inners, length: int) -> Callable:
-    """Task function: the blocks of anchors whose whole may be alone, and blocks that may match those.
+    """Task function: the blocks that may match another and are not known to match whole.
 
-    Of anchors with one whole, all found elsewhere too, the task's first stands for the others.
+    Of anchors whose whole is found elsewhere too, only blocks beside those of
+    others matter; the task's first of equal blocks stands for the rest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +305,16 @@ def _blocks(grams, alone, inners, length: int) -> Callable:
         for batch in batches:
             docs, bodies = batch.column("doc"), batch.column("body")
             for a in _anchored(batch, grams.value, length):
-                single = _has(alone.value, a.whole)
-                new = np.fromiter((w not in met and not met.add(w) for w in a.whole.tolist()), bool, len(single))
-                if len(met) > 1_000_000:
+                shared, beside = inners.value
+                row, s, e, outer, inner = a.blocks(np.arange(len(a.whole)), length)
+                single = _has(alone.value, a.whole)[row]
+                keep = single & _has(shared, inner)
+                for i in np.flatnonzero(~single & _has(beside, inner)).tolist():
+                    if (fp := int(outer[i])) not in met:
+                        met.add(fp)
+                        keep[i] = True
+                if len(met) > 300_000:
                     met.clear()
-                row, s, e, outer, inner = a.blocks(np.flatnonzero(single | new), length)
-                keep = single[row] | _has(inners.value, inner)
                 row, s, e, outer, inner = row[keep], s[keep], e[keep], outer[keep], inner[keep]
                 at, shift = pa.array(a.owner[row]), a.shift[row]
                 fps = (_salted(outer, 1), _salted(inner, 2), a.whole[row])
@@ -404,7 +425,7 @@ def remove_repeats(
     send = spark.sparkContext.broadcast
     cells = "chunk long, data binary"
     texts = rows.select("text")
-    grams = send(_table(texts.mapInArrow(_cell_rows(_gram_fps(length)), cells), _shared_cells, 1, "u1")[0])
+    grams = send(_table(texts.mapInArrow(_cell_rows(_gram_fps(length), 1), cells), _filled((2,)), 1, "u1")[0])
     wholes = materialize(rows.mapInArrow(_wholes(grams, length), WHOLES), "suffix-wholes")
     family = IndexFamily()
     for i in range(batches):
@@ -412,9 +433,9 @@ def remove_repeats(
     shared = materialize(family.shared(), "suffix-shared")
     full = materialize(wholes.join(shared, "fp").select("doc", "body", "s", "e"), "suffix-full")
     single = wholes.select("fp").join(shared, "fp", "left_anti")
-    alone = send(_table(single.mapInArrow(_cell_rows(_row_fps), cells), _any_cells, 1, "u1")[0])
-    inners = texts.mapInArrow(_cell_rows(_inner_fps(grams, alone, length)), cells)
-    inners = send(_table(inners, _any_cells, 1, "u1")[0])
+    alone = send(_table(single.mapInArrow(_cell_rows(_row_fps, 1), cells), _filled((1,)), 1, "u1")[0])
+    inners = texts.mapInArrow(_cell_rows(_inner_fps(grams, alone, length), 2), cells)
+    inners = send(_table(inners, _filled((2, 1)), 2, "u1"))
     found = materialize(rows.mapInArrow(_blocks(grams, alone, inners, length), BLOCKS), "suffix-found")
     family = IndexFamily()
     for i in range(batches):
