@@ -28,11 +28,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/sparkrounds/{app}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and return the table read back: a plan with no history."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` once, with the writer's ``options``, and return it read back: a plan with no history."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
