@@ -197,7 +197,7 @@ def write_archives(
         F.sha1(payload).alias("sha1"),
     )
     # Written once: the row numbers below must be the same in every use.
-    rows = materialize(rows, "warc-rows")
+    rows = materialize(rows, "warc-rows", compression="zstd")
     nulls_last = "coalesce(page_id, 9223372036854775807)"
     firsts = rows.groupBy("sha1").agg(
         F.expr(f"min(struct({nulls_last} AS rank, row, page_id))").alias("f")
