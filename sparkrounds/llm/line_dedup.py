@@ -57,11 +57,12 @@ def _open_blocks(lines: DataFrame) -> DataFrame:
     """The blocks of ``lines`` outside of which another line is the same.
 
     Lines of equal length agree before and after the block; of lines whose length
-    differs by one, the shorter one's block is a character shorter.
+    differs by one, the shorter one's block is a character shorter.  A line that fills
+    its blocks has an empty one more, where a longer line may have its last character.
     """
     n = F.length("line")
     blocks = lines.withColumn("n", n).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}")))
+        "j", F.explode(F.sequence(F.lit(0), F.expr(f"n div {BLOCK}")))
     )
     blocks = materialize(
         blocks.select(
@@ -97,7 +98,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     """
     # All keys carry the block, the resulting length and its three parts' hashes.
     less = "concat(left(mid, i - 1), substring(mid, i + 1))"
-    each = "sequence(1, length(mid))"
+    each = "if(mid = '', CAST(array() AS array<int>), sequence(1, length(mid)))"
     keyed = _open_blocks(lines).select(
         "digest", "first",
         F.expr(

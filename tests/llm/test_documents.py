@@ -200,6 +200,21 @@ def test_lines_within_one_edit(spark):
     assert {r.doc_id: r.text for r in out.collect()} == lines_left(docs)
 
 
+@pytest.mark.parametrize("longer_first", [False, True])
+def test_lines_that_fill_their_blocks(spark, longer_first):
+    import random
+
+    rng = random.Random(7)
+    docs = []
+    for n in (63, 64, 65, 127, 128, 129, 192):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(n - 1)) + "k"
+        pair = [line, line + "."]
+        docs.append((n, "\n".join(pair[::-1] if longer_first else pair)))
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == lines_left(docs)
+    assert all(r.n_near == 1 for r in out)
+
+
 def test_lines_odd(spark):
     out = line_dedup.dedup_lines(odd_docs(spark))
     assert set(CLASHING) <= set(out.columns)
