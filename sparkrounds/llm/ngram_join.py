@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.sizing import broadcast_if_small
@@ -79,8 +79,8 @@ def _chunked(kind: int, data: list[bytes]) -> pa.RecordBatch:
     n = len(data)
     none = pa.nulls(n, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n), none, none, none, pa.array(range(n), pa.int64()), pa.array(data, pa.binary())],
-        ["kind", "doc_id", "n", "sig", "chunk", "data"],
+        [pa.array([kind] * n), none, none, none, none, pa.array(range(n), pa.int64()), pa.array(data, pa.binary())],
+        ["kind", "doc_id", "body", "n", "sig", "chunk", "data"],
     )
 
 
@@ -96,8 +96,8 @@ def _profile() -> Callable:
                 names = [signature(x) if len(x) else None for x in sets]
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none, pa.nulls(n, pa.binary())],
-                    ["kind", "doc_id", "n", "sig", "chunk", "data"],
+                    [pa.array([0] * n), part.column("doc_id"), part.column("body"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none, pa.nulls(n, pa.binary())],
+                    ["kind", "doc_id", "body", "n", "sig", "chunk", "data"],
                 )
                 cells = (np.concatenate(sets) >> U64(64 - COUNT_BITS)).astype(np.int64)
                 cells, times = np.unique(cells, return_counts=True)
@@ -341,15 +341,47 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     are linked with nothing and keep their own key.  Repeated rows are copies of
     each other.  An empty table gives no rows.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
+    named = _classed(
+        docs.select(
+            F.col(f"`{key}`").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("body"),
+            F.col(f"`{text}`").cast("string").alias("text"),
+        )
     )
+    least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "comp", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+    )
+
+
+def row_name(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> list[Column]:
+    """doc_id and body (a hash of the text): with both, rows that share a key or have none are told apart."""
+    return [F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("body")]
+
+
+def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, body (see :func:`row_name`), rows and kept of every different row.
+
+    ``kept`` is true for one row of each component of :func:`jaccard_components`,
+    the one with the smallest key (null counts last) and of these the smallest
+    body, and for all rows without words; ``rows`` says how many repeat both.
+    """
+    named = _classed(docs.select(*row_name(docs, text=text, key=key), F.col(f"`{text}`").cast("string").alias("text")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body")
+    each = materialize(named.groupBy("doc_id", "body", "comp").agg(F.count(F.lit(1)).alias("rows")), "ngram-rows")
+    least = each.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(place).alias("least"))
+    kept = F.col("comp").isNull() | ((F.col("doc_id").eqNullSafe(F.col("least.doc_id"))) & (F.col("body") == F.col("least.body")))
+    return each.join(least, "comp", "left").select("doc_id", "body", "rows", kept.alias("kept"))
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """doc_id, body, n, sig and comp (null without words) of every one of ``rows`` (doc_id, body, text)."""
+    spark = rows.sparkSession
     profile = materialize(
-        rows.mapInArrow(_profile(), "kind long, doc_id long, n long, sig long, chunk long, data binary"),
+        rows.mapInArrow(_profile(), "kind long, doc_id long, body long, n long, sig long, chunk long, data binary"),
         "ngram-profile",
     )
-    people = profile.filter("kind = 0").select("doc_id", "n", "sig")
+    people = profile.filter("kind = 0").select("doc_id", "body", "n", "sig")
     counts = _table(profile.filter("kind = 1").select("chunk", "data"), _add_counts, 1, "u4")[0]
     classes = spark.sparkContext.broadcast(frequency_class(counts))
     cells = rows.mapInArrow(_prefix_cells(classes), "chunk long, data binary")
@@ -400,12 +432,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     links = links.unionByName(more).unionByName(far)
     parts = materialize(connected(links), "ngram-parts")
     named = people.join(parts, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = materialize(named, "ngram-named")
-    least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-    )
+    return materialize(named, "ngram-named")
 
 
 def _fetch(rows: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
 from fixtures import CLASHING, SF, odd_docs
 from pyspark.sql import functions as F
 
@@ -149,6 +150,31 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("clashing", [False, True])
+def test_pipeline_keeps_one_row_of_each_component(spark, clashing):
+    import corpus_pipeline as p
+
+    make = lambda tag, k=60: " ".join(f"{tag}{i}" for i in range(k))
+    near = lambda tag: make(tag) + " and more"
+    rows = [
+        (1, make("a")), (None, near("a")), (None, make("b")), (None, make("c")), (None, near("c")),
+        (2, make("d")), (7, near("d")), (7, make("e")),
+        (8, make("f")), (8, near("f")), (9, make("g")), (9, make("g")), (None, make("h")), (None, make("h")),
+        (10, None), (11, ""), (None, ""),
+    ]
+    docs = odd_docs(spark, [(*r, "a") for r in rows]).repartition(3)
+    docs = docs if clashing else docs.select("doc_id", "text", "source")
+    out = p.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(left) == len(set(left))
+    # Of two near copies with the same key either may stay.
+    either = [x for x in left if x in ((None, make("c")), (None, near("c"))) or x[0] == 8]
+    assert sorted((x is None, x or 0) for x, _ in either) == [(False, 8), (True, 0)]
+    want = {(1, make("a")), (None, make("b")), (2, make("d")), (7, make("e")), (9, make("g")), (None, make("h"))}
+    assert set(left) - set(either) == want | {(10, None), (11, ""), (None, "")}
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as p
 
