@@ -269,6 +269,32 @@ def test_lm_predictions_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_lm_cells_add_up_whole_counts():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from sparkrounds.llm.shingles import word_hashes
+
+    # One task has seen a context far more often than the other, which tells another story.
+    texts = ["a b " * 100_000, "a c " * 30_000]
+    hashes = [word_hashes([t.encode()], seed=3) for t in texts]
+    words, n = np.unique(np.concatenate([h for h, _ in hashes]), return_counts=True)
+    code = lm_scoring.huffman(words, n, 0, 2)
+    count = lm_scoring._count_bits(SimpleNamespace(value=vars(code)))
+    parts = [x for t in texts for x in count(iter([pa.RecordBatch.from_pydict({"text": [t]})]))]
+    (found,) = lm_scoring._sum_cells()(iter(parts))
+    got = {c: np.frombuffer(d, np.uint16) for c, d in zip(*(found.column(i).to_pylist() for i in (0, 1)))}
+    want = np.zeros(lm_scoring.TABLES << (lm_scoring.TABLE_BITS + 1), dtype=np.int64)
+    for h, first in hashes:
+        symbols, fresh, _ = lm_scoring._with_ends(code, h, first)
+        e = lm_scoring.events(code, symbols, fresh)
+        for cells in e.cells:
+            np.add.at(want, 2 * cells + e.bit, 1)
+    assert want.max() > 65_535
+    assert (np.concatenate([got[i] for i in sorted(got)]) == lm_scoring.cell_values(want[1::2], want[0::2])).all()
+
+
 def test_lm_odd(spark):
     out = {r.doc_id: r for r in lm_scoring.score_texts(odd_docs(spark)).collect()}
     assert len(out) == len({d for d, *_ in ODD}) and out[2].n_tokens == out[3].n_tokens == out[4].n_tokens == 1
