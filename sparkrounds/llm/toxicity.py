@@ -187,7 +187,7 @@ def fit(
     """Fit on at most ``sample_rows`` rows of ``labelled``, those of the lowest hash of ``order``.
 
     Rows without a label are left out; a null text is empty.  Without rows of
-    both labels the model gives every text the same score.
+    both labels the model gives every text the same score, a harmless one if there are no toxic rows.
     """
     rows = labelled.select(
         F.col(f"`{text}`").alias("text"),
@@ -196,13 +196,13 @@ def fit(
     ).filter("label IN (0, 1)")
     last = rows.select("place").orderBy("place").limit(sample_rows).agg(F.max("place")).first()[0]
     if last is None:
-        return Model({}, 0.0)
+        return Model({}, -2.0)
     sample = rows.filter(F.col("place") <= last).select("text", "label")
     sample = materialize(sample, "toxic-sample")
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
-        return Model({}, 2.0 if n1 else -2.0 if n0 else 0.0)
+        return Model({}, 2.0 if n1 else -2.0)
     counts = (
         sample.mapInArrow(_counts(), "feature string, label long, n long")
         .groupBy("feature")
@@ -293,8 +293,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted toxic, with all their columns."""
+    """The rows of ``docs`` whose text is null, empty or not predicted toxic, with all their columns."""
     model = fit_on_documents(docs, labels)
     scored = score(docs, model, keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
-    clean = scored.filter("score < 0.5")
+    said = F.coalesce(F.col(f"c{docs.columns.index('text')}").cast("string"), F.lit(""))
+    clean = scored.filter((F.col("score") < 0.5) | (said == ""))
     return clean.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

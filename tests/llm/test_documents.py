@@ -153,6 +153,19 @@ def test_toxicity_odd(spark):
     assert toxicity.score_documents(odd_docs(spark).limit(0), labels).count() == 0
 
 
+def test_drop_toxic_without_usable_labels(spark):
+    docs, kind = odd_docs(spark), "doc_id long, toxic int"
+    held = next(i for i in range(1, 13) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for rows in ([], [(1, None), (5, None)], [(None, 1)], [(held, 1)], [(99, 1), (98, 0)]):
+        labels = spark.createDataFrame(rows, kind)
+        assert toxicity.drop_toxic(docs, labels).count() == len(ODD), rows
+    assert toxicity.score_documents(docs, labels).filter("predicted = 1").count() == 0
+    # Where every text counts as toxic, null and empty ones stay.
+    only = next(i for i in (1, 5, 7, 8) if zlib.crc32(str(i).encode()) % 5)
+    left = toxicity.drop_toxic(docs, spark.createDataFrame([(only, 1)], kind)).collect()
+    assert {r.doc_id for r in left} == {2, 3}
+
+
 # Line deduplication
 
 
