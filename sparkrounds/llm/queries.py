@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkrounds.llm import (
     ann,
+    conversation_trie,
     exact_dedup,
     line_dedup,
     lm_scoring,
@@ -167,3 +168,64 @@ def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a mixture of context models."""
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.score_texts(docs.select("doc_id", "text"))
+
+
+@query("op11_conversation_trie")
+def conversation_trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with its weights."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def sql_crc32(data: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit (polynomial 0xEDB88320 = 3988292384)."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, o: list_reduce(
+      [xor(c, o), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))),
+      4294967295::BIGINT)"""
+
+
+SQL["op11_conversation_trie"] = rf"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS o
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS len,
+    {sql_crc32("list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)")} % 4 AS h
+  FROM own GROUP BY conv_id
+),
+plan AS MATERIALIZED (
+  SELECT a.*, least(a.h, coalesce(b.len, 0)) AS k FROM ids a LEFT JOIN ids b ON a.base = b.conv_id
+),
+turns AS (
+  SELECT p.conv_id, o.o AS pos, digest, words FROM plan p JOIN own o ON o.conv_id = p.base WHERE o.o <= p.k
+  UNION ALL
+  SELECT p.conv_id, o.o - p.h + p.k, digest, words FROM plan p JOIN own o ON o.conv_id = p.conv_id WHERE o.o > p.h
+),
+whole AS MATERIALIZED (
+  SELECT p.conv_id, coalesce(list(digest ORDER BY pos) FILTER (WHERE digest IS NOT NULL), []) AS ds,
+    coalesce(list(words ORDER BY pos) FILTER (WHERE digest IS NOT NULL), []) AS ws
+  FROM plan p LEFT JOIN turns t ON t.conv_id = p.conv_id GROUP BY p.conv_id
+),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, d, sha256(concat(d, ':', array_to_string(ds[:d], ','))) AS key,
+    sha256(concat(d - 1, ':', array_to_string(ds[:d - 1], ','))) AS up,
+    CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS words, d = len(ds) AS ends
+  FROM whole, unnest(range(0, len(ds) + 1)) AS u(d)
+),
+nodes AS MATERIALIZED (
+  SELECT key, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY key
+),
+-- A node lies below every prefix of its smallest member.
+subtrees AS (
+  SELECT p.key, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens,
+    count(*) FILTER (WHERE n.key NOT IN (SELECT up FROM nodes WHERE depth > 0)) AS n_leaves
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.key
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs,
+  (SELECT count(*) FROM nodes c WHERE c.up = n.key AND c.depth > 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.key = n.key LEFT JOIN nodes u ON u.key = n.up AND n.depth > 0
+"""
