@@ -16,6 +16,7 @@ from sparkrounds.llm import (
     mixing,
     ngram_join,
     packing,
+    spelling,
     suffix_dedup,
     toxicity,
     warc,
@@ -186,7 +187,8 @@ def sql_crc32(data: str) -> str:
 SQL["op11_conversation_trie"] = rf"""
 WITH own AS MATERIALIZED (
   SELECT conv_id, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS o
   FROM conversations WHERE conv_id IS NOT NULL
 ),
@@ -229,3 +231,47 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs,
   (SELECT count(*) FROM nodes c WHERE c.up = n.key AND c.depth > 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
 FROM nodes n JOIN subtrees s ON s.key = n.key LEFT JOIN nodes u ON u.key = n.up AND n.depth > 0
 """
+
+
+@query("op12_spelling_variants")
+def spelling_variant_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent spelling that each is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+),
+hashed AS MATERIALIZED (
+  SELECT run, c, {sql_crc32("list_transform(range(1, (length(code) // 2) + 1), lambda i: ('0x' || substr(code, 2 * i - 1, 2))::BIGINT)")} AS h
+  FROM (SELECT run, count(*) AS c, hex(encode(concat(doc_id, ':', run))) AS code FROM runs GROUP BY doc_id, run)
+),
+words AS MATERIALIZED (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+),
+holes AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, min((-near_n, near)) AS b FROM near GROUP BY word
+),
+judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form,
+    CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+),
+chain AS (
+  SELECT word, word AS root, form AS next FROM judged
+  UNION ALL SELECT c.word, j.word, j.form FROM chain c JOIN judged j ON c.next = j.word
+)
+SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n FROM judged j JOIN chain c ON c.word = j.word AND c.next IS NULL
+"""
