@@ -227,6 +227,17 @@ _ROUND_TWO = (
 )
 
 
+@query(
+    "round_forests",
+    # Two rounds, which is what the schedule takes on this table.
+    f"""{_ROUND_ONE}, {_ROUND_TWO}
+    SELECT 1 AS round, g::INTEGER AS part, src, dst, w FROM kept
+    UNION ALL SELECT 2, g::INTEGER, src, dst, w FROM kept2""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return filtering.mst_filtering(part_supplier_edges(spark, sf), epsilon=EPSILON).forests
+
+
 @query(
     "round_log",
     # Two rounds, which is what the schedule takes on this table.

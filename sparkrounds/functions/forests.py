@@ -1,4 +1,4 @@
-"""The one Python function that runs inside tasks: forests of edge batches."""
+"""The Python functions that run inside tasks: forests and stars of edge batches."""
 
 from __future__ import annotations
 
@@ -87,3 +87,55 @@ def _forest_of(chunks: list[tuple]) -> tuple:
         cross = a != b
         a, b, rank = a[cross], b[cross], rank[cross]
     return part[keep], src[keep], dst[keep], w[keep]
+
+
+def streaming_stars(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task function: fold links (hi, lo) into one per vertex, to the smallest it reaches in the task.
+
+    What is held never exceeds ``limit`` rows by more than a batch; beyond half of
+    it the stars so far are emitted and a new fold begins.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows, trigger = 0, min(limit, 1 << 18)
+
+        def emit() -> pa.RecordBatch:
+            hi, lo = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["hi", "lo"])
+
+        for batch in batches:
+            held.append((batch.column("hi").to_numpy(False), batch.column("lo").to_numpy(False)))
+            rows += batch.num_rows
+            if rows >= trigger:
+                held = [_stars_of(held)]
+                rows = len(held[0][0])
+                if 2 * rows > limit:
+                    yield emit()
+                    held, rows = [], 0
+                trigger = min(limit, max(1 << 18, 4 * rows))
+        if held:
+            held = [_stars_of(held)]
+            yield emit()
+
+    return fold
+
+
+def _stars_of(chunks: list[tuple]) -> tuple:
+    """(vertex, smallest vertex of its component) for all that are not the smallest themselves."""
+    hi, lo = (np.concatenate(column) for column in zip(*chunks))
+    ids, ends = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = ends[: len(hi)], ends[len(hi) :]
+    label = np.arange(len(ids))
+    while len(a):
+        p, q = label[a], label[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            ahead = label[label]
+            if np.array_equal(ahead, label):
+                break
+            label = ahead
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]

@@ -92,3 +92,69 @@ def bottom_by_hash(
     row = F.row_number().over(Window.partitionBy(*group).orderBy(order_key(seed, key), key))
     chosen = edge.withColumn("rn", row).filter(f"rn <= {size} - cut.below").drop("rn")
     return whole.unionByName(chosen).drop("hb", "cut")
+
+
+BUCKETS = 4096
+
+
+def _bucket(df: DataFrame, column: str, low: object, high: object) -> Column:
+    """Number in [0, BUCKETS) that never falls as ``column`` rises from ``low`` to ``high``."""
+    x = F.col(f"`{column}`")
+    if dict(df.dtypes)[column] in ("double", "float"):
+        # Halves, so that the width of any two finite numbers is finite.
+        share = (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * BUCKETS
+        place = F.when(x >= F.lit(high), BUCKETS - 1).when(x <= F.lit(low), 0).otherwise(F.floor(share))
+        return F.least(place.cast("int"), F.lit(BUCKETS - 1))
+    width = (high - low) // BUCKETS + 1
+    wide = x.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+    return F.floor(wide / F.lit(width).cast("decimal(20,0)")).cast("int")
+
+
+def kth_row(df: DataFrame, order: list[str], k: int) -> tuple:
+    """The values of the ``order`` columns in the k-th row (from 1) in ascending order.
+
+    ``df`` should be stored and have at least k rows; the columns are numbers
+    without null or NaN.  Column by column, a histogram finds the bucket that
+    holds the row, and is refined within it until one value is left: each pass
+    is an aggregate of at most ``BUCKETS`` groups, without a sort, however many
+    rows come before or tie.
+    """
+    found: list = []
+    for column in order:
+        x = F.col(f"`{column}`")
+        low, high = df.agg(F.min(x), F.max(x)).first()
+        while low != high:
+            if math.inf in (high, -low):
+                # Infinite ends are buckets of their own.
+                finite = df.filter(x.cast("double").isin(math.inf, -math.inf) == F.lit(False))
+                sizes = df.agg(F.count_if(x == F.lit(-math.inf)), F.count_if(x < F.lit(math.inf))).first()
+                if k <= sizes[0] or k > sizes[1]:
+                    low = high = -math.inf if k <= sizes[0] else math.inf
+                    k -= 0 if k <= sizes[0] else sizes[1]
+                    break
+                df, k = finite, k - sizes[0]
+                low, high = df.agg(F.min(x), F.max(x)).first()
+                continue
+            counts = (
+                df.groupBy(_bucket(df, column, low, high).alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+                .collect()
+            )
+            for row in sorted(counts, key=lambda r: r["b"]):
+                if k <= row["n"]:
+                    break
+                k -= row["n"]
+            low, high = row["low"], row["high"]
+            df = df.filter((x >= F.lit(low)) & (x <= F.lit(high)))
+        found.append(low)
+        df = df.filter(x == F.lit(low))
+    return tuple(found)
+
+
+def beyond(order: list[str], row: tuple) -> Column:
+    """1, 0 or -1 as a row comes after, at or before ``row`` (see :func:`kth_row`)."""
+    out = F.lit(0)
+    for column, value in reversed(list(zip(order, row))):
+        x = F.col(f"`{column}`")
+        out = F.when(x > F.lit(value), 1).when(x < F.lit(value), -1).otherwise(out)
+    return out

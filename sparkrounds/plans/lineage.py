@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,10 +43,34 @@ def materialize_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     return table, table.count()
 
 
+def materialize_measured(df: DataFrame, tag: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize` plus aggregates of the rows, taken while they are written: no further job.
+
+    ``rows`` is always among them; a measure over no rows is 0.
+    """
+    seen = Observation()
+    total = F.count(F.lit(1)).alias("rows")
+    table = materialize(df.observe(seen, total, *[m.alias(name) for name, m in measures.items()]), tag)
+    return table, {name: value or 0 for name, value in seen.get.items()}
+
+
+def round_folder(tag: str) -> str:
+    """A tag prefix of its own: tables named ``<folder>/<tag>`` can be deleted at once."""
+    return f"{tag}-{uuid.uuid4().hex}"
+
+
+def discard_folder(spark: SparkSession, folder: str) -> None:
+    """Delete all tables that were materialized under a :func:`round_folder`."""
+    _delete(spark, f"{scratch_root(spark)}/sparkrounds/{spark.sparkContext.applicationId}/{folder}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing will read again."""
     for table in tables:
-        jvm, spark = table.sparkSession.sparkContext._jvm, table.sparkSession
         for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(table.sparkSession, name)

@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrounds.functions.ranking import bottom_by_hash, global_rank
+from sparkrounds.functions.ranking import beyond, bottom_by_hash, global_rank, kth_row
 from sparkrounds.functions.sizing import lookup
 
 
@@ -55,3 +55,17 @@ def test_lookup_with_a_hot_key(spark, limit):
     for r in found:
         key = 3 if r["id"] % 2 == 0 else r["id"]
         assert r["out"] == (key * 10 if key < 4000 else None)
+
+
+def test_kth_row_and_what_lies_beyond(spark):
+    """Ties, infinities, tiny and huge numbers, negative ids; every place of the order."""
+    inf = float("inf")
+    values = [0.0, 1.0, 1.0, 1.0, -inf, inf, inf, 1e-300, 3e-300, -1e308, 1e308, 5.5, 5.5000001]
+    rows = [(w, src, -src // 3) for w in values for src in (-(2**63), -3, 2**63 - 1)]
+    order = ["w", "src", "dst"]
+    df = spark.createDataFrame(rows, "w double, src long, dst long")
+    want = sorted((r["w"], r["src"], r["dst"]) for r in df.collect())
+    for k in (1, 2, 3, 7, 12, 20, 26, 33, 38, 39):
+        row = kth_row(df, order, k)
+        assert row == want[k - 1]
+        assert df.filter(beyond(order, row) > 0).count() == sum(x > row for x in want)

@@ -7,9 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrounds.operators import graph
-from sparkrounds.operators.boruvka import connected_components, contract, minimum_spanning_forest
-from sparkrounds.operators.components import mst_cut, single_linkage
+from sparkrounds.operators import boruvka, graph
+from sparkrounds.operators.boruvka import contract, minimum_spanning_forest
+from sparkrounds.operators.components import connected_components, mst_cut, single_linkage, stars
 from sparkrounds.operators.filtering import (
     forest_gap,
     mst_filtering,
@@ -168,6 +168,25 @@ def test_single_linkage(spark, clusters):
     assert {r["id"]: r["cluster"] for r in found} == want
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_stars_of_hot_centers_and_long_paths(spark, limit):
+    """One center with most links, a long path dealt over tasks, loops and repeats, folds of two rows."""
+    links = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(7000, 7000), (6999, 6998)] * 2
+    random.Random(1).shuffle(links)
+    df = spark.createDataFrame(links, "src long, dst long").repartition(7)
+    want = {i: 0 for i in range(1, 3000)} | {i: 5000 for i in range(5001, 5201)} | {6999: 6998}
+    found = stars(df, broadcast_rows=limit, task_links=2 if limit else 1000).collect()
+    assert {r["id"]: r["center"] for r in found} == want and len(found) == len(want)
+    assert stars(df.filter("false")).count() == 0
+
+
+def test_forest_sorts_nothing_but_the_ranking(spark):
+    plan = boruvka._lightest_edge(
+        spark.createDataFrame([(1, 2, 3)], "a long, b long, r long")
+    )._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_contraction_halves_components(spark):
     steps = contract(table(spark, GRAPHS["random"]))
     assert all(2 * b <= a for a, b in zip(steps.sizes, steps.sizes[1:]))
