@@ -15,6 +15,7 @@ from sparkrounds.llm import (
     lm_scoring,
     mixing,
     ngram_join,
+    odd_sketch,
     packing,
     spelling,
     suffix_dedup,
@@ -275,3 +276,33 @@ chain AS (
 )
 SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n FROM judged j JOIN chain c ON c.word = j.word AND c.next IS NULL
 """
+
+
+@query("op13_odd_sketch")
+def odd_sketch_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar two-word shingle sets."""
+    return odd_sketch.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op13_odd_sketch"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM docs
+),
+tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS t FROM sets),
+shared AS (SELECT t FROM tokens GROUP BY t HAVING count(*) > 1),
+linking AS MATERIALIZED (SELECT doc_id, n, t FROM tokens SEMI JOIN shared USING (t)),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM linking a JOIN linking b ON a.t = b.t AND a.doc_id < b.doc_id
+  WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM sets UNION SELECT u, b FROM reach JOIN sides ON v = a),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON u = doc_id
+"""
