@@ -108,25 +108,30 @@ def running(rows: DataFrame, totals: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def _hash_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One digest for each sequence of a sorted partition; holds one piece at a time."""
+    """One digest for each sequence of a sorted partition; holds a batch of pieces at a time."""
     now, digest = None, None
 
-    def done() -> pa.RecordBatch:
-        cells = [pa.array([now[i]], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([*cells, pa.array([digest.hexdigest()])], [*NAME, "ends_sha256"])
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * 4
+        kinds = [pa.int64()] * 3 + [pa.string()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], [*NAME, "ends_sha256"]
+        )
 
     for batch in batches:
+        done = []
         names = list(zip(*(batch.column(c).to_pylist() for c in NAME)))
         for name, ids in zip(names, batch.column("ids")):
             if name != now:
                 if now is not None:
-                    yield done()
+                    done.append((*now, digest.hexdigest()))
                 now, digest = name, hashlib.sha256()
             else:
                 digest.update(b",")
             digest.update(ids.as_py().encode())
+        yield rows(done)
     if now is not None:
-        yield done()
+        yield rows([(*now, digest.hexdigest())])
 
 
 def end_digests(ends: DataFrame) -> DataFrame:
