@@ -4,7 +4,9 @@ Documents are aggregated by membership pattern (the set of sources that hold
 them).  A pattern supplies its words once per repetition level; level ``r``
 costs ``r - 1`` a word, so costs are convex in the number of repetitions.  The
 flow fills the sources' quotas at least cost, and every pattern's share is then
-turned into whole copies of documents, in seeded order.
+turned into whole copies of documents, in seeded order, the last of them chosen
+so that their sizes add up.  What whole documents cannot reach may be taken as
+words of one document more.
 
 Only the pattern table, whose size follows the sources and not the documents,
 comes to the driver.
@@ -15,7 +17,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate, takewhile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,10 @@ MAX_PATTERNS = 200_000
 CELL_ROWS = 2_000
 CELL_BITS = 12
 HASH_BITS = 60
+# Rows of which the best subset is sought.
+FIT_ROWS = 48
+# The last of these bits come from the row's number: rows that share a key are told apart by them.
+ROW_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -118,6 +126,43 @@ def _path(start: int, edges: list, members: list, flow: list, left: list) -> lis
     return []
 
 
+def fit(sizes: list[int], gap: int, choices: int = FIT_ROWS) -> tuple[list[int], int]:
+    """Places of sizes that add up to ``gap`` as nearly as whole ones from below may, and what is missing.
+
+    All come from the front of the line but the last ones: of the rows where the
+    line passes the gap, half of them before it, the best subset is taken.
+    """
+    front = len(list(takewhile(lambda end: end <= gap, accumulate(sizes))))
+    first = max(0, front - choices // 2)
+    left = gap - sum(sizes[:first])
+    some = range(first, min(len(sizes), first + choices))
+    # Bit i of reach[k]: the last k of the choices have a subset of sum i.
+    reach, full = [1], (1 << (left + 1)) - 1
+    for i in reversed(some):
+        reach.append((reach[-1] | reach[-1] << min(sizes[i], left + 1)) & full)
+    best = reach[-1].bit_length() - 1
+    taken, missing = list(range(first)), left - best
+    for k, i in zip(range(len(some) - 1, -1, -1), some):
+        if sizes[i] <= best and reach[k] >> (best - sizes[i]) & 1:
+            taken.append(i)
+            best -= sizes[i]
+    for i in range(some.stop, len(sizes)):
+        if sizes[i] <= missing:
+            taken.append(i)
+            missing -= sizes[i]
+    return taken, missing
+
+
+def _fit_line(rows: pd.DataFrame) -> pd.DataFrame:
+    """The turns of one cell's rows that are taken once more, and the first that is not."""
+    rows = rows.sort_values("turn")
+    taken, missing = fit(rows["size"].tolist(), int(rows["gap"].iloc[0]))
+    chosen = set(taken)
+    after = next((i + 1 for i in range(len(rows)) if i not in chosen and rows["size"].iloc[i] > missing), 0)
+    turns = [i + 1 for i in sorted(chosen)]
+    return pd.DataFrame({"q": [rows["p"].iloc[0]], "turns": [turns], "next": [after], "missing": [missing]})
+
+
 def mix_to_weights(
     docs: DataFrame,
     *,
@@ -128,23 +173,30 @@ def mix_to_weights(
     budget: float = 1.5,
     max_repeats: int = 2,
     seed: int = 17,
+    split_last: bool = False,
 ) -> tuple[DataFrame, list[Source]]:
-    """``docs`` with columns ``size``, ``copies`` and ``taken``, and the sources' targets.
+    """``docs`` with columns ``size``, ``copies``, ``part`` and ``taken``, and the sources' targets.
 
     ``membership`` is an array of source names (null is a source of its own; an
     empty or null array belongs to no source and is not taken).  Sources in code
     point order, null last, get ``weight_of(position)``; they share ``budget``
     times all sizes, none above ``max_repeats`` times its own size.  A document
-    is taken 0 to ``max_repeats`` times, always whole.
+    is taken 0 to ``max_repeats`` times, whole: that is ``copies``.  With
+    ``split_last`` one document of each pattern gives ``part`` words more, so that
+    every pattern gives exactly what the flow asks of it; else ``part`` is 0.
+    ``taken`` is both together, at most ``max_repeats`` times the size.
 
     Null texts have whatever ``size`` says (0 in the queries); an empty table
-    gives an empty table; repeated rows count each.  Equal keys take the same
-    place in the seeded order, ties by size.  Columns of ``docs`` named like an
+    gives an empty table; repeated rows count each.  The seeded order is that of
+    the keys' hashes; rows that share a key or have none follow their number in
+    ``docs``, so it should be a stored table.  Columns of ``docs`` named like an
     added column are replaced.
     """
     spark = docs.sparkSession
     columns = docs.columns
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), 64 - HASH_BITS)
+    by_key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), 64 - HASH_BITS + ROW_BITS)
+    by_row = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 64 - ROW_BITS)
+    place = F.shiftleft(by_key, ROW_BITS).bitwiseOR(by_row)
     base = docs.select(
         packed(docs),
         F.col(f"`{key}`").alias("id"),
@@ -193,30 +245,22 @@ def mix_to_weights(
     inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
     rest = placed.filter(~inside).withColumn(
         "extra", (F.col("place") < F.col("low")).cast("long")
-    )
+    ).withColumn("part", F.lit(0).cast("long"))
     edge = placed.filter(inside).withColumn(
         "turn", F.row_number().over(Window.partitionBy("p").orderBy("place", "id", "size"))
     )
-    picked = (
-        edge.groupBy("p", "gap")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "size"))).alias("line"))
-        .select(
-            "p",
-            F.expr(
-                "aggregate(line, struct(gap AS gap, cast(array() AS array<int>) AS turns), (a, x) -> "
-                "if(x.size <= a.gap, struct(a.gap - x.size AS gap, array_append(a.turns, x.turn) AS turns), a))"
-                ".turns"
-            ).alias("turns"),
-        )
-    )
+    lines = edge.select("p", "gap", "turn", "size")
+    picked = lines.groupBy("p").applyInPandas(_fit_line, "q string, turns array<int>, next int, missing long")
+    edge = edge.join(picked, F.col("p").eqNullSafe(F.col("q")))
+    last = F.lit(split_last) & (F.col("turn") == F.col("next"))
     edge = (
-        edge.join(picked.withColumnRenamed("p", "q"), F.col("p").eqNullSafe(F.col("q")))
-        .withColumn("extra", F.array_contains("turns", F.col("turn")).cast("long"))
-        .drop("turn", "q", "turns")
+        edge.withColumn("extra", F.array_contains("turns", F.col("turn")).cast("long"))
+        .withColumn("part", F.when(last, F.col("missing")).otherwise(F.lit(0)).cast("long"))
+        .drop("turn", "q", "turns", "next", "missing")
     )
     out = rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return unpacked(out, columns, "size", "copies", "taken"), sources
+    out = out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
+    return unpacked(out, columns, "size", "copies", "part", "taken"), sources
 
 
 def _cut_cells(slim: DataFrame, plan: list[tuple]) -> list[tuple]:
@@ -225,12 +269,12 @@ def _cut_cells(slim: DataFrame, plan: list[tuple]) -> list[tuple]:
     A histogram over the next hash bits finds the cell; a cell that still holds
     many rows is divided again, so no pattern is ever ordered whole.
     """
-    top = 1 << HASH_BITS
+    top, enough = 1 << HASH_BITS, max(CELL_ROWS, FIT_ROWS)
     done, todo = [], []
     for pattern, whole, rest, n in plan:
         if not rest:
             done.append((pattern, whole, 0, 0, 0))
-        elif n <= CELL_ROWS:
+        elif n <= enough:
             done.append((pattern, whole, 0, top, rest))
         else:
             todo.append((pattern, whole, 0, HASH_BITS, rest))
@@ -258,7 +302,7 @@ def _cut_cells(slim: DataFrame, plan: list[tuple]) -> list[tuple]:
         for r in first:
             bits = r.bits - CELL_BITS
             low, gap = r.low + (r.c.cell << bits), r.gap - r.c.below
-            if r.c.n <= CELL_ROWS or bits < CELL_BITS:
+            if r.c.n <= enough or bits < CELL_BITS:
                 done.append((r.p, r.whole, low, low + (1 << bits), gap))
             else:
                 todo.append((r.p, r.whole, low, bits, gap))

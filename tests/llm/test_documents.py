@@ -56,6 +56,52 @@ def test_mix_hits_targets_whatever_the_cells(spark, monkeypatch):
     assert all(abs(took[s.name] - s.target) <= 0.25 * s.target for s in sources)
 
 
+def test_mix_to_the_word(spark):
+    """With words of one more document every source gives its target, and no document more than twice itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    args = {"membership": F.array("source"), "size": word_count(F.col("text")), "split_last": True}
+    out, sources = mixing.mix_to_weights(docs, **args)
+    rows = out.select("doc_id", "source", "size", "copies", "part", "taken").collect()
+    for s in sources:
+        assert sum(r.taken for r in rows if r.source == s.name) == round(s.target)
+    assert all(r.taken == r.copies * r["size"] + r.part and 0 <= r.taken <= 2 * r["size"] for r in rows)
+    again = mixing.mix_to_weights(docs.repartition(5), **args)[0].select("doc_id", "taken").collect()
+    assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in rows}
+
+
+def test_fit_is_the_best_subset():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(0, 60, rng.integers(1, 11)).tolist()
+        gap = int(rng.integers(0, max(1, sum(sizes))))
+        taken, missing = mixing.fit(sizes, gap)
+        sums = {sum(s for i, s in enumerate(sizes) if pick >> i & 1) for pick in range(1 << len(sizes))}
+        assert len(taken) == len(set(taken)) and sum(sizes[i] for i in taken) + missing == gap
+        assert gap - missing == max(x for x in sums if x <= gap)
+        # A long line takes all but the last from its front.
+        line = sizes * 300
+        taken, missing = mixing.fit(line, gap * 200, choices=8)
+        assert sum(line[i] for i in taken) + missing == gap * 200 and missing >= 0
+
+
+def test_mix_rows_without_keys_are_told_apart(spark, monkeypatch):
+    """Rows that share a key or have none are divided by the histogram as others are."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 8)
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("x y").alias("text"))
+    docs = docs.unionByName(spark.range(9).select("id", F.lit("b"), F.lit("z " * 50)).toDF("doc_id", "source", "text"))
+    size = word_count(F.col("text"))
+    whole = mixing._fit_line
+
+    def bounded(rows):
+        assert len(rows) <= 64
+        return whole(rows)
+
+    monkeypatch.setattr(mixing, "_fit_line", bounded)
+    out, sources = mixing.mix_to_weights(docs, membership=F.array("source"), size=size, weight_of=lambda i: (1.0, 9.0)[i])
+    took = {r.source: r.t for r in out.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(took[s.name] - s.target) <= 50 for s in sources)
+
+
 def test_mix_overlapping_and_odd(spark):
     docs = odd_docs(spark)
     both = F.when(F.col("doc_id") == 10, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
