@@ -14,6 +14,7 @@ Documents find their place by their rank among equal lengths: a number per
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -146,8 +147,8 @@ def _encode(path: str, window: int, end: int) -> Callable:
         seen, full = np.zeros(window, dtype=np.int64), 0
         tail = np.array([end], dtype=np.uint32).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 ids = [encode(x or "") + tail for x in part.column("text").to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 rem, whole = n % window, n // window
@@ -161,7 +162,7 @@ def _encode(path: str, window: int, end: int) -> Callable:
                     [
                         part.column("doc_id"),
                         *map(pa.array, (n, rem, np.full_like(n, task), ranks, before)),
-                        pa.array([np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in ids], pa.binary()),
+                        pa.array(ids if sys.byteorder == "little" else [np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in ids], pa.binary()),
                     ],
                     ["doc_id", "n", "rem", "task", "turn", "windows", "ids"],
                 )
@@ -170,34 +171,39 @@ def _encode(path: str, window: int, end: int) -> Callable:
 
 
 def _place(plan: Plan) -> Callable:
-    """Task function: the pieces of each document."""
+    """Task function: the pieces of each document; ids stay in the batch's buffers."""
     w = plan.window
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def cuts(n: int, rem: int, rank: int, window: int) -> list[tuple[int, int, int, int]]:
+        """Start, length, sequence and offset of each piece."""
+        out = [(i * w, w, plan.full + window + i, 0) for i in range(n // w)]
+        start = n - rem
+        if rem and rank < plan.used[rem]:
+            a, b = plan.first[rem], plan.first[rem + 1]
+            i = a + int(np.searchsorted(plan.rank[a:b], rank, "right")) - 1
+            out.append((start, rem, int(plan.sequence[i] + rank - plan.rank[i]), int(plan.offset[i])))
+        elif rem:
+            at = int(plan.base[rem]) + (rank - int(plan.used[rem])) * rem
+            first = min(rem, w - at % w)
+            out.append((start, first, plan.stream + at // w, at % w))
+            if first < rem:
+                out.append((start + first, rem - first, plan.stream + at // w + 1, 0))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            names = ("doc_id", "n", "rem", "rank", "window", "ids")
-            for doc, n, rem, rank, window, ids in zip(*(batch.column(c).to_pylist() for c in names)):
-                cuts = [(i * w, w, plan.full + window + i, 0) for i in range(n // w)]
-                start = n - rem
-                if rem:
-                    if rank < plan.used[rem]:
-                        a, b = plan.first[rem], plan.first[rem + 1]
-                        i = a + int(np.searchsorted(plan.rank[a:b], rank, "right")) - 1
-                        spot = int(plan.sequence[i] + rank - plan.rank[i])
-                        cuts.append((start, rem, spot, int(plan.offset[i])))
-                    else:
-                        at = int(plan.base[rem]) + (rank - int(plan.used[rem])) * rem
-                        first = min(rem, w - at % w)
-                        cuts.append((start, first, plan.stream + at // w, at % w))
-                        if first < rem:
-                            cuts.append((start + first, rem - first, plan.stream + at // w + 1, 0))
-                for begin, length, sequence, offset in cuts:
-                    crc = zlib.crc32(memoryview(ids)[4 * begin : 4 * (begin + length)])
-                    rows.append((doc, begin, length, crc, n, sequence, offset))
-            names = [c.split()[0] for c in PIECES.split(", ")]
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows: list[tuple] = []
+                numbers = zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "rem", "rank", "window")))
+                for (doc, n, rem, rank, window), ids in zip(numbers, part.column("ids")):
+                    data = memoryview(ids.as_buffer())
+                    for begin, length, sequence, offset in cuts(n, rem, rank, window):
+                        crc = zlib.crc32(data[4 * begin : 4 * (begin + length)])
+                        rows.append((doc, begin, length, crc, n, sequence, offset))
+                columns = list(zip(*rows)) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return run
 
