@@ -6,9 +6,9 @@ Candidates must pass that test under every one of several global orders before
 the sets themselves are compared.
 
 All orders put frequent tokens last, by a table of counts over all documents
-that has a fixed number of cells.  A second such table drops prefix tokens that
-no other prefix has.  Both tables only save work: what they let through in
-excess is removed later, and nothing else is removed.
+that has a fixed number of cells.  A second table, sized by the counted tokens,
+drops prefix tokens that no other prefix has.  Both tables only save work: what
+they let through in excess is removed later, and nothing else is removed.
 
 Equal sets are one class.  Within the documents that share a token, each is
 first compared with one leader.  Only pairs of different components that these
@@ -34,7 +34,9 @@ from sparkrounds.plans.lineage import discard, materialize, materialize_counted
 ORDERS = 2
 CHUNKS = 64
 COUNT_BITS = 22
-CELL_BITS = 28
+# The table of prefix tokens has about so many cells for each of them, within these bounds.
+CELLS_PER_TOKEN = 8
+LEAST_CELL_BITS, MOST_CELL_BITS = 16, 28
 SMALL_GROUP = 128
 BLOCK = 1024
 BROADCAST_ROWS = 100_000
@@ -140,24 +142,29 @@ def _new_sets(sets: list[np.ndarray], met: set[int]) -> Iterator[tuple[int, np.n
             yield name, x
 
 
-def _cell(place: np.ndarray) -> np.ndarray:
+def cell_bits(tokens: int) -> int:
+    """For so many tokens of all sets, a quarter of which stand in prefixes."""
+    return min(MOST_CELL_BITS, max(LEAST_CELL_BITS, (tokens * CELLS_PER_TOKEN // 4).bit_length()))
+
+
+def _cell(place: np.ndarray, bits: int) -> np.ndarray:
     """By the low bits: the high ones are small for every prefix token."""
-    return (place & U64((1 << CELL_BITS) - 1)).astype(np.int64)
+    return (place & U64((1 << bits) - 1)).astype(np.int64)
 
 
-def _prefix_cells(classes) -> Callable:
+def _prefix_cells(classes, width: int) -> Callable:
     """Task function: the cells of all prefix tokens, by order and chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
         size = 0
-        edges = np.arange(1, CHUNKS, dtype=np.int64) << (CELL_BITS - 6)
+        edges = np.arange(1, CHUNKS, dtype=np.int64) << (width - 6)
 
         def emit() -> Iterator[pa.RecordBatch]:
             for order, cells in enumerate(held):
                 all_ = np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *cells]))
-                low = (all_ & ((1 << (CELL_BITS - 6)) - 1)).astype(np.uint32)
+                low = (all_ & ((1 << (width - 6)) - 1)).astype(np.uint32)
                 parts = [x.tobytes() for x in np.split(low, np.searchsorted(all_, edges))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([order * CHUNKS + i for i in range(CHUNKS)], pa.int64()), pa.array(parts, pa.binary())],
@@ -171,9 +178,9 @@ def _prefix_cells(classes) -> Callable:
                 for _, x in _new_sets(sets, met):
                     for order in range(ORDERS):
                         place = _prefix(x, table, order)[1]
-                        held[order].append(_cell(place))
+                        held[order].append(_cell(place, width))
                         size += len(place)
-                if size > 8_000_000:
+                if size > 2_000_000:
                     yield from emit()
                     size = 0
         yield from emit()
@@ -181,15 +188,18 @@ def _prefix_cells(classes) -> Callable:
     return run
 
 
-def _shared_cells(rows: pd.DataFrame) -> pd.DataFrame:
-    times = np.zeros(1 << (CELL_BITS - 6), dtype=np.uint8)
-    for data in rows["data"]:
-        cells, n = np.unique(np.frombuffer(data, dtype=np.uint32), return_counts=True)
-        times[cells] = np.minimum(times[cells] + np.minimum(n, 2), 2)
-    return pd.DataFrame({"chunk": rows["chunk"][:1], "data": [np.packbits(times > 1).tobytes()]})
+def _shared_cells(width: int) -> Callable:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        times = np.zeros(1 << (width - 6), dtype=np.uint8)
+        for data in rows["data"]:
+            cells, n = np.unique(np.frombuffer(data, dtype=np.uint32), return_counts=True)
+            times[cells] = np.minimum(times[cells] + np.minimum(n, 2), 2)
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "data": [np.packbits(times > 1).tobytes()]})
+
+    return run
 
 
-def _prefix_rows(classes, shared) -> Callable:
+def _prefix_rows(classes, shared, width: int) -> Callable:
     """Task function: order, token, set name and set size for tokens in shared cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +211,7 @@ def _prefix_rows(classes, shared) -> Callable:
                 for name, x in _new_sets(sets, met):
                     for order in range(ORDERS):
                         token, place = _prefix(x, table, order)
-                        cell = _cell(place)
+                        cell = _cell(place, width)
                         # A token has another name under each order.
                         token = mix(token + U64(order))
                         kept = token[(bits[order][cell >> 3] >> (7 - (cell & 7))) & 1 == 1].view(np.int64)
@@ -343,8 +353,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     """
     named = _classed(
         docs.select(
-            F.col(f"`{key}`").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("body"),
-            F.col(f"`{text}`").cast("string").alias("text"),
+            *row_name(docs, text=text, key=key), F.col(f"`{text}`").cast("string").alias("text")
         )
     )
     least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -384,9 +393,10 @@ def _classed(rows: DataFrame) -> DataFrame:
     people = profile.filter("kind = 0").select("doc_id", "body", "n", "sig")
     counts = _table(profile.filter("kind = 1").select("chunk", "data"), _add_counts, 1, "u4")[0]
     classes = spark.sparkContext.broadcast(frequency_class(counts))
-    cells = rows.mapInArrow(_prefix_cells(classes), "chunk long, data binary")
-    shared = spark.sparkContext.broadcast(_table(cells, _shared_cells, ORDERS, "u1"))
-    prefixes = rows.mapInArrow(_prefix_rows(classes, shared), "ord long, token long, sig long, n long")
+    width = cell_bits(people.agg(F.sum("n")).first()[0] or 0)
+    cells = rows.mapInArrow(_prefix_cells(classes, width), "chunk long, data binary")
+    shared = spark.sparkContext.broadcast(_table(cells, _shared_cells(width), ORDERS, "u1"))
+    prefixes = rows.mapInArrow(_prefix_rows(classes, shared, width), "ord long, token long, sig long, n long")
     prefixes = materialize(prefixes, "ngram-prefixes")
     groups = prefixes.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.min("sig").alias("lead"), F.max("sig").alias("last")
@@ -394,7 +404,7 @@ def _classed(rows: DataFrame) -> DataFrame:
     members = materialize(prefixes.join(groups, "token"), "ngram-members")
     discard(prefixes)
     reps = people.filter("sig IS NOT NULL").groupBy("sig").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("size")
+        F.min(F.struct("doc_id", "body")).alias("rep"), F.first("n").alias("size")
     )
     reps = materialize(reps, "ngram-classes")
     stars = (
@@ -440,7 +450,9 @@ def _fetch(rows: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     chosen, n = materialize_counted(
         reps.join(wanted, "sig", "left_semi").select(F.col("sig").alias("want"), "rep"), "ngram-wanted"
     )
-    texts = rows.join(broadcast_if_small(chosen, n, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("rep")))
+    # Key and text together name a row, so rows without a key meet one wanted set at most.
+    same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & F.col("body").eqNullSafe(F.col("rep.body"))
+    texts = rows.join(broadcast_if_small(chosen, n, BROADCAST_ROWS), same)
     sets = texts.select("text", "want").mapInArrow(_wanted_sets(), "sig long, n long, tokens binary")
     # Repeated keys may bring a set twice.
     return materialize(sets, "ngram-sets").dropDuplicates(["sig"])

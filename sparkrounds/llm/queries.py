@@ -46,6 +46,7 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.select("doc_id", "source", "text"),
         membership=F.array("source"),
         size=word_count(F.col("text")),
+        split_last=True,
     )
     targets = spark.createDataFrame(
         [(s.name, s.size, s.target) for s in sources],
@@ -53,7 +54,7 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return mixed.join(
         targets.hint("broadcast"), F.col("source").eqNullSafe(F.col("name"))
-    ).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    ).select("doc_id", "source", "size", "source_size", "target", "copies", "part", "taken")
 
 
 @query("op2_stream_dedup")
