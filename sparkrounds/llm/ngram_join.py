@@ -328,18 +328,15 @@ def connected(links: DataFrame) -> DataFrame:
     return tips.unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("comp"))).distinct()
 
 
-def _table(rows: DataFrame, add: Callable, orders: int, dtype: str) -> list[np.ndarray]:
-    """Per order the whole table of cells: a fixed number of bytes, whatever the corpus."""
-    summed = rows.groupBy("chunk").applyInPandas(add, "chunk long, data binary")
-    if orders > 1:
-        summed = materialize(summed, "ngram-cells")
-    out = []
-    for order in range(orders):
-        mine = summed.filter(f"chunk >= {order * CHUNKS} AND chunk < {(order + 1) * CHUNKS}")
-        found = {r.chunk % CHUNKS: r.data for r in mine.collect()}
-        size = next((len(x) for x in found.values()), 1)
-        out.append(np.frombuffer(b"".join(found.get(i, bytes(size)) for i in range(CHUNKS)), dtype=dtype))
-    return out
+def _table(rows: DataFrame, add: Callable, orders: int, dtype: str, size: int) -> list[np.ndarray]:
+    """Per order the whole table of cells, ``size`` bytes a chunk, filled chunk by chunk."""
+    summed = materialize(rows.groupBy("chunk").applyInPandas(add, "chunk long, data binary"), "ngram-cells")
+    out = [np.zeros(CHUNKS * size, dtype=np.uint8) for _ in range(orders)]
+    for row in summed.toLocalIterator():
+        at = row.chunk % CHUNKS * size
+        out[row.chunk // CHUNKS][at : at + size] = np.frombuffer(row.data, np.uint8)
+    discard(summed)
+    return [table.view(dtype) for table in out]
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -391,11 +388,11 @@ def _classed(rows: DataFrame) -> DataFrame:
         "ngram-profile",
     )
     people = profile.filter("kind = 0").select("doc_id", "body", "n", "sig")
-    counts = _table(profile.filter("kind = 1").select("chunk", "data"), _add_counts, 1, "u4")[0]
+    counts = _table(profile.filter("kind = 1").select("chunk", "data"), _add_counts, 1, "u4", 4 * (1 << COUNT_BITS) // CHUNKS)[0]
     classes = spark.sparkContext.broadcast(frequency_class(counts))
     width = cell_bits(people.agg(F.sum("n")).first()[0] or 0)
     cells = rows.mapInArrow(_prefix_cells(classes, width), "chunk long, data binary")
-    shared = spark.sparkContext.broadcast(_table(cells, _shared_cells(width), ORDERS, "u1"))
+    shared = spark.sparkContext.broadcast(_table(cells, _shared_cells(width), ORDERS, "u1", (1 << width) // 8 // CHUNKS))
     prefixes = rows.mapInArrow(_prefix_rows(classes, shared, width), "ord long, token long, sig long, n long")
     prefixes = materialize(prefixes, "ngram-prefixes")
     groups = prefixes.groupBy("token").agg(

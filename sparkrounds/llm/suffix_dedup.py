@@ -34,6 +34,8 @@ GRAM = 40
 BLOCK = 32
 BATCHES = 4
 CELL_BITS = 27
+# Bytes of a chunk of cells, a bit each.
+CELL_BYTES = (1 << CELL_BITS) // 8 // CHUNKS
 SEGMENT = 1 << 18
 BATCH_BYTES = 1 << 19
 # Strings that one bucket of the last step compares, on average.
@@ -425,7 +427,7 @@ def remove_repeats(
     send = spark.sparkContext.broadcast
     cells = "chunk long, data binary"
     texts = rows.select("text")
-    grams = send(_table(texts.mapInArrow(_cell_rows(_gram_fps(length), 1), cells), _filled((2,)), 1, "u1")[0])
+    grams = send(_table(texts.mapInArrow(_cell_rows(_gram_fps(length), 1), cells), _filled((2,)), 1, "u1", CELL_BYTES)[0])
     wholes = materialize(rows.mapInArrow(_wholes(grams, length), WHOLES), "suffix-wholes")
     family = IndexFamily()
     for i in range(batches):
@@ -433,9 +435,9 @@ def remove_repeats(
     shared = materialize(family.shared(), "suffix-shared")
     full = materialize(wholes.join(shared, "fp").select("doc", "body", "s", "e"), "suffix-full")
     single = wholes.select("fp").join(shared, "fp", "left_anti")
-    alone = send(_table(single.mapInArrow(_cell_rows(_row_fps, 1), cells), _filled((1,)), 1, "u1")[0])
+    alone = send(_table(single.mapInArrow(_cell_rows(_row_fps, 1), cells), _filled((1,)), 1, "u1", CELL_BYTES)[0])
     inners = texts.mapInArrow(_cell_rows(_inner_fps(grams, alone, length), 2), cells)
-    inners = send(_table(inners, _filled((2, 1)), 2, "u1"))
+    inners = send(_table(inners, _filled((2, 1)), 2, "u1", CELL_BYTES))
     found = materialize(rows.mapInArrow(_blocks(grams, alone, inners, length), BLOCKS), "suffix-found")
     family = IndexFamily()
     for i in range(batches):
