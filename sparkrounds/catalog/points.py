@@ -20,18 +20,19 @@ from sparkrounds.catalog.bindings import (
     table,
 )
 from sparkrounds.catalog.registry import query
+from sparkrounds.functions.sums import exact_sum_sql
 from sparkrounds.operators import coreset, kmeans, seeding
 from sparkrounds.plans.lineage import materialize
 
 # Shared CTEs: distances, cost, ring parameters and ring assignment in plain SQL.
 _GIVEN = f"WITH {EVENT_POINTS}, {EVENT_CENTERS}"
-_DIST = """dist AS (SELECT id, x, y, w, c, cx, cy,
+_DIST = """dist AS (SELECT id, x, y, w, c, cx, cy, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2,
   sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM pts, centers)"""
-_COST = """cost AS (SELECT count(*) AS n, sum(w * s) / (SELECT count(*) FROM centers) AS cost
-  FROM (SELECT id, any_value(w) AS w, sqrt(sum(d * d)) AS s FROM dist GROUP BY id))"""
+_COST = f"""cost AS (SELECT count(*) AS n, {exact_sum_sql('ws')} / (SELECT count(*) FROM centers) AS cost
+  FROM (SELECT id, any_value(w) * sqrt(sum(d2 ORDER BY c)) AS ws FROM dist GROUP BY id))"""
 _PARAMS = """params AS (SELECT n, cost,
   CASE WHEN 0.5 * ln(n) > 1 THEN ceil(ln(n) * ln(0.5 * ln(n)))::INTEGER ELSE 0 END AS levels,
-  CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END::FLOAT::DOUBLE AS r FROM cost)"""
+  CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END AS r FROM cost)"""
 _SET_UP = f"{_GIVEN}, {_DIST}, {_COST}, {_PARAMS}"
 
 
@@ -51,8 +52,8 @@ def _rings(schedule: str) -> str:
       FROM pts p LEFT JOIN (SELECT * FROM hits WHERE nr = 1) h ON p.id = h.id)"""
 
 
-_CELLS = """celled AS (SELECT *, floor((x - (cx - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gx,
-  floor((y - (cy - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gy
+_CELLS = """celled AS (SELECT *, floor((x - cx) / side + ceil(hi * 2 / side) / 2)::INTEGER AS gx,
+  floor((y - cy) / side + ceil(hi * 2 / side) / 2)::INTEGER AS gy
   FROM (SELECT *, 0.25::DOUBLE * hi / sqrt(2.0::DOUBLE) AS side FROM assigned))"""
 _GRID = f"""{_CELLS}, grid AS (
   SELECT id, x, y, weight AS w FROM (SELECT id, x, y, sum(w) OVER cell AS weight,
@@ -144,7 +145,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"{_SET_UP}, {_rings('geometric')}, {_GRID} SELECT id, x, y, w FROM grid",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return coreset.grid_coreset(_assigned(spark, sf, "geometric")).drop("set")
+    stored = materialize(_assigned(spark, sf, "geometric"), "assigned")
+    return coreset.grid_coreset(stored).drop("set")
 
 
 @query(
@@ -232,15 +234,15 @@ def _merge_sql(k: int, sets: int, sample_size: int | None = None) -> str:
         parts.append(_seed_ctes(points, f"{t}_seeds", k, f"0:{number}"))
         merged = max(sets // 2, 1)
         parts.append(
-            f"""{t}_dist AS MATERIALIZED (SELECT p."set", id, x, y, w, c, cx, cy,
+            f"""{t}_dist AS MATERIALIZED (SELECT p."set", id, x, y, w, c, cx, cy, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2,
               sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d
               FROM {points} p JOIN {t}_seeds s ON p."set" = s."set"),
-            {t}_cost AS (SELECT "set", count(*) AS n, sum(w * s) / any_value(k) AS cost FROM
-              (SELECT "set", id, any_value(w) AS w, sqrt(sum(d * d)) AS s, count(*) AS k
+            {t}_cost AS (SELECT "set", count(*) AS n, {exact_sum_sql('ws')} / any_value(k) AS cost FROM
+              (SELECT "set", id, any_value(w) * sqrt(sum(d2 ORDER BY c)) AS ws, count(*) AS k
                FROM {t}_dist GROUP BY "set", id) GROUP BY "set"),
             {t}_params AS MATERIALIZED (SELECT "set",
               CASE WHEN 0.5 * ln(n) > 1 THEN ceil(ln(n) * ln(0.5 * ln(n)))::INTEGER ELSE 0 END AS levels,
-              CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END::FLOAT::DOUBLE AS r
+              CASE WHEN 0.5 * ln(n) > 1 THEN sqrt(cost / (0.5 * ln(n) * n)) END AS r
               FROM {t}_cost),
             {t}_rings AS MATERIALIZED (SELECT "set", level::INTEGER AS level,
               CASE WHEN level = 0 THEN 0.0::DOUBLE ELSE r * pow(2.0, level - 1) END AS lo,
@@ -250,8 +252,8 @@ def _merge_sql(k: int, sets: int, sample_size: int | None = None) -> str:
               row_number() OVER (PARTITION BY id ORDER BY level, c) AS nr
               FROM {t}_dist d JOIN {t}_rings g ON d."set" = g."set" AND d > lo AND d < hi),
             {t}_celled AS MATERIALIZED (SELECT p.id, p.x, p.y, p.w, p."set", level, c,
-              floor((x - (cx - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gx,
-              floor((y - (cy - side * ceil(hi * 2 / side) / 2)) / side)::INTEGER AS gy,
+              floor((x - cx) / side + ceil(hi * 2 / side) / 2)::INTEGER AS gx,
+              floor((y - cy) / side + ceil(hi * 2 / side) / 2)::INTEGER AS gy,
               CASE WHEN level IS NULL THEN p.id END AS alone
               FROM {points} p LEFT JOIN (SELECT *, 0.25::DOUBLE * hi / sqrt(2.0::DOUBLE) AS side
                 FROM {t}_hits WHERE nr = 1) h ON p.id = h.id),
@@ -297,9 +299,81 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return reduced.agg(F.round(F.sum("w"), 3).alias("total_weight"))
 
 
-@query("kmeans_fit")
+def _parallel_sql(k: int, passes: int, size: int, seed: str = "0") -> str:
+    """Oversampled seeds of every set of ``dealt``: passes, weights and the weighted race unrolled."""
+    parts = [
+        f"""new0 AS MATERIALIZED (SELECT "set", id, x, y, 0 AS pass, 0 AS nr FROM (SELECT *, row_number() OVER
+          (PARTITION BY "set" ORDER BY {sql_md5(f'{seed}:0', 'id')}, id) AS nr FROM dealt) WHERE nr = 1)"""
+    ]
+    for i in range(1, passes + 1):
+        seen = " UNION ALL ".join(f"SELECT * FROM new{j}" for j in range(i))
+        parts.append(
+            f"""new{i} AS MATERIALIZED (SELECT "set", id, x, y, {i} AS pass, nr::INTEGER AS nr FROM (SELECT *,
+              row_number() OVER (PARTITION BY "set" ORDER BY -ln({sql_uniform(f'{seed}:{i}', 'id')}) / d2, id) AS nr
+              FROM (SELECT d."set", d.id, any_value(d.x) AS x, any_value(d.y) AS y,
+                min((d.x - s.x) * (d.x - s.x) + (d.y - s.y) * (d.y - s.y)) AS d2
+                FROM dealt d JOIN ({seen}) s ON d."set" = s."set" GROUP BY d."set", d.id) WHERE d2 > 0) WHERE nr <= {size})"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM new{j}" for j in range(passes + 1))
+    parts.append(
+        f"""cand AS MATERIALIZED ({every}),
+        weighed AS MATERIALIZED (SELECT c."set", c.id, c.x, c.y, n.w FROM cand c JOIN (
+          SELECT "set", near, count(*) AS w FROM (SELECT d."set", arg_min(s.id, ((d.x - s.x) * (d.x - s.x)
+              + (d.y - s.y) * (d.y - s.y), pass, nr)) AS near
+            FROM dealt d JOIN cand s ON d."set" = s."set" GROUP BY d."set", d.id) GROUP BY "set", near) n
+          ON c."set" = n."set" AND c.id = n.near)"""
+    )
+    for i in range(k):
+        seen = " UNION ALL ".join(f"SELECT * FROM seed{j}" for j in range(i))
+        far = (
+            f"""(SELECT d."set", d.id, any_value(d.x) AS x, any_value(d.y) AS y, any_value(w) * min((d.x - s.x) * (d.x - s.x)
+              + (d.y - s.y) * (d.y - s.y)) AS r FROM weighed d JOIN ({seen}) s ON d."set" = s."set" GROUP BY d."set", d.id)"""
+            if i else """(SELECT "set", id, x, y, w::DOUBLE AS r FROM weighed)"""
+        )
+        parts.append(
+            f"""seed{i} AS MATERIALIZED (SELECT "set", {i} AS c, id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY "set"
+              ORDER BY -ln({sql_uniform(f'{seed}:again:{i}', 'id')}) / r, id) AS nr FROM {far} WHERE r > 0) WHERE nr = 1)"""
+        )
+    last = " UNION ALL ".join(f"SELECT * FROM seed{j}" for j in range(k))
+    return ",\n".join(parts) + f' SELECT "set", c, x AS cx, y AS cy, id FROM ({last})'
+
+
+@query("parallel_seed", f"WITH {EVENT_POINTS}, {_dealt(8)}, {_parallel_sql(4, 3, 8)}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return seeding.parallel_seed(coreset.partition_points(event_points(spark, sf), 8), 4, passes=3)
+
+
+@query(
+    "kmeans_fit",
+    # The seeds, then Lloyd steps over (c, cx, cy) until the centers rest or 50 steps are done.
+    f"""WITH RECURSIVE {EVENT_POINTS}, one AS MATERIALIZED (SELECT *, 0 AS "set" FROM pts),
+    {_seed_ctes('one', 'seeds', 5, '100')},
+    steps AS (
+      SELECT 0 AS step, 1e9::DOUBLE AS far, list((c, cx, cy) ORDER BY c) AS places FROM seeds
+      UNION ALL
+      SELECT step + 1, max(sqrt((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy))), list((c, cx, cy) ORDER BY c) FROM (
+        SELECT step, c, ox, oy, CASE WHEN sw > 0 THEN sx / sw ELSE ox END AS cx, CASE WHEN sw > 0 THEN sy / sw ELSE oy END AS cy
+        FROM (
+          SELECT step, c, any_value(ox) AS ox, any_value(oy) AS oy, {exact_sum_sql('xw')} AS sx, {exact_sum_sql('yw')} AS sy,
+            {exact_sum_sql('nw')} AS sw
+          FROM (
+            SELECT step, c, ox, oy, CASE WHEN nr = 1 THEN x * w ELSE 0 END AS xw, CASE WHEN nr = 1 THEN y * w ELSE 0 END AS yw,
+              CASE WHEN nr = 1 THEN w ELSE 0 END AS nw
+            FROM (
+              SELECT *, row_number() OVER (PARTITION BY id ORDER BY (x - ox) * (x - ox) + (y - oy) * (y - oy), c) AS nr
+              FROM (SELECT step, p[1] AS c, p[2] AS ox, p[3] AS oy FROM (SELECT step, unnest(places) AS p FROM steps
+                WHERE step < 50 AND far > 1e-4)) CROSS JOIN pts
+            )
+          ) GROUP BY step, c
+        )
+      ) GROUP BY step
+    )
+    SELECT (row_number() OVER (ORDER BY p[2], p[3]) - 1)::INTEGER AS c, round(p[2], 6) AS cx, round(p[3], 6) AS cy
+    FROM (SELECT unnest(places) AS p FROM (SELECT places FROM steps ORDER BY step DESC LIMIT 1))""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return kmeans.kmeans_fit(event_points(spark, sf), 5, seed=100)
+    fit = kmeans.kmeans_fit(event_points(spark, sf), 5, seed=100)
+    return fit.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
 
 
 @query(

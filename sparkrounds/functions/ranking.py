@@ -7,15 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrounds.functions.hashing import hash32, order_key
+from sparkrounds.functions.hashing import hash60, order_key
 from sparkrounds.functions.sizing import broadcast_if_small
 from sparkrounds.plans.lineage import materialize, materialize_counted
 
 ROWS_PER_TASK = 1_000_000
-# Rows of one group that may share a selection bucket, on average, until the
-# histogram has 2**MAX_BITS buckets per group.
+# Rows of a group's last selection bucket, which one window ranks.
 ROWS_PER_BUCKET = 10_000
-MAX_BITS = 16
+# Bits of a hash, and how many of them each histogram looks at.
+HASH_BITS = 60
+PASS_BITS = 12
 
 
 def global_rank(
@@ -58,40 +59,71 @@ def bottom_by_hash(
     seed: object,
     key: str,
     weight: str,
-    total_rows: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """A seeded sample of exactly ``min(size, group rows)`` rows of every group.
 
     The sample is the ``size`` rows with the smallest ``md5(seed:key)``.  A
-    histogram of the hash's top bits finds the bucket in which the cut falls;
-    lower buckets are taken whole, and only the cut bucket's rows are ranked.
-    Hashes are uniform, so a bucket stays small however large its group is.
+    histogram of the hash's next ``PASS_BITS`` bits finds the bucket of every
+    group in which its cut falls: lower buckets are taken whole, higher ones
+    left, and the cut bucket is divided again until no group's holds more than
+    ``rows_per_bucket`` rows.  Only those are ranked, however large a group is.
 
     Adds ``group_n`` and ``group_w``, the group's row count and total weight.
+    ``df`` is read in every pass, so it should be stored.
     """
-    bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1.0, total_rows / rows_per_bucket)))))
-    tagged = df.withColumn("hb", F.shiftright(hash32(seed, key), 32 - bits))
-    filled, cells = materialize_counted(
-        tagged.groupBy(*group, "hb").agg(
-            F.count(F.lit(1)).alias("hb_n"), F.sum(weight).alias("hb_w")
+    start = df.groupBy(*group).agg(F.count(F.lit(1)).alias("group_n"), F.sum(weight).alias("group_w"))
+    # Per group: the cut lies at a hash that begins as ``low``, ``below`` rows lie under it.
+    cut, groups = materialize_counted(
+        start.withColumns(
+            {
+                "low": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "inside": F.col("group_n"),
+                "open": F.col("group_n") > F.greatest(F.lit(size), F.lit(rows_per_bucket)),
+            }
         ),
-        "hash-histogram",
+        "hash-cut",
     )
-    so_far = Window.partitionBy(*group).orderBy("hb")
-    running = filled.withColumn("hb_end", F.sum("hb_n").over(so_far))
-    # The first bucket whose running count reaches the size; none if all rows fit.
-    cut = running.groupBy(*group).agg(
-        F.sum("hb_n").alias("group_n"),
-        F.sum("hb_w").alias("group_w"),
-        F.expr(f"min(struct(hb, hb_end - hb_n AS below)) FILTER (WHERE hb_end >= {size}) AS cut"),
-    )
-    placed = tagged.join(broadcast_if_small(cut, cells), group)
-    whole = placed.filter("cut IS NULL OR hb < cut.hb")
-    edge = placed.filter("hb = cut.hb")
+    hashed = df.withColumn("h60", hash60(seed, key))
+    used = 0
+    while used < HASH_BITS and not cut.filter("open").isEmpty():
+        left = HASH_BITS - used - PASS_BITS
+        found = broadcast_if_small(cut.filter("open").select(*group, "low"), groups)
+        within = hashed.join(found, group).filter(F.shiftright("h60", HASH_BITS - used) == F.col("low"))
+        counts = within.groupBy(*group, F.shiftright("h60", left).alias("hb")).agg(F.count(F.lit(1)).alias("hb_n"))
+        running = counts.withColumn("hb_end", F.sum("hb_n").over(Window.partitionBy(*group).orderBy("hb")))
+        # The first bucket in which the running count reaches what is wanted.
+        wanted = running.join(broadcast_if_small(cut.select(*group, "below"), groups), group)
+        first = wanted.filter(F.col("hb_end") + F.col("below") >= size).groupBy(*group).agg(
+            F.min_by("hb_n", "hb").alias("new_inside"),
+            F.min(F.col("hb_end") - F.col("hb_n")).alias("more"), F.min("hb").alias("new_low"),
+        )
+        step = cut.join(first, group, "left")
+        moved = F.col("new_low").isNotNull()
+        used += PASS_BITS
+        cut = materialize(
+            step.select(
+                *group, "group_n", "group_w",
+                F.when(moved, F.col("new_low")).otherwise(F.shiftleft("low", PASS_BITS)).alias("low"),
+                (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"),
+                F.coalesce("new_inside", "inside").alias("inside"),
+                (moved & (F.col("new_inside") > rows_per_bucket)).alias("open"),
+                F.coalesce(F.when(moved, F.lit(used)), F.col("bits") if "bits" in cut.columns else F.lit(0)).alias("bits"),
+            ),
+            "hash-cut",
+        )
+        # Groups that were done keep their own depth: their prefix is of fewer bits.
+        cut = cut.withColumn(
+            "low", F.when(F.col("bits") == used, F.col("low")).otherwise(F.shiftright("low", PASS_BITS))
+        )
+    if "bits" not in cut.columns:
+        cut = cut.withColumn("bits", F.lit(0))
+    placed = hashed.join(broadcast_if_small(cut.drop("inside", "open"), groups), group)
+    prefix = F.expr(f"shiftright(h60, {HASH_BITS} - bits)")
+    whole = placed.filter((prefix < F.col("low")) | (F.col("group_n") <= size))
+    edge = placed.filter((prefix == F.col("low")) & (F.col("group_n") > size))
     row = F.row_number().over(Window.partitionBy(*group).orderBy(order_key(seed, key), key))
-    chosen = edge.withColumn("rn", row).filter(f"rn <= {size} - cut.below").drop("rn")
-    return whole.unionByName(chosen).drop("hb", "cut")
+    chosen = edge.withColumn("rn", row).filter(f"rn <= {size} - below").drop("rn")
+    return whole.unionByName(chosen).drop("h60", "low", "below", "bits")
 
 
 BUCKETS = 4096

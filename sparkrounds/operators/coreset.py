@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from sparkrounds.functions.checks import one_of, require
 from sparkrounds.functions.hashing import bucket, hash60
 from sparkrounds.functions.ranking import bottom_by_hash
+from sparkrounds.functions.sums import exact_sums
 from sparkrounds.operators.seeding import seed_arrays
 from sparkrounds.plans.lineage import materialize
 from sparkrounds.plans.rounds import merge_rounds
@@ -102,6 +103,21 @@ class CenterSets:
         return F.expr(f"aggregate(centers, 0D, (acc, center) -> acc + {fn('center')})")
 
 
+    def among(self, distances: str, text: str, estimates: str = "NULL") -> Column:
+        """Array of ``text`` over the centers, with ``{d}`` and ``{e}`` from the arrays named.
+
+        Generated code, without a function per element, up to ``UNROLL`` centers.
+        """
+        if self.k <= UNROLL:
+            cells = (
+                text.format(d=f"get({distances}, {i})", e=f"get({estimates}, {i})") for i in range(self.k)
+            )
+            return F.expr(f"array({', '.join(cells)})")
+        if estimates == "NULL":
+            return F.expr(f"transform({distances}, d -> {text.format(d='d', e='NULL')})")
+        return F.expr(f"zip_with({distances}, {estimates}, (d, e) -> {text.format(d='d', e='e')})")
+
+
 def _check_centers(count: int) -> None:
     if count > MAX_CENTERS:
         raise ValueError(f"{count} centers exceed the broadcast bound {MAX_CENTERS}")
@@ -132,20 +148,16 @@ def coreset_cost(points: DataFrame, centers: DataFrame | CenterSets) -> DataFram
     """Per set ``(set, n, k, cost)``.
 
     ``cost`` is the weighted sum of each point's root of summed squared
-    distances to all centers, divided by the number of centers.
+    distances to all centers, divided by the number of centers.  The sum is exact,
+    so it does not depend on the order of the points.
     """
     sets = CenterSets.of(centers)
-    spread = F.sqrt(sets.total(squared_distance))
-    return (
-        sets.attach(_with_set(points))
-        .groupBy("set")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.size("centers")).alias("k"),
-            F.sum(F.col("w") * spread).alias("spread"),
-        )
-        .select("set", "n", "k", (F.col("spread") / F.col("k")).alias("cost"))
+    rows = sets.attach(_with_set(points)).select(
+        "set", F.size("centers").alias("k"), (F.col("w") * F.sqrt(sets.total(squared_distance))).alias("spread")
     )
+    count = F.count(F.lit(1)).alias("n")
+    totals = exact_sums(rows, ["set"], {"total": "spread"}, count, F.max("k").alias("k"))
+    return totals.select("set", "n", "k", (F.col("total") / F.col("k")).alias("cost"))
 
 
 def ring_params(
@@ -153,9 +165,7 @@ def ring_params(
 ) -> DataFrame:
     """Per set ``(set, n, cost, levels, r)``: number of rings and first radius.
 
-    Where ``a * ln(n) <= 1`` there are no rings and the set passes through.  The
-    radius is rounded to single precision: the last bits of a sum depend on the
-    order of its terms, and the rings must not.
+    Where ``a * ln(n) <= 1`` there are no rings and the set passes through.
     """
     log_n = F.log(F.col("n").cast("double"))
     scaled = F.lit(a) * log_n
@@ -163,7 +173,7 @@ def ring_params(
     levels = F.when(usable, F.ceil(log_n * F.log(scaled))).otherwise(0)
     radius = F.when(usable, F.sqrt(F.col("cost") / (scaled * F.col("n"))))
     return coreset_cost(points, centers).select(
-        "set", "n", "cost", levels.cast("int").alias("levels"), radius.cast("float").cast("double").alias("r")
+        "set", "n", "cost", levels.cast("int").alias("levels"), radius.alias("r")
     )
 
 
@@ -190,8 +200,12 @@ def ring_assign(
         rows = rows.withColumn("rp", only).select("*", "rp.levels", "rp.r").drop("rp")
     # Staged columns: each is computed once per row and read by the next.
     rows = rows.withColumn("dists", sets.each(lambda c: f"sqrt({squared_distance(c)})"))
-    rows = rows.withColumn("rings", F.expr(_RINGS[schedule]))
-    rows = rows.withColumn("level", F.array_min("rings"))
+    if schedule == "geometric":
+        rows = rows.withColumn("guesses", sets.among("dists", _ESTIMATE))
+        rings = sets.among("dists", _SETTLE, "guesses")
+    else:
+        rings = sets.among("dists", _TWO_RINGS)
+    rows = rows.withColumn("rings", rings).withColumn("level", F.array_min("rings"))
     # Centers are in order of c, so the first one at that level is the smallest.
     at = F.expr("get(centers, int(array_position(rings, level)) - 1)")
     return rows.withColumn("at", at).selectExpr(
@@ -205,32 +219,27 @@ def ring_assign(
     )
 
 
-# Per center the level of its ring that holds the point, or null.  log2 may miss
-# by one next to a power of two, and a point on a boundary is in no ring, so the
-# estimate is checked against the exact radii.
-_ESTIMATE = "greatest(0D, double(ceil(log2(d / nullif(r, 0D)))))"
-_SETTLE = """CASE WHEN i > 0 AND d < r * pow(2D, i) / 2 THEN i - 1
-  WHEN d > r * pow(2D, i) THEN i + 1
-  WHEN d > 0 AND d < r * pow(2D, i) AND (i = 0 OR d > r * pow(2D, i) / 2) THEN i END"""
-_RINGS = {
-    "two_ring": """transform(dists, d -> CASE WHEN d > 0 AND d < r AND levels > 0 THEN 0
-      WHEN d > r AND d < r * 2 AND levels > 1 THEN 1 END)""",
-    "geometric": f"""transform(
-      zip_with(dists, transform(dists, d -> {_ESTIMATE}), (d, i) -> {_SETTLE}),
-      i -> CASE WHEN i < levels THEN int(i) END)""",
-}
+# The level of the ring around a center that holds a point at distance {d}, or
+# null.  log2 may miss by one next to a power of two, and a point on a boundary
+# is in no ring, so the estimate {e} is checked against the exact radii.
+_ESTIMATE = "greatest(0D, double(ceil(log2({d} / nullif(r, 0D)))))"
+_SETTLE = """CASE WHEN {d} > 0 AND {e} > 0 AND {d} < r * pow(2D, {e}) / 2 AND {e} <= levels THEN int({e}) - 1
+  WHEN {d} > r * pow(2D, {e}) AND {e} + 1 < levels THEN int({e}) + 1
+  WHEN {d} > 0 AND {d} < r * pow(2D, {e}) AND ({e} = 0 OR {d} > r * pow(2D, {e}) / 2) AND {e} < levels THEN int({e}) END"""
+_TWO_RINGS = """CASE WHEN {d} > 0 AND {d} < r AND levels > 0 THEN 0
+  WHEN {d} > r AND {d} < r * 2 AND levels > 1 THEN 1 END"""
 
 
 def grid_cell(assigned: DataFrame, *, eps: float = 0.25) -> DataFrame:
     """Adds the half-open grid cell ``(gx, gy)`` of every point that lies in a ring.
 
-    Cells have side ``eps * hi / sqrt(2)`` and the grid is centered on the center.
+    Cells have side ``eps * hi / sqrt(2)``; their number per axis covers the ring's
+    box, with the center in the middle.
     """
     side = f"({float(eps)!r}D * hi / sqrt(2D))"
-    width = f"({side} * ceil(hi * 2 / {side}))"
 
     def cell(v: str) -> Column:
-        return F.expr(f"int(floor(({v} - (c{v} - {width} / 2)) / {side}))")
+        return F.expr(f"int(floor(({v} - c{v}) / {side} + ceil(hi * 2 / {side}) / 2))")
 
     return assigned.withColumns({"gx": cell("x"), "gy": cell("y")})
 
@@ -238,20 +247,20 @@ def grid_cell(assigned: DataFrame, *, eps: float = 0.25) -> DataFrame:
 def grid_coreset(assigned: DataFrame, *, eps: float = 0.25, seed: int = 0) -> DataFrame:
     """One seeded random point per non-empty cell, carrying the cell's weight.
 
-    One pass: a left-over point is a cell of its own, keyed by its id, so the
-    ring assignment is evaluated once per point.
+    Left-over points bypass the aggregate, so only points in rings are shuffled;
+    ``assigned`` is read twice, so pass a stored table.
     """
-    celled = grid_cell(assigned, eps=eps)
-    alone = F.when(F.col("level").isNull(), F.col("id"))
+    inside = assigned.filter("level IS NOT NULL")
     # Plain numbers in the aggregate's buffers keep it a hash aggregate.
-    drawn = celled.withColumns({"alone": alone, "draw": hash60(seed, "id")})
-    return (
-        drawn.groupBy("set", "level", "c", "gx", "gy", "alone")
+    drawn = grid_cell(inside, eps=eps).withColumn("draw", hash60(seed, "id"))
+    cells = (
+        drawn.groupBy("set", "level", "c", "gx", "gy")
         .agg(
             *[F.min_by(v, "draw").alias(v) for v in ("id", "x", "y")], F.sum("w").alias("w")
         )
         .select(*POINT, "set")
     )
+    return cells.unionByName(_leftover(assigned))
 
 
 def annulus_coreset(assigned: DataFrame, sample_size: int, *, seed: int = 0) -> DataFrame:
@@ -262,7 +271,7 @@ def annulus_coreset(assigned: DataFrame, sample_size: int, *, seed: int = 0) ->
     ring = ["set", "level", "c"]
     sample = bottom_by_hash(
         assigned.filter("level IS NOT NULL").select(*POINT, *ring),
-        ring, sample_size, seed=seed, key="id", weight="w", total_rows=assigned.count(),
+        ring, sample_size, seed=seed, key="id", weight="w",
     )
     share = F.expr(f"group_w / least({sample_size}, group_n)")
     weighted = sample.select("id", "x", "y", share.alias("w"), "set")
@@ -289,9 +298,10 @@ def coreset_once(
     sets = CenterSets.of(centers)
     params = ring_params(points, sets, a=a)
     assigned = ring_assign(points, sets, params, schedule=schedule)
-    if sampling == "grid":
-        return grid_coreset(assigned, eps=eps, seed=seed)
+    # Stored once: points in rings are aggregated, the others pass by.
     stored = materialize(assigned, "ring-assigned")
+    if sampling == "grid":
+        return grid_coreset(stored, eps=eps, seed=seed)
     return annulus_coreset(stored, sample_size, seed=seed)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.hashing import normal_pair
-from sparkrounds.functions.ranking import global_rank
+from sparkrounds.functions.ranking import beyond, kth_row
+from sparkrounds.plans.lineage import materialize
 
 # Centers, spreads and the linear map of the blob data sets.
 BLOB_CENTERS = ((-6.0, -4.0), (0.0, 5.0), (7.0, -2.0))
@@ -102,22 +103,24 @@ def affine_points(
 def quantile_shells(points: DataFrame, *, shells: int = 3, n: int | None = None) -> DataFrame:
     """Label by squared distance from the mean: ``shells`` classes of equal count.
 
-    Equal-count cuts need the exact position of every point by distance; see
-    :func:`global_rank` for how that is found without sorting in one task.
+    The first shells hold one point more where the number does not divide.  Each
+    cut is the place of one point in the order of (distance, id), found by
+    refined histograms: no point is sorted.
     """
     total = points.count() if n is None else n
     mean = points.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     dx = F.col("x") - mean.select("mx").scalar()
     dy = F.col("y") - mean.select("my").scalar()
-    measured = points.withColumn("d2", F.round(dx * dx + dy * dy, 9))
-    ranked = global_rank(measured, [F.col("d2"), F.col("id")])
+    measured = materialize(points.withColumn("d2", F.round(dx * dx + dy * dy, 9)), "shell-distances")
     size, extra = divmod(total, shells)
-    # The first `extra` shells hold one point more than the others.
-    at = F.col("pos") - 1
-    label = F.when(
-        at < extra * (size + 1), F.floor(at / F.lit(size + 1))
-    ).otherwise(extra + F.floor((at - extra * (size + 1)) / F.lit(max(size, 1))))
-    return ranked.withColumn("label", label.cast("int")).drop("d2", "pos")
+    label, end = F.lit(0), 0
+    for shell in range(shells - 1):
+        end += size + (shell < extra)
+        if 0 < end < total:
+            label = label + F.when(beyond(["d2", "id"], kth_row(measured, ["d2", "id"], end)) > 0, 1).otherwise(0)
+        else:
+            label = label + F.lit(int(end == 0))
+    return measured.withColumn("label", label.cast("int")).drop("d2")
 
 
 def gaussian_quantile_points(spark: SparkSession, n: int, *, seed: int = 0) -> DataFrame:

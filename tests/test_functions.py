@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkrounds.functions.ranking import beyond, bottom_by_hash, global_rank, kth_row
 from sparkrounds.functions.sizing import lookup
+from sparkrounds.functions.sums import exact_sum_sql, exact_sums
 
 
 @pytest.mark.parametrize("rows_per_task", [50, 10_000])
@@ -20,15 +23,14 @@ def test_global_rank(spark, rows_per_task):
     assert [r["pos"] for r in sorted(ranked, key=lambda r: r["pos"])] == list(range(1, 1001))
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10, 100_000])
+@pytest.mark.parametrize("rows_per_bucket", [0, 10, 100_000])
 @pytest.mark.parametrize("size", [1, 30, 400, 5000])
 def test_bottom_by_hash(spark, size, rows_per_bucket):
     """One group holds two thirds of the rows; samples are exact at any bucket width."""
     group = F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 7)
     rows = spark.range(3000).withColumn("g", group)
     got = bottom_by_hash(
-        rows, ["g"], size, seed=5, key="id", weight="id", total_rows=3000,
-        rows_per_bucket=rows_per_bucket,
+        rows, ["g"], size, seed=5, key="id", weight="id", rows_per_bucket=rows_per_bucket,
     ).collect()
     groups = {}
     for i in range(3000):
@@ -69,3 +71,20 @@ def test_kth_row_and_what_lies_beyond(spark):
         row = kth_row(df, order, k)
         assert row == want[k - 1]
         assert df.filter(beyond(order, row) > 0).count() == sum(x > row for x in want)
+
+
+def test_exact_sums_are_the_same_bits_for_any_order(spark):
+    rng = random.Random(3)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(5000)] + [0.0, None]
+    rows = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "g int, v double")
+    for top in (None, 31):
+        seen = set()
+        for parts in (1, 7, 50):
+            out = exact_sums(rows.repartition(parts), ["g"], {"t": "v"}, F.count(F.lit(1)).alias("n"), top=top)
+            seen.add(tuple(sorted((r["g"], r["t"], r["n"]) for r in out.collect())))
+        (found,) = seen
+        for g, total, n in found:
+            mine = [v for i, v in enumerate(values) if i % 3 == g and v is not None]
+            assert abs(total - math.fsum(mine)) <= 4e-16 * abs(total) + 1e-7 * (top is not None) and n in (1667, 1668)
+    one = spark.sql(f"SELECT {exact_sum_sql('v')} AS t FROM VALUES (0.1D), (0.2D), (-0.3D) AS x(v)").first()
+    assert one["t"] == math.fsum([0.1, 0.2, -0.3])
