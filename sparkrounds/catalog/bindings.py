@@ -100,18 +100,21 @@ EVENT_CENTERS = """centers AS (
 
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        F.get("embedding", F.lit(0)).cast("double").alias("x"),
-        F.get("embedding", F.lit(1)).cast("double").alias("y"),
-        F.lit(1.0).alias("w"),
-        F.col("label").cast("int").alias("label"),
+    """All of every vector: a point for each pair of neighbouring coordinates."""
+    pairs = F.expr(
+        "transform(sequence(0, size(embedding) div 2 - 1), i -> named_struct('pair', i, "
+        "'x', double(embedding[2 * i]), 'y', double(embedding[2 * i + 1])))"
+    )
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.inline(pairs))
+    return rows.select(
+        (F.col("vec_id") * 4096 + F.col("pair")).alias("id"), "x", "y", F.lit(1.0).alias("w"),
+        F.col("label").cast("int").alias("label"), "pair",
     )
 
 
 EMBEDDING_POINTS = """pts AS (
-  SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y,
-         1.0::DOUBLE AS w, label FROM embeddings)"""
+  SELECT vec_id * 4096 + pair AS id, embedding[2 * pair + 1]::DOUBLE AS x, embedding[2 * pair + 2]::DOUBLE AS y,
+         1.0::DOUBLE AS w, label, pair FROM embeddings, unnest(range(0, len(embedding) // 2)) AS u(pair))"""
 
 
 def label_centers(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -172,11 +175,14 @@ def sql_minimax(steps: int = 5) -> str:
     return ",\n".join(parts)
 
 
-def sql_forest(source: str, out: str, *, rounds: int = 8, jumps: int = 6) -> str:
+def sql_forest(
+    source: str, out: str, *, rounds: int = 8, jumps: int = 6, stepwise: bool = False
+) -> str:
     """CTEs that end in ``out(g, src, dst, w)``: the forest of each group of ``source``.
 
     ``source(g, src, dst, w)``; end points are keyed by group.  Contraction rounds
     are unrolled; ``rounds`` and ``jumps`` must be enough for the data at hand.
+    ``stepwise`` renames one end of the edges after the other, for many groups.
     """
     p = out
     parts = [
@@ -202,6 +208,13 @@ def sql_forest(source: str, out: str, *, rounds: int = 8, jumps: int = 6) -> str
                   JOIN {p}_p{i}_{j - 1} y ON x.p = y.k)"""
             )
         last = f"{p}_p{i}_{jumps}"
+        if stepwise:
+            parts.append(
+                f"""{p}_u{i} AS MATERIALIZED (SELECT x.p AS a, w.b, r FROM {before} w JOIN {last} x ON w.a = x.k),
+                {p}_w{i} AS MATERIALIZED (SELECT u.a, y.p AS b, r FROM {p}_u{i} u JOIN {last} y ON u.b = y.k
+                  WHERE u.a <> y.p)"""
+            )
+            continue
         parts.append(
             f"""{p}_w{i} AS MATERIALIZED (SELECT x.p AS a, y.p AS b, r FROM {before} w
               JOIN {last} x ON w.a = x.k JOIN {last} y ON w.b = y.k WHERE x.p <> y.p)"""

@@ -360,7 +360,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {EMBEDDING_POINTS} " + _shown(_affine("SELECT * FROM pts")),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _round_xy(pointgen.affine_points(embedding_points(spark, sf))).drop("w")
+    return _round_xy(pointgen.affine_points(embedding_points(spark, sf))).drop("w", "pair")
 
 
 @query(

@@ -74,10 +74,10 @@ def _annulus(size: str) -> str:
 
 @query(
     "unit_weight",
-    "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 1.0::DOUBLE AS w FROM embeddings",
+    f"WITH {EMBEDDING_POINTS} SELECT id, x, y, w FROM pts",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return coreset.unit_weight(embedding_points(spark, sf).drop("w", "label"))
+    return coreset.unit_weight(embedding_points(spark, sf).select("id", "x", "y"))
 
 
 @query("label_count", "SELECT count(DISTINCT label) AS k FROM embeddings")
@@ -398,17 +398,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LABELS = f"WITH {EMBEDDING_POINTS}, {LABEL_CENTERS}"
-_OTHER = """others AS (SELECT label AS c, round(avg(embedding[3]::DOUBLE), 6) AS ox,
-  round(avg(embedding[4]::DOUBLE), 6) AS oy FROM embeddings GROUP BY 1)"""
+# Centers of the even and of the odd coordinate pairs.
+_BOTH = f"""WITH {EMBEDDING_POINTS}, centers AS (
+  SELECT label AS c, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM pts WHERE pair % 2 = 0 GROUP BY 1),
+others AS (
+  SELECT label AS c, round(avg(x), 6) AS ox, round(avg(y), 6) AS oy FROM pts WHERE pair % 2 = 1 GROUP BY 1)"""
 
 
-def _other_centers(spark: SparkSession, sf: str) -> DataFrame:
-    moved = table(spark, sf, "embeddings").select(
-        "label",
-        F.get("embedding", F.lit(2)).cast("double").alias("x"),
-        F.get("embedding", F.lit(3)).cast("double").alias("y"),
-    )
-    return label_centers(moved)
+def _both_centers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    points = embedding_points(spark, sf)
+    return label_centers(points.filter("pair % 2 = 0")), label_centers(points.filter("pair % 2 = 1"))
 
 
 @query(
@@ -423,23 +422,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "centroid_pairwise_avg",
-    f"""{_LABELS}, {_OTHER} SELECT round(sum(sqrt((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy)))
+    f"""{_BOTH} SELECT round(sum(sqrt((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy)))
     / (SELECT count(*) FROM centers), 6) AS avg_quality FROM centers, others""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    left = label_centers(embedding_points(spark, sf))
-    quality = kmeans.centroid_pairwise_avg(left, _other_centers(spark, sf))
+    quality = kmeans.centroid_pairwise_avg(*_both_centers(spark, sf))
     return quality.select(F.round("avg_quality", 6).alias("avg_quality"))
 
 
 @query(
     "centroid_norm",
-    f"""{_LABELS}, {_OTHER} SELECT round(sqrt(sum((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy))), 6)
+    f"""{_BOTH} SELECT round(sqrt(sum((cx - ox) * (cx - ox) + (cy - oy) * (cy - oy))), 6)
     AS norm_quality FROM centers JOIN others ON centers.c = others.c""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    left = label_centers(embedding_points(spark, sf))
-    quality = kmeans.centroid_norm(left, _other_centers(spark, sf))
+    quality = kmeans.centroid_norm(*_both_centers(spark, sf))
     return quality.select(F.round("norm_quality", 6).alias("norm_quality"))
 
 

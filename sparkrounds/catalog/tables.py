@@ -43,7 +43,7 @@ def _order_log(spark: SparkSession, sf: str) -> DataFrame:
         F.when(price > 100000, 3).otherwise(2).alias("NrOfCommRounds"),
         price.alias("TotalTime"),
         price.alias("RoundTimes1"),
-        F.round(price / 2, 2).alias("RoundTimes2"),
+        (price * 2).alias("RoundTimes2"),
         F.when(price > 100000, price).alias("RoundTimes3"),
     ).select(*GRAPH_RUNLOG.names)
 
@@ -52,24 +52,20 @@ _ORDER_LOG = """SELECT o_orderpriority AS WeightingMethod, o_custkey::INTEGER AS
   o_orderkey::INTEGER AS Vertices, round(o_custkey / 10.0::DOUBLE, 1) AS Sparsity, 1 AS WeightMin,
   100 AS WeightMax, 0 AS NrOfCliques, 0 AS SizeOfClique,
   CASE WHEN o_totalprice > 100000 THEN 3 ELSE 2 END AS NrOfCommRounds,
-  o_totalprice AS TotalTime, o_totalprice AS RoundTimes1, round(o_totalprice / 2, 2) AS RoundTimes2,
+  o_totalprice AS TotalTime, o_totalprice AS RoundTimes1, o_totalprice * 2 AS RoundTimes2,
   CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS RoundTimes3 FROM orders"""
-# Halved prices can end in half a cent, where engines round differently.
-_NO_HALVES = f"SELECT * EXCLUDE (RoundTimes2) FROM ({_ORDER_LOG})"
-
-
-@query("read_runlog", _NO_HALVES)
+@query("read_runlog", _ORDER_LOG)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "runlog-csv")
     io.export_runlog_csv(_order_log(spark, sf), path)
-    return io.read_runlog(spark, path).drop("RoundTimes2")
+    return io.read_runlog(spark, path)
 
 
-@query("read_runlog_semicolon", _NO_HALVES)
+@query("read_runlog_semicolon", _ORDER_LOG)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "runlog-csv")
     io.export_runlog_csv(_order_log(spark, sf), path, sep=";")
-    return io.read_runlog(spark, path, sep=";").drop("RoundTimes2")
+    return io.read_runlog(spark, path, sep=";")
 
 
 def _event_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,35 +84,32 @@ def _event_log(spark: SparkSession, sf: str) -> DataFrame:
     ).select(*CORESET_RUNLOG.names)
 
 
-@query(
-    "read_coreset_runlog",
-    """SELECT CASE WHEN event_type = 'click' THEN 'Grid' ELSE 'Ball' END AS SamplingMethod,
-    event_type AS DatasetType, event_id::INTEGER AS NrOfPoints, user_id::INTEGER AS Seed,
-    value AS TotalTime, value AS RoundTime1, hour(ts)::DOUBLE AS RoundTime2 FROM events""",
-)
+_EVENT_LOG = """SELECT CASE WHEN event_type = 'click' THEN 'Grid' ELSE 'Ball' END AS SamplingMethod,
+    event_type AS DatasetType, event_id::INTEGER AS NrOfPoints, user_id::INTEGER AS Seed, value AS SampleSize,
+    value AS TotalTime, value AS RoundTime1, hour(ts)::DOUBLE AS RoundTime2, hour(ts)::INTEGER AS CoresetSize,
+    value AS AvgQuality, value AS NormQuality FROM events"""
+
+
+def _unlisted(log: DataFrame) -> DataFrame:
+    """The log with its list of two round times as two columns."""
+    times = [F.get("RoundTimes", F.lit(i)).alias(f"RoundTime{i + 1}") for i in (0, 1)]
+    return log.select(*[c for c in log.columns if c != "RoundTimes"], *times)
+
+
+@query("read_coreset_runlog", _EVENT_LOG)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "runlog-csv")
     io.export_runlog_csv(_event_log(spark, sf), path)
-    log = io.read_runlog(spark, path, schema=CORESET_RUNLOG)
-    return log.select(
-        "SamplingMethod", "DatasetType", "NrOfPoints", "Seed", "TotalTime",
-        F.get("RoundTimes", F.lit(0)).alias("RoundTime1"),
-        F.get("RoundTimes", F.lit(1)).alias("RoundTime2"),
-    )
+    return _unlisted(io.read_runlog(spark, path, schema=CORESET_RUNLOG))
 
 
-@query(
-    "write_runlog",
-    """SELECT event_type AS DatasetType, event_id::INTEGER AS NrOfPoints, value AS TotalTime
-    FROM events""",
-)
+@query("write_runlog", _EVENT_LOG)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "runlog")
     log = _event_log(spark, sf)
     io.write_runlog(log.filter("SamplingMethod = 'Grid'"), path)
     io.write_runlog(log.filter("SamplingMethod <> 'Grid'"), path)
-    stored = spark.read.schema(CORESET_RUNLOG).parquet(path)
-    return stored.select("DatasetType", "NrOfPoints", "TotalTime")
+    return _unlisted(spark.read.schema(CORESET_RUNLOG).parquet(path))
 
 
 @query("read_points_text", "SELECT hour(ts)::DOUBLE AS x, value AS y FROM events")
@@ -392,12 +385,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "rounds_long",
     f"""SELECT Vertices, round, secs FROM (
       SELECT Vertices, 1 AS round, RoundTimes1 AS secs FROM ({_ORDER_LOG})
-      UNION ALL SELECT Vertices, 2, RoundTimes3 FROM ({_ORDER_LOG})) WHERE secs IS NOT NULL""",
+      UNION ALL SELECT Vertices, 2, RoundTimes2 FROM ({_ORDER_LOG})
+      UNION ALL SELECT Vertices, 3, RoundTimes3 FROM ({_ORDER_LOG})) WHERE secs IS NOT NULL""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    # With the second round missing, the list holds rounds one and three.
-    log = _order_log(spark, sf).withColumn("RoundTimes2", F.lit(None).cast("double"))
-    return runlog.rounds_long(runlog.rounds_list(log), ["Vertices"])
+    return runlog.rounds_long(runlog.rounds_list(_order_log(spark, sf)), ["Vertices"])
 
 
 @query(
