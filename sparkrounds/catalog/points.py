@@ -21,7 +21,7 @@ from sparkrounds.catalog.bindings import (
 )
 from sparkrounds.catalog.registry import query
 from sparkrounds.functions.sums import exact_sum_sql
-from sparkrounds.operators import coreset, kmeans, seeding
+from sparkrounds.operators import coreset, kmeans, nearest, seeding
 from sparkrounds.plans.lineage import materialize
 
 # Shared CTEs: distances, cost, ring parameters and ring assignment in plain SQL.
@@ -386,6 +386,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("id", "c", F.round(F.sqrt("d2"), 6).alias("d"))
 
 
+@query(
+    "nearest_of_many",
+    # Every tenth event is a center; many share a place.
+    f"""WITH {EVENT_POINTS}, far AS (SELECT p.id, q.id AS c, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2
+      FROM pts p, pts q WHERE q.id % 10 = 3)
+    SELECT id, arg_min(c, (d2, c)) AS c, round(sqrt(min(d2)), 6) AS d FROM far GROUP BY id""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    points = event_points(spark, sf)
+    centers = points.filter("id % 10 = 3").select(F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    near = nearest.nearest_of_many(points, centers)
+    return near.select("id", "c", F.round(F.sqrt("d2"), 6).alias("d"))
+
+
 @query(
     "lloyd_step",
     f"""{_GIVEN}, {_DIST} SELECT c, round(sum(x * w) / sum(w), 6) AS cx,

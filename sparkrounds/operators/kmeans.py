@@ -17,6 +17,7 @@ from sparkrounds.operators.coreset import (
     _with_set,
     squared_distance,
 )
+from sparkrounds.operators.nearest import nearest_of_many
 from sparkrounds.operators.seeding import kmeanspp_seed
 from sparkrounds.plans.lineage import materialize
 from sparkrounds.schemas import CENTERS
@@ -107,7 +108,13 @@ def _means(near: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """Adds the nearest center ``c`` (smaller number on ties) and ``d2`` to each point."""
+    """Adds the nearest center ``c`` (smaller number on ties) and ``d2`` to each point.
+
+    More centers than may be broadcast are met by way of a grid.
+    """
+    shared = not isinstance(centers, CenterSets) and "set" not in centers.columns
+    if shared and centers.count() > MAX_CENTERS:
+        return nearest_of_many(points, centers)
     return _nearest(_with_set(points), CenterSets.of(centers))
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkrounds.operators import coreset, kmeans
-from sparkrounds.operators.seeding import kmeanspp_seed
+from sparkrounds.operators.nearest import nearest_of_many
+from sparkrounds.operators.seeding import kmeanspp_seed, parallel_seed
 from sparkrounds.schemas import CENTERS, POINTS
 from sparkrounds.sources.pointgen import points_blobs
 
@@ -123,7 +124,7 @@ def test_coreset_clusters_like_the_data(spark, blobs):
 
 
 def test_kmeans_ignores_partitioning(spark, blobs):
-    fits = {tuple(map(tuple, kmeans.kmeans_fit(blobs.repartition(p), 3, seed=2).collect())) for p in (1, 7)}
+    fits = {tuple(map(tuple, kmeans.kmeans_fit(blobs.repartition(p), 3, seed=2).collect())) for p in (1, 7, 200)}
     assert len(fits) == 1
 
 
@@ -168,3 +169,47 @@ def test_many_seeds_in_linear_work(spark, blobs):
         assert kmeanspp_seed(dealt, k, seed=3).count() == 4 * k
         took.append(time.monotonic() - started)
     assert took[1] < 3.5 * took[0]
+
+
+def test_oversampled_seeds(spark, blobs):
+    dealt = coreset.partition_points(blobs, 3)
+    seeds = [tuple(r) for r in parallel_seed(dealt, 40, seed=3, passes=2).collect()]
+    assert len(seeds) == len({(r[0], r[4]) for r in seeds}) == 3 * 40
+    places = {(r["set"], r["id"]): (r["x"], r["y"]) for r in dealt.collect()}
+    assert all(places[r[0], r[4]] == (r[2], r[3]) for r in seeds)
+    again = {tuple(r) for r in parallel_seed(dealt.repartition(5), 40, seed=3, passes=2).collect()}
+    assert again == set(seeds)
+    # They spread as the data does: no worse than twice k-means++ one by one.
+    cost = {}
+    for name, found in (("at once", parallel_seed(blobs, 8, seed=1)), ("one by one", kmeanspp_seed(blobs, 8, seed=1))):
+        cost[name] = kmeans.kmeans_sse(blobs, found.select("c", "cx", "cy")).first()["sse"]
+    assert cost["at once"] <= 2 * cost["one by one"]
+    # Fewer places than seeds, and none at all.
+    few = spark.createDataFrame([(i, float(i % 2), 0.0) for i in range(9)], "id long, x double, y double")
+    assert parallel_seed(few, 5).count() == 2
+    assert parallel_seed(few.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("spread", ["even", "clumped"])
+def test_nearest_of_many_is_exact(spark, monkeypatch, spread):
+    """Clumps, ties, equal places, points far outside the centers' box and without a place."""
+    import random
+
+    rng = random.Random(8)
+    scale = (lambda: rng.random()) if spread == "even" else (lambda: rng.random() ** 9 * 1e4)
+    spots = [(c, scale(), scale()) for c in range(300)] + [(300, 0.5, 0.5), (301, 0.5, 0.5)]
+    places = [(i, scale(), scale(), 1.0) for i in range(400)] + [(400, 0.5, 0.5, 1.0), (401, -70.0, 3e3, 1.0), (402, 1e6, 1e6, 1.0)]
+    points = spark.createDataFrame([*places, (403, None, 1.0, 1.0)], POINTS)
+    table = spark.createDataFrame(spots, CENTERS)
+
+    def best(x, y):
+        return min(((x - a) * (x - a) + (y - b) * (y - b), c) for c, a, b in spots)
+
+    want = {i: best(x, y) for i, x, y, _ in places} | {403: (None, None)}
+    assert {r["id"]: (r["d2"], r["c"]) for r in nearest_of_many(points, table).collect()} == want
+    monkeypatch.setattr(kmeans, "MAX_CENTERS", 100)
+    assert {r["id"]: (r["d2"], r["c"]) for r in kmeans.nearest_center(points, table).collect()} == want
+    assert kmeans.lloyd_step(points.filter("x IS NOT NULL"), table).agg(F.sum("w")).first()[0] == len(places)
+    one = spark.createDataFrame([(7, 2.0, 2.0)], CENTERS)
+    assert {r["c"] for r in nearest_of_many(points.filter("id < 400"), one).collect()} == {7}
+    assert {r["c"] for r in nearest_of_many(points, one.limit(0)).collect()} == {None}
