@@ -227,15 +227,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "case_label_default",
     """SELECT event_id, CASE WHEN event_type = 'click' THEN 'Grid'
-    WHEN event_type = 'view' AND value > 50 THEN 'Annulus 1%' ELSE 'Annulus 0.01%' END AS method
+    WHEN event_type = 'view' AND value > 50 THEN 'one in a hundred' ELSE 'one in ten thousand' END AS method
     FROM events""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     cases = [
         (F.col("event_type") == "click", "Grid"),
-        ((F.col("event_type") == "view") & (F.col("value") > 50), "Annulus 1%"),
+        ((F.col("event_type") == "view") & (F.col("value") > 50), "one in a hundred"),
     ]
-    labelled = runlog.case_label(table(spark, sf, "events"), "method", cases, "Annulus 0.01%")
+    labelled = runlog.case_label(table(spark, sf, "events"), "method", cases, "one in ten thousand")
     return labelled.select("event_id", "method")
 
 

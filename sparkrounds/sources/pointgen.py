@@ -11,7 +11,7 @@ from sparkrounds.functions.hashing import normal_pair
 from sparkrounds.functions.ranking import beyond, kth_row
 from sparkrounds.plans.lineage import materialize
 
-# Centers, spreads and the linear map of the blob data sets.
+# Centers, spreads and the linear map of the blob data sets, and the sets' names.
 BLOB_CENTERS = ((-6.0, -4.0), (0.0, 5.0), (7.0, -2.0))
 BLOB_SPREAD = (1.0, 1.0, 1.0)
 VARIED_SPREAD = (1.0, 2.5, 0.5)
