@@ -239,6 +239,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.select("event_id", "method")
 
 
+_REPORT_MEANS = ", ".join(
+    f"""round(avg(CASE WHEN method = '{m}' THEN {{0}} END), 6) AS "{m}\""""
+    for m in ("small", "large", "grid")
+)
+
+
+@query(
+    "runlog_report",
+    f"""WITH log AS (SELECT *, CASE WHEN SamplingMethod = 'Grid' THEN 'grid' WHEN SampleSize > 50 THEN 'large'
+      ELSE 'small' END AS method FROM ({_EVENT_LOG}))
+    SELECT DatasetType, 'TotalTime' AS measure, {_REPORT_MEANS.format('TotalTime')} FROM log GROUP BY 1
+    UNION ALL SELECT DatasetType, 'CoresetSize', {_REPORT_MEANS.format('CoresetSize')} FROM log GROUP BY 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """From the file to the report: read, label, aggregate, turn."""
+    path = scratch_path(spark, "runlog-csv")
+    io.export_runlog_csv(_event_log(spark, sf), path)
+    log = io.read_runlog(spark, path, schema=CORESET_RUNLOG)
+    cases = [(F.col("SamplingMethod") == "Grid", "grid"), (F.col("SampleSize") > 50, "large")]
+    report = runlog.method_report(log, cases, "small", ["DatasetType"], ["TotalTime", "CoresetSize"])
+    return _rounded(report, "grid", "large", "small", digits=6)
+
+
 @query(
     "derived_ratio",
     "SELECT p_partkey, round(p_size::DOUBLE / p_retailprice * 100, 4) AS ratio FROM part",

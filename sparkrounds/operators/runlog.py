@@ -45,6 +45,26 @@ def pivot_mean(
     return df.groupBy(*keys).pivot(column, list(categories)).agg(F.avg(value))
 
 
+def method_report(
+    log: DataFrame,
+    cases: Sequence[tuple[Column, str]],
+    default: str,
+    keys: Sequence[str],
+    values: Sequence[str],
+) -> DataFrame:
+    """The report of a run log: one row per key and value column, one mean per method.
+
+    ``cases`` and ``default`` label every run with its method (see
+    :func:`case_label`).  Means are taken before anything is turned, so only a
+    row per key and method is; a method without runs of a key has a null mean.
+    """
+    methods = [label for _, label in cases] + [default]
+    labelled = case_label(log, "method", cases, default)
+    means = group_means(labelled, [*keys, "method"], values)
+    long = means.unpivot([*keys, "method"], list(values), "measure", "mean")
+    return long.groupBy(*keys, "measure").pivot("method", list(dict.fromkeys(methods))).agg(F.first("mean"))
+
+
 def transpose_means(
     df: DataFrame, key: str, categories: Sequence[str], values: Sequence[str], out: str = "measure"
 ) -> DataFrame:
