@@ -1,9 +1,10 @@
 """WARC archives compressed record by record with a shared Zstandard dictionary.
 
-The dictionary is trained on a bounded sample of the records to be archived and
-stands in a skippable frame at the head of every archive, so each archive can be
-read on its own; every record is a frame of its own.  Payloads seen before are
-archived as revisits of the record with the smallest identifier.
+The dictionary is trained on the beginnings of a bounded sample of the distinct
+records to be archived, long or short, and stands in a skippable frame at the head
+of every archive, so each archive can be read on its own; every record is a frame
+of its own, with a checksum.  Payloads seen before are archived as revisits of the
+record with the smallest identifier.  Reading measures and hashes every payload.
 
 Archives are written by the tasks to a folder that all executors share (local,
 HDFS or object store, through ``pyarrow.fs``).  An archive counts only when its
@@ -13,7 +14,9 @@ name is in the manifest, which Spark commits; files of lost attempts are ignored
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrounds.plans.lineage import materialize, scratch_path
+from sparkrounds.functions.sizing import lookup
+from sparkrounds.plans.lineage import materialize, materialize_counted, scratch_path
 
 # The WARC and Zstandard formats.
 DICTIONARY_FRAME = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 SAMPLE_RECORDS = 1_000
-SAMPLE_BYTES = 16 << 10
+EXCERPT_BYTES = 8 << 10
 DICTIONARY_BYTES = 64 << 10
 ARCHIVE_BYTES = 64 << 20
+# Tables of at most so many repeated payloads are broadcast.
+BROADCAST_PAYLOADS = 200_000
 DATE = "2026-01-01T00:00:00Z"
 
 HEADER = (
@@ -89,15 +95,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary for records like ``samples``; empty when they are too few to train on."""
+    """A dictionary for records like ``samples``.
+
+    Samples too few or too much alike to train on are themselves the dictionary, as
+    raw content; without samples it is empty.
+    """
     import zstandard as z
 
-    if sum(map(len, samples)) < 4096 or len(samples) < 8:
-        return b""
-    try:
-        return z.train_dictionary(min(size, sum(map(len, samples)) // 4), samples).as_bytes()
-    except z.ZstdError:
-        return b""
+    total = sum(map(len, samples))
+    if total >= 4096 and len(samples) >= 8:
+        try:
+            return z.train_dictionary(min(size, total // 4), samples).as_bytes()
+        except z.ZstdError:
+            pass
+    return b"".join(samples)[-size:]
 
 
 def archive_head(dictionary: bytes) -> bytes:
@@ -138,7 +149,7 @@ def _writer(folder: str, dictionary: bytes, most: int) -> Callable:
 
         store, root = fs.FileSystem.from_uri(folder)
         more = {"dict_data": z.ZstdCompressionDict(dictionary)} if dictionary else {}
-        context = z.ZstdCompressor(level=3, write_content_size=True, **more)
+        context = z.ZstdCompressor(level=3, write_content_size=True, write_checksum=True, **more)
         out, name, size, n = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
         for batch in batches:
@@ -200,23 +211,22 @@ def write_archives(
     rows = materialize(rows, "warc-rows", compression="zstd")
     nulls_last = "coalesce(page_id, 9223372036854775807)"
     firsts = rows.groupBy("sha1").agg(
-        F.expr(f"min(struct({nulls_last} AS rank, row, page_id))").alias("f")
-    ).select(F.col("sha1").alias("digest"), F.col("f.row").alias("first_row"), F.col("f.page_id").alias("first"))
-    again = f"length(payload) >= {int(min_payload)} AND row <> first_row"
-    marked = rows.join(firsts, F.col("sha1") == F.col("digest")).select(
-        "page_id", "url", "payload", "sha1",
-        F.expr(f"if({again}, first, NULL)").alias("first"),
-        F.expr(again).alias("revisit"),
+        F.expr(f"min(struct({nulls_last} AS rank, row, page_id))").alias("f"), F.count(F.lit(1)).alias("n")
     )
-    # A bounded sample, whatever the table: short records of the lowest hash.
-    sample = (
-        rows.filter(f"length(payload) BETWEEN 1 AND {SAMPLE_BYTES}")
-        .orderBy(F.xxhash64(F.lit(5), "sha1"), "row")
-        .select("page_id", "url", "payload", "sha1")
-        .limit(SAMPLE_RECORDS)
-        .collect()
+    firsts, distinct = materialize_counted(firsts, "warc-firsts")
+    # Only repeated payloads need their first; a hot one is looked up by broadcast.
+    again = firsts.filter("n > 1")
+    marked = lookup(
+        rows, "sha1", again.select(F.col("sha1").alias("k"), F.col("f").alias("v")), "f",
+        table_rows=again.count(), spread=["row"], limit=BROADCAST_PAYLOADS,
+    )
+    revisit = f"length(payload) >= {int(min_payload)} AND coalesce(row <> f.row, false)"
+    marked = marked.select(
+        "page_id", "url", "payload", "sha1",
+        F.expr(f"if({revisit}, f.page_id, NULL)").alias("first"),
+        F.expr(revisit).alias("revisit"),
     )
-    dictionary = train([record(r.page_id, r.url, bytes(r.payload), r.sha1, None, False) for r in sample])
+    dictionary = train(_excerpts(rows, firsts, distinct))
     _make_folder(pages.sparkSession, folder)
     return materialize(
         marked.mapInArrow(
@@ -226,11 +236,43 @@ def write_archives(
     )
 
 
+def _excerpts(rows: DataFrame, firsts: DataFrame, distinct: int) -> list[bytes]:
+    """The beginnings of records with different payloads, those of the lowest hash.
+
+    A cut of the hashes that about twice the sample passes comes first, so no more
+    than that is ordered or sent, whatever the table.
+    """
+    place = F.xxhash64(F.lit(5), "sha1")
+    share = min(1.0, 2 * SAMPLE_RECORDS / max(1, distinct))
+    cut = int(-(1 << 63) + share * ((1 << 64) - 1))
+    chosen = firsts.select(F.col("f.row").alias("row"), place.alias("place")).filter(F.col("place") <= F.lit(min(cut, (1 << 63) - 1)))
+    chosen = F.broadcast(chosen.orderBy("place", "row").limit(SAMPLE_RECORDS))
+    some = rows.join(chosen, "row").select(
+        "row", "page_id", "url", "sha1", F.expr(f"substring(payload, 1, {EXCERPT_BYTES})").alias("payload")
+    )
+    some = sorted(some.collect(), key=lambda r: (r.sha1, r.row))
+    return [record(r.page_id, r.url, bytes(r.payload), r.sha1, None, False) for r in some]
+
+
 def _make_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
 
 
+def measured(fields: dict[str, str], http: bytes, payload: bytes) -> tuple[int, str]:
+    """Length and digest of a record's payload, taken from the payload itself where it is there.
+
+    A response that does not hold what its headers promise is refused.
+    """
+    size = int(http.rpartition(b"Content-Length: ")[2])
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response":
+        found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if found != (size, digest):
+            raise ValueError(f"payload of {fields['WARC-Record-ID']} is {found}, not {(size, digest)}")
+    return size, digest
+
+
 def _reader(folder: str, with_payload: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -245,12 +287,12 @@ def _reader(folder: str, with_payload: bool) -> Callable:
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for data in read_archive(stream):
                         fields, http, payload = parse(data)
-                        size = int(http.rpartition(b"Content-Length: ")[2])
+                        size, digest = measured(fields, http, payload)
                         number = lambda text: int(text) if text else None
                         row = (
                             number(fields["X-Page-Id"]),
                             size,
-                            fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+                            digest,
                             fields["WARC-Type"],
                             number(fields.get("X-Refers-To-Page-Id", "")),
                         )
@@ -266,9 +308,12 @@ def _reader(folder: str, with_payload: bool) -> Callable:
 
 
 def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = False) -> DataFrame:
-    """The records of the manifest's archives, as their headers state them.
+    """The records of the manifest's archives.
 
-    A revisit has the size and digest of the payload that it does not repeat.
+    Size and digest of a response are measured on its payload; one that differs from
+    its headers, a damaged frame or an archive cut short raises ValueError or
+    zstandard's error, so the job fails.  A revisit has the size and digest of the
+    payload that it does not repeat.
     """
     schema = HEADER + (", url string, payload binary" if with_payload else "")
     # One archive is a task's unit of work: deal them out evenly.
@@ -278,6 +323,7 @@ def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = Fals
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder in the shared scratch space, as a URI."""
-    path = scratch_path(spark, "warc")
-    return path if ":" in path.split("/")[0] else f"file://{path}"
+    """A new folder in the shared scratch space, as a URI of the file system that Spark takes it to be in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "warc"))
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub("^file:/+", "file:///", store.makeQualified(path).toString())

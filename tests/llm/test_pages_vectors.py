@@ -73,6 +73,51 @@ def test_archive_has_its_dictionary(spark, tmp_path):
     assert warc.read_archives(manifest, folder).count() == 250
 
 
+@pytest.mark.parametrize("n, size", [(60, 25_000), (2, 40), (1, 0)])
+def test_dictionary_of_long_few_and_empty_pages(spark, tmp_path, n, size):
+    rows = [(i, "http://x", f"{i} <p>long</p> {'word ' * size}"[:size]) for i in range(n)]
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc.write_archives(_pages(spark, rows), folder)
+    for r in manifest.collect():
+        data = open(f"{tmp_path}/archives/{r.archive}", "rb").read()
+        assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME and int.from_bytes(data[4:8], "little") > 100
+    out = warc.read_archives(manifest, folder, with_payload=True).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in out} == {i: html for i, _, html in rows}
+
+
+def test_hot_payloads_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
+    rows = [(i, None, "hot" if i % 3 else f"page {i // 6}") for i in range(300)]
+    folder = warc.archive_folder(spark)
+    out = warc.read_archives(warc.write_archives(_pages(spark, rows), folder), folder).collect()
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    want = {i: first[html] if first[html] != i else None for i, _, html in rows}
+    assert {r.page_id: r.refers_to for r in out} == want and len(out) == 300
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    import zstandard
+
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc.write_archives(_pages(spark).coalesce(1), folder)
+    path = f"{tmp_path}/archives/{manifest.first().archive}"
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-3])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_archives(manifest, folder).collect()
+    # A payload of the same length that is not what the digest says, in a frame that is whole.
+    good = warc.record(5, "http://x", b"one", hashlib.sha1(b"one").hexdigest(), None, False)
+    for record, error in ((good, None), (good.replace(b"one", b"two"), "payload of")):
+        open(path, "wb").write(zstandard.ZstdCompressor().compress(record))
+        if error is None:
+            assert [tuple(r)[:2] for r in warc.read_archives(manifest, folder).collect()] == [(5, 3)]
+        else:
+            with pytest.raises(Exception, match=error):
+                warc.read_archives(manifest, folder).collect()
+
+
 def test_no_pages(spark):
     folder = warc.archive_folder(spark)
     manifest = warc.write_archives(_pages(spark).limit(0), folder)
