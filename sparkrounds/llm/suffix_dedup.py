@@ -154,6 +154,11 @@ def _salted(fp: np.ndarray, kind: int) -> np.ndarray:
         return mix(fp + fp.dtype.type((kind + 1) * int(STEP) % (1 << 64)))
 
 
+def _gram_names(batch: Batch, place: np.ndarray) -> np.ndarray:
+    """Anchors are grams of low hashes: hashed anew, they spread over all cells."""
+    return _salted(batch.hashes(place, place + GRAM), 3)
+
+
 def _whole(batch: Batch, place, first, last, length: int) -> np.ndarray:
     """Fingerprints of all that anchors stand for, and how."""
     with np.errstate(over="ignore"):
@@ -245,7 +250,7 @@ def _anchored(batch: pa.RecordBatch, grams: np.ndarray, length: int) -> Iterator
     for parts, owner, offset in _segments(batch.column("text").to_pylist(), length):
         b = Batch(parts)
         text, place, first, last = b.anchors(length)
-        keep = _has(grams, b.hashes(place, place + GRAM))
+        keep = _has(grams, _gram_names(b, place))
         text, place, first, last = text[keep], place[keep], first[keep], last[keep]
         whole = _whole(b, place, first, last, length)
         yield Anchored(b, owner[text], offset[text] - b.bounds[text], place, first, last, whole)
@@ -255,8 +260,7 @@ def _gram_fps(length: int) -> Callable:
     def fps(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for parts, _, _ in _segments(batch.column("text").to_pylist(), length):
             b = Batch(parts)
-            place = b.anchors(length)[1]
-            yield 0, b.hashes(place, place + GRAM)
+            yield 0, _gram_names(b, b.anchors(length)[1])
 
     return fps
 
