@@ -4,9 +4,9 @@ Suffixes are sampled where they decide: every string of ``length`` bytes has an
 anchor, its gram of the lowest hash, at the same distance in every copy.  The
 suffix at an anchor is indexed by fingerprints of the strings around it: of all
 strings that the anchor stands for together, and of blocks of these.  A batch of
-documents gives a sorted array of fingerprints with counts.  Levels of the family
-are such arrays; two of equal rank merge into one of the next.  Batches are
-merge-joined with the levels, and a fingerprint counted twice is a long match.
+documents gives a sorted table of fingerprints with counts.  Levels of the family
+are such tables; two of equal rank merge into one of the next.  A fingerprint that
+all levels together count twice is a long match.
 
 Where a match ends within what an anchor stands for, the block with the end is
 resolved string by string.  A table of cells with a fixed size first drops
