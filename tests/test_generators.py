@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrounds.functions.sizing import heavy_keys
 from sparkrounds.operators.filtering import mst_filtering
-from sparkrounds.operators.graph import mst_weight, vertices_of
+from sparkrounds.operators.graph import edge_length, mst_weight, vertices_of
 from sparkrounds.plans.rounds import merge_rounds, worst_case_rounds
 from sparkrounds.sources import graphgen, pointgen
 
@@ -108,3 +109,40 @@ def test_shells_are_nested(spark):
     shells = made.groupBy("label").agg(F.min(d2), F.max(d2), F.count("*")).orderBy("label").collect()
     assert [s[3] for s in shells] == [334, 334, 333]
     assert shells[0][2] <= shells[1][1] and shells[1][2] <= shells[2][1]
+
+
+def _counted(spark, edges):
+    """The edges as a table that counts how many of its rows are made, and that count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(edges, "src long, dst long")
+    return df.mapInArrow(run, "src long, dst long"), seen
+
+
+def test_lookups_by_vertex_make_the_edges_once(spark):
+    """Not anew for every count, set of hot keys and join."""
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 39)]
+    df, seen = _counted(spark, edges)
+    weights = {(r["src"], r["dst"]): r["w"] for r in graphgen.weight_incident(df).collect()}
+    assert seen.value == len(edges) and weights[(0, 7)] == 1.0 and len(weights) == len(edges)
+    df, seen = _counted(spark, edges)
+    coords = spark.range(40).selectExpr("id", "double(id) AS x", "0D AS y")
+    lengths = {(r["src"], r["dst"]): r["w"] for r in edge_length(df, coords).collect()}
+    assert seen.value == len(edges) and lengths == {(a, b): float(b - a) for a, b in edges}
+
+
+def test_hot_keys_are_found_by_a_sketch(spark):
+    """Every key above the share is found, whatever its type; no count of all keys is shuffled."""
+    rows = spark.range(60_000).selectExpr("if(id % 5 = 0, 7, if(id % 100 = 1, NULL, id)) AS key")
+    for kind in ("long", "string", "binary"):
+        keyed = rows.selectExpr(f"CAST(CAST(key AS string) AS {kind}) AS key")
+        hot = heavy_keys(keyed, "key", 60_000)
+        found = {r["hot_key"] if r["hot_key"] is None else str(int(r["hot_key"])) for r in hot.collect()}
+        assert found - {None} == {"7"}
+    plan = heavy_keys(rows, "key", 60_000)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" not in plan
