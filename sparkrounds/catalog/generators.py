@@ -19,6 +19,7 @@ from sparkrounds.catalog.bindings import (
 from sparkrounds.catalog.registry import fixture, query
 from sparkrounds.functions.ranking import global_rank
 from sparkrounds.operators.graph import vertices_of
+from sparkrounds.plans.lineage import materialize
 from sparkrounds.sources import graphgen, pointgen
 
 SPARSITY = 0.6
@@ -172,8 +173,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT src, dst, ((SELECT count(*) FROM ids) + 2 - rank)::DOUBLE AS w FROM weighted""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    edges = part_supplier_edges(spark, sf)
-    return graphgen.weight_incident(edges, reversed_from=vertices_of(edges).count())
+    pairs = materialize(part_supplier_edges(spark, sf).select("src", "dst"), "incident-edges")
+    return graphgen.weight_incident(pairs, reversed_from=vertices_of(pairs).count())
 
 
 CLIQUE = 5
