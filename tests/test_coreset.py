@@ -213,3 +213,24 @@ def test_nearest_of_many_is_exact(spark, monkeypatch, spread):
     one = spark.createDataFrame([(7, 2.0, 2.0)], CENTERS)
     assert {r["c"] for r in nearest_of_many(points.filter("id < 400"), one).collect()} == {7}
     assert {r["c"] for r in nearest_of_many(points, one.limit(0)).collect()} == {None}
+
+
+def test_centers_at_one_place_neither_fill_a_cell_nor_refine_the_grid(spark, monkeypatch):
+    """Thousands of centers at three places are three: one grid, and a point meets no more than the places."""
+    from sparkrounds.operators import nearest
+
+    lists = []
+    keep = nearest.materialize
+
+    def watched(df, tag, **options):
+        if tag == "nearest-best":
+            lists.append(df)
+        return keep(df, tag, **options)
+
+    monkeypatch.setattr(nearest, "materialize", watched)
+    spots = [(c, float(c % 3), 0.0) for c in range(3000)]
+    places = [(i, (i % 30) / 10, 0.0, 1.0) for i in range(600)]
+    found = nearest_of_many(spark.createDataFrame(places, POINTS), spark.createDataFrame(spots, CENTERS)).collect()
+    want = {i: min(((x - a) ** 2, a) for a in (0.0, 1.0, 2.0))[1] for i, x, _, _ in places}
+    assert {r["id"]: float(r["c"]) for r in found} == want
+    assert len(lists) <= 2
