@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrounds.operators import boruvka, graph
+from sparkrounds.functions import forests
+from sparkrounds.functions.hashing import uniform
+from sparkrounds.operators import boruvka, evaluate, filtering, graph
 from sparkrounds.operators.boruvka import contract, minimum_spanning_forest
 from sparkrounds.operators.components import connected_components, mst_cut, single_linkage, stars
 from sparkrounds.operators.filtering import (
@@ -230,3 +235,72 @@ def test_edges_without_coordinates_fail(spark):
     coords = spark.createDataFrame([(0, 0.0, 0.0), (1, 3.0, 4.0)], "id long, x double, y double")
     with pytest.raises(Exception, match="no coordinates"):
         graph.edge_length(edges, coords).collect()
+
+
+def _folded(edges, limit):
+    """The forest that a task emits for ``edges`` in batches of 50."""
+    columns = [pa.array([0] * len(edges), pa.int32()), *(pa.array(c) for c in zip(*edges))]
+    whole = pa.Table.from_arrays(columns, ["part", "src", "dst", "w"])
+    out = forests.streaming_forest(limit)(iter(whole.to_batches(50)))
+    return {r for b in out for r in zip(*(b.column(c).to_pylist() for c in ("src", "dst", "w")))}
+
+
+def test_folds_take_few_bytes_a_row():
+    """A fold needs under 80 bytes a row beside the rows."""
+    rng = np.random.default_rng(3)
+    m, n = 1_500_000, 60_000
+    src, dst = rng.integers(0, n, m), rng.integers(n, 2 * n, m)
+    rows_ = [(np.zeros(m, np.int32), src, dst, rng.random(m))]
+    tracemalloc.start()
+    kept = forests._forest_of(rows_)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept[0]) <= 2 * n - 1 and peak < 80 * m
+
+
+def test_folded_forest_is_kruskals():
+    for name in GRAPHS:
+        tree, _ = kruskal(GRAPHS[name])
+        assert _folded(GRAPHS[name], 1000) == tree
+
+
+@pytest.mark.parametrize("room", [150, 10_000])
+def test_remainders_are_finished_by_tasks_that_hold_a_forest(spark, room):
+    """However many edges are left, no contraction is needed where a forest of all vertices fits a task."""
+    edges = random_graph(70, 1500, 4, ties=True)
+    parted = partition_edges(table(spark, edges), 2, seed=3)
+    want = set()
+    for p in (0, 1):
+        mine = [(r["src"], r["dst"], r["w"]) for r in parted.filter(F.col("part") == p).collect()]
+        want |= {(p, *e) for e in kruskal(mine)[0]}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(filtering, "minimum_spanning_forest", None)
+        found = filtering.exact_forests(parted, 2, 1500, n_vertices=70, max_task_rows=room).collect()
+    assert {tuple(r) for r in found} == want
+
+
+def test_sweep_equals_its_configurations_one_by_one(spark):
+    """Also with repeated and unsorted sparsities; every weighted edge is stored once."""
+    edges = table(spark, random_graph(80, 900, 6))
+    sizes = (1.0, 0.2, 0.6, 0.2)
+    stored = []
+    keep = evaluate.materialize
+
+    def watched(df, tag, **options):
+        out = keep(df, tag, **options)
+        if tag == "sweep-edges":
+            stored.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(evaluate, "materialize", watched)
+        found = evaluate.graph_sweep(edges, sparsities=sizes).collect()
+    weighted = evaluate.weightings(edges).withColumn("u", uniform("101:keep", "src", "dst")).collect()
+    want = []
+    for method in evaluate.METHODS:
+        for s in sizes:
+            mine = [(r["src"], r["dst"], r["w"]) for r in weighted if r["method"] == method and r["u"] < s]
+            tree, _ = kruskal(mine)
+            want.append((method, s, len(mine), len(tree), sum(e[2] for e in tree)))
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert stored == [6 * 900]
