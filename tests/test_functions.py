@@ -88,3 +88,15 @@ def test_exact_sums_are_the_same_bits_for_any_order(spark):
             assert abs(total - math.fsum(mine)) <= 4e-16 * abs(total) + 1e-7 * (top is not None) and n in (1667, 1668)
     one = spark.sql(f"SELECT {exact_sum_sql('v')} AS t FROM VALUES (0.1D), (0.2D), (-0.3D) AS x(v)").first()
     assert one["t"] == math.fsum([0.1, 0.2, -0.3])
+
+
+def test_lookup_tables_of_many_rows_are_not_sent_to_the_driver(spark):
+    """By default only tables of at most 100,000 rows are broadcast, whatever their number."""
+    big = spark.range(10).withColumn("key", F.col("id"))
+    table = spark.range(200_000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    with pytest.MonkeyPatch.context() as patch:
+        seen = []
+        hint = F.broadcast
+        patch.setattr("sparkrounds.functions.sizing.F.broadcast", lambda df: seen.append(df.columns) or hint(df))
+        lookup(big, "key", table, "out", table_rows=200_000, big_rows=10, spread=["id"])
+    assert ["lk", "lv"] not in seen
