@@ -9,7 +9,9 @@ online by what earlier blocks of the same text show, and refined by a map of
 what final odds were worth.  Texts add up bits, so the score is a probability.
 
 The hashed counts cover all training texts and have a fixed number of cells;
-only these tables travel to the tasks.  Counts of words of any number stay in a
+only these tables travel to the tasks.  The weights and the map are fitted to
+all training texts too: while a task counts, it first tallies what the counts it
+has so far predict of each run of tokens, and only then adds the run to them.  Counts of words of any number stay in a
 table that is joined by shuffle.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrounds.llm.shingles import word_hashes
+from sparkrounds.llm.shingles import U64, word_hashes
 from sparkrounds.plans.lineage import materialize
 
 CODED_WORDS = 1 << 16
@@ -34,11 +36,16 @@ TABLE_BITS = 22
 CHUNKS = 64
 TABLES = 2
 LEVELS = 6
-TUNING_TEXTS = 400
-TUNING_TOKENS = 200_000
 BLOCK_TOKENS = 64
 BATCH_TOKENS = 40_000
-RATES = (0.0, 0.0003, 0.001, 0.002)
+# Tokens whose bits are looked at together: their arrays stay in the processor's cache.
+RUN_TOKENS = 6_000
+# Step of the online correction, a parameter that is not learned.
+RATE = 0.002
+GATES = LEVELS * LEVELS
+# Tallied log odds are whole numbers from -8 to 8.
+ODDS = 17
+TALLY = GATES * ODDS**3 * 2
 
 
 @dataclass(frozen=True)
@@ -52,6 +59,8 @@ class Code:
     nodes: np.ndarray
     bits: np.ndarray
     node_odds: np.ndarray
+    # Of each leaf's path: its nodes' hashes.
+    steps: np.ndarray
 
     @property
     def other(self) -> int:
@@ -70,7 +79,7 @@ class Model:
     cells: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
-    rate: float = 0.0
+    rate: float = RATE
 
 
 def huffman(words: np.ndarray, counts: np.ndarray, others: int, ends: int) -> Code:
@@ -101,7 +110,7 @@ def huffman(words: np.ndarray, counts: np.ndarray, others: int, ends: int) -> Co
     odds = np.log((total - zero + 0.5) / (zero + 0.5))
     return Code(
         words, counts, np.array(first), np.array(length), np.array(nodes, dtype=np.uint32),
-        np.array(bits, dtype=np.uint8), odds.astype(np.float32),
+        np.array(bits, dtype=np.uint8), odds.astype(np.float32), np.array(nodes, dtype=np.uint32) * np.uint32(0x27D4EB2F),
     )
 
 
@@ -130,21 +139,29 @@ def events(code: Code, symbols: np.ndarray, fresh: np.ndarray) -> Events:
         n = code.length[symbols]
         token = np.repeat(np.arange(len(symbols)), n)
         spot = np.arange(len(token)) + np.repeat(code.first[symbols] - (np.cumsum(n) - n), n)
-        node = code.nodes[spot]
-        step = node * np.uint32(0x27D4EB2F)
+        step = code.steps.take(spot)
         cells = []
         for i, context in enumerate((one, two)):
-            x = context[token] ^ step
-            x = (x ^ (x >> np.uint32(16))) * np.uint32(0x2C1B3C6D)
-            cells.append((x >> np.uint32(32 - TABLE_BITS)) + np.uint32(i << TABLE_BITS))
-    return Events(token, node, code.bits[spot], tuple(cells))
+            x = np.repeat(context, n)
+            x ^= step
+            x ^= x >> np.uint32(16)
+            x *= np.uint32(0x2C1B3C6D)
+            x >>= np.uint32(32 - TABLE_BITS)
+            x += np.uint32(i << TABLE_BITS)
+            cells.append(x)
+    return Events(token, code.nodes.take(spot), code.bits.take(spot), tuple(cells))
 
 
 def inputs(model: Model, e: Events) -> tuple[list[np.ndarray], np.ndarray]:
     """The predictors' log odds and the gate of every bit."""
-    a, b = model.cells[e.cells[0]], model.cells[e.cells[1]]
-    odds = [model.code.node_odds[e.node], (a & 255).astype(np.float32) / 16 - 8, (b & 255).astype(np.float32) / 16 - 8]
-    return odds, ((a >> 8) * LEVELS + (b >> 8)).astype(np.int64)
+    a, b = model.cells.take(e.cells[0]), model.cells.take(e.cells[1])
+    odds = [model.code.node_odds.take(e.node)]
+    for x in (a, b):
+        x = (x & np.uint16(255)).astype(np.float32)
+        x *= np.float32(1 / 16)
+        x -= np.float32(8)
+        odds.append(x)
+    return odds, ((a >> np.uint16(8)) * np.uint16(LEVELS) + (b >> np.uint16(8))).astype(np.int64)
 
 
 def cell_values(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -156,18 +173,21 @@ def cell_values(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 
 def mixed(model: Model, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-    w = model.weights
-    return sum(w[gate, i] * x for i, x in enumerate(odds))
+    return sum(np.ascontiguousarray(model.weights[:, i]).take(gate) * x for i, x in enumerate(odds))
 
 
 def _probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -14, 14)))
 
 
+def _slots(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Places in the map of what odds were worth."""
+    return gate * 33 + np.clip(np.round(z * 2 + 16), 0, 32).astype(np.int64)
+
+
 def refined(model: Model, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """Half the mixture's probability, half what such odds were worth in the tuning texts."""
-    p = _probability(z)
-    return 0.5 * (p + model.refine[gate, np.clip(np.round(z * 2 + 16), 0, 32).astype(np.int64)])
+    """Half the mixture's probability, half what such odds were worth in the training texts."""
+    return 0.5 * (_probability(z) + model.refine.ravel().take(_slots(z, gate)))
 
 
 def correct(odds: list[np.ndarray], z: np.ndarray, bit: np.ndarray, block: np.ndarray, text: np.ndarray, rate: float) -> np.ndarray:
@@ -187,7 +207,7 @@ def correct(odds: list[np.ndarray], z: np.ndarray, bit: np.ndarray, block: np.nd
         sums = np.add.reduceat(error * x, block)
         ahead = np.cumsum(sums) - sums
         ahead -= np.repeat(ahead[begin], np.diff(np.append(begin, len(text))))
-        z = z + np.repeat(step * ahead, sizes) * x
+        z = z + np.repeat((step * ahead).astype(z.dtype), sizes) * x
     return z
 
 
@@ -206,20 +226,33 @@ def log10_by_token(model: Model, symbols: np.ndarray, fresh: np.ndarray) -> np.n
     return np.bincount(e.token, weights=np.log10(np.clip(p, 1e-6, 1 - 1e-6)), minlength=len(symbols))
 
 
-def _token_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, word hashes of those rows, and each row's first word (one more at the end)."""
-    texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+def _runs(begin: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about RUN_TOKENS tokens, or one long text; ``begin`` says where texts begin."""
     at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < 6 * BATCH_TOKENS):
-            size += len(texts[end])
-            end += 1
-        hashes, first = word_hashes(texts[at:end], seed=3)
-        yield at, end, hashes, first
+    while at < len(begin):
+        end = max(at + 1, int(np.searchsorted(begin, begin[at] + RUN_TOKENS, "right")) - 1)
+        stop = begin[end] if end < len(begin) else n
+        yield int(begin[at]), int(stop)
         at = end
 
 
+def _token_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[int]]]:
+    """Row range, word hashes of those rows, each row's first word (one more at the end), and each row's bytes."""
+    column = batch.column("text")
+    at = 0
+    while at < len(column):
+        texts, size = [], 0
+        while at + len(texts) < len(column):
+            text = (column[at + len(texts)].as_py() or "").encode()
+            if texts and size + len(text) >= 6 * BATCH_TOKENS:
+                break
+            texts.append(text)
+            size += len(text)
+        hashes, first = word_hashes(texts, seed=3)
+        yield at, at + len(texts), hashes, first, [len(t) for t in texts]
+        at += len(texts)
+
+
 def _with_ends(code: Code, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols with an end after every text, marks of first tokens, and where texts begin."""
     n = len(first) - 1
@@ -242,7 +275,7 @@ def _count_words() -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["h", "c"])
 
         for batch in batches:
-            for _, _, hashes, _ in _token_batches(batch):
+            for _, _, hashes, _, _ in _token_batches(batch):
                 held.append(hashes)
                 size += len(hashes)
             if size > 4_000_000:
@@ -253,30 +286,65 @@ def _count_words() -> Callable:
     return run
 
 
-def _count_bits(model_code) -> Callable:
-    """Task function: the cells' counts of ones and zeros over this task's texts."""
+def _tally_places(levels: list[np.ndarray], odds: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """Places in a tally, which counts bits by the cells' levels, the predictors' rounded log odds and the bit."""
+    at = levels[0].astype(np.int32) * np.int32(LEVELS) + levels[1]
+    for x in odds:
+        at *= np.int32(ODDS)
+        at += np.clip(np.rint(x), -8, 8).astype(np.int32) + np.int32(8)
+    return at * np.int32(2) + bit
+
+
+def _tally(code: Code, counts: np.ndarray, e: Events, tally: np.ndarray) -> None:
+    """Add to the tally what counts of (zeros, ones) that do not hold these bits predict of them."""
+    levels, odds = [], [code.node_odds.take(e.node)]
+    for cells in e.cells:
+        pair = counts.view("<u8").take(cells)
+        ones, zeros = (pair >> U64(32)).astype(np.float32), (pair & U64(0xFFFFFFFF)).astype(np.float32)
+        n = ones + zeros
+        level = (n > 0).astype(np.uint8)
+        for i in range(1, LEVELS - 1):
+            level += n >= 1 << i
+        levels.append(level)
+        ones += np.float32(0.3)
+        zeros += np.float32(0.3)
+        ones /= zeros
+        odds.append(np.log(ones, out=ones))
+    np.add.at(tally, _tally_places(levels, odds, e.bit), tally.dtype.type(1))
+
+
+def _packed_chunks(first: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(parts), 16):
+        some = [zlib.compress(x.tobytes(), 1) for x in parts[at : at + 16]]
+        chunks = pa.array(range(first + at, first + at + len(some)), pa.int64())
+        yield pa.RecordBatch.from_arrays([chunks, pa.array(some, pa.binary())], ["chunk", "data"])
+
+
+def _count_bits(model_code, tallied: bool = False) -> Callable:
+    """Task function: the cells' counts of ones and zeros over this task's texts; if asked, then the tally as one more chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(**model_code.value)
         counts = np.zeros(TABLES << (TABLE_BITS + 1), dtype=np.uint32)
+        tally = np.zeros(TALLY, dtype=np.uint32)
         for batch in batches:
-            for _, _, hashes, first in _token_batches(batch):
-                symbols, fresh, _ = _with_ends(code, hashes, first)
-                e = events(code, symbols, fresh)
-                for cells in e.cells:
-                    np.add.at(counts, 2 * cells + e.bit, np.uint32(1))
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, TABLES * CHUNKS)]
-        for at in range(0, len(parts), 16):
-            some = parts[at : at + 16]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.binary())], ["chunk", "data"]
-            )
+            for _, _, hashes, first, _ in _token_batches(batch):
+                symbols, fresh, begin = _with_ends(code, hashes, first)
+                for at, end in _runs(begin, len(symbols)):
+                    e = events(code, symbols[at:end], fresh[at:end])
+                    if tallied:
+                        _tally(code, counts, e, tally)
+                    for cells in e.cells:
+                        np.add.at(counts, 2 * cells + e.bit, np.uint32(1))
+        yield from _packed_chunks(0, np.split(counts, TABLES * CHUNKS))
+        if tallied:
+            yield from _packed_chunks(TABLES * CHUNKS, [tally])
 
     return run
 
 
 def _sum_cells() -> Callable:
-    """Task function: adds up the counts of its chunks as they come in, one task's after another's."""
+    """Task function: adds up its chunks as they come in, one task's after another's; of cells it gives their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -286,7 +354,7 @@ def _sum_cells() -> Callable:
                 if chunk not in totals:
                     totals[chunk] = np.zeros(len(counts), dtype=np.int64)
                 totals[chunk] += counts
-        values = [cell_values(t[1::2], t[0::2]).tobytes() for t in totals.values()]
+        values = [(cell_values(t[1::2], t[0::2]) if c < TABLES * CHUNKS else t).tobytes() for c, t in totals.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(totals), pa.int64()), pa.array(values, pa.binary())], ["chunk", "data"]
         )
@@ -294,34 +362,39 @@ def _sum_cells() -> Callable:
     return run
 
 
-def tune(code: Code, cells: np.ndarray, symbols: np.ndarray, fresh: np.ndarray) -> Model:
-    """Mixing weights, refinement and correction rate from texts that the cells have not counted."""
-    gates = LEVELS * LEVELS
-    weights = np.tile(np.array([0.4, 0.4, 0.4], dtype=np.float32), (gates, 1))
-    model = Model(code, cells, weights, np.tile(_probability((np.arange(33) - 16) / 2), (gates, 1)))
-    if not len(symbols):
-        return replace(model, weights=np.tile(np.array([1, 0, 0], dtype=np.float32), (gates, 1)))
-    e = events(code, symbols, fresh)
-    odds, gate = inputs(model, e)
-    n = np.maximum(np.bincount(gate, minlength=gates), 1)
-    m, v = np.zeros((gates, 3)), np.zeros((gates, 3))
+def fit(code: Code, cells: np.ndarray, tally: np.ndarray) -> Model:
+    """Mixing weights and refinement from a tally; its size does not grow with the texts."""
+    weights = np.tile(np.array([0.4, 0.4, 0.4], dtype=np.float32), (GATES, 1))
+    spots = np.flatnonzero(tally)
+    if not len(spots):
+        usual = np.tile(_probability((np.arange(33) - 16) / 2), (GATES, 1))
+        return Model(code, cells, np.tile(np.array([1, 0, 0], dtype=np.float32), (GATES, 1)), usual)
+    times, bit, at = tally[spots].astype(float), spots % 2, spots // 2
+    odds = [at // ODDS**i % ODDS - 8.0 for i in (2, 1, 0)]
+    gate = at // ODDS**3
+    n = np.maximum(np.bincount(gate, weights=times, minlength=GATES), 1)
+    m, v = np.zeros((GATES, 3)), np.zeros((GATES, 3))
     w = weights.astype(float)
     for t in range(1, 81):
-        error = _probability(sum(w[gate, i] * x for i, x in enumerate(odds))) - e.bit
+        error = times * (_probability(sum(w[gate, i] * x for i, x in enumerate(odds))) - bit)
         for i, x in enumerate(odds):
-            g = np.bincount(gate, weights=error * x, minlength=gates) / n + 0.0005 * (w[:, i] - weights[:, i])
+            g = np.bincount(gate, weights=error * x, minlength=GATES) / n + 0.0005 * (w[:, i] - weights[:, i])
             m[:, i] = 0.9 * m[:, i] + 0.1 * g
             v[:, i] = 0.99 * v[:, i] + 0.01 * g * g
             w[:, i] -= 0.05 * (m[:, i] / (1 - 0.9**t)) / (np.sqrt(v[:, i] / (1 - 0.99**t)) + 1e-8)
-    model = replace(model, weights=w.astype(np.float32))
-    z = mixed(model, odds, gate)
-    slot = gate * 33 + np.clip(np.round(z * 2 + 16), 0, 32).astype(np.int64)
-    seen = np.bincount(slot, minlength=gates * 33)
-    ones = np.bincount(slot, weights=e.bit, minlength=gates * 33)
-    prior = np.tile(_probability((np.arange(33) - 16) / 2), gates)
-    model = replace(model, refine=((ones + 500 * prior) / (seen + 500)).reshape(gates, 33))
-    totals = [log10_by_token(replace(model, rate=r), symbols, fresh).sum() for r in RATES]
-    return replace(model, rate=RATES[int(np.argmax(totals))])
+    slot = _slots(sum(w[gate, i] * x for i, x in enumerate(odds)), gate)
+    seen = np.bincount(slot, weights=times, minlength=GATES * 33)
+    ones = np.bincount(slot, weights=times * bit, minlength=GATES * 33)
+    prior = np.tile(_probability((np.arange(33) - 16) / 2), GATES)
+    return Model(code, cells, w.astype(np.float32), ((ones + 500 * prior) / (seen + 500)).reshape(GATES, 33))
+
+
+def tune(code: Code, cells: np.ndarray, symbols: np.ndarray, fresh: np.ndarray) -> Model:
+    """The model for given cells, fitted to texts that these have not counted."""
+    e = events(code, symbols, fresh)
+    odds, gate = inputs(Model(code, cells, np.zeros((GATES, 3)), np.zeros((GATES, 33))), e)
+    places = _tally_places([gate // LEVELS, gate % LEVELS], odds, e.bit)
+    return fit(code, cells, np.bincount(places, minlength=TALLY))
 
 
 def _score(model_cell) -> Callable:
@@ -335,23 +408,22 @@ def _score(model_cell) -> Callable:
         names = ["kind", "row", "doc_id", "held_out", "n_tokens", "n_other", "logs", "score", "h", "tf", "n_bytes"]
         for batch in batches:
             docs, folds = batch.column("doc_id"), batch.column("held_out")
-            texts = batch.column("text")
-            for at, end, hashes, first in _token_batches(batch):
+            for at, end, hashes, first, lengths in _token_batches(batch):
                 symbols, fresh, begin = _with_ends(code, hashes, first)
                 n = end - at
-                score = np.add.reduceat(log10_by_token(model, symbols, fresh), begin)
+                runs = [log10_by_token(model, symbols[i:j], fresh[i:j]) for i, j in _runs(begin, len(symbols))]
+                score = np.add.reduceat(np.concatenate(runs), begin)
                 known = np.add.reduceat(logs[symbols], begin)
                 other = np.add.reduceat((symbols == code.other).astype(np.int64), begin)
                 sizes = np.diff(np.append(begin, len(symbols)))
                 rows = task + seen + np.arange(n)
                 seen += n
                 zero = pa.nulls(n, pa.int64())
-                lengths = [len((t or "").encode()) for t in texts.slice(at, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(n, np.int64)), pa.array(rows), docs.slice(at, n), folds.slice(at, n), pa.array(sizes), pa.array(other), pa.array(known), pa.array(score), zero, zero, pa.array(lengths, pa.int64())],
                     names,
                 )
-                rare = np.flatnonzero(code.symbols(hashes) == code.other)
+                rare = np.flatnonzero(np.delete(symbols, begin + sizes - 1) == code.other)
                 owner = np.searchsorted(first, rare, "right") - 1
                 order = np.lexsort((hashes[rare], owner))
                 h, owner = hashes[rare][order], owner[order]
@@ -398,23 +470,20 @@ def score_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", cod
     order = np.argsort(h)
     code = huffman(h[order], c[order], int(sums[0] - c.sum()), ends)
     others, kinds = int(sums[0] - c.sum()), sums[1] - len(h)
-    # A bounded set of texts tunes the mixture; the cells count all other training texts.
-    place = F.xxhash64(F.lit(11), "doc_id", "text")
-    last = learn.select(place.alias("p")).orderBy("p").limit(min(TUNING_TEXTS, max(1, ends // 4))).agg(F.max("p")).first()[0]
-    tuning = place <= F.lit(last if last is not None else 0)
     shipped = spark.sparkContext.broadcast(vars(code))
-    bits = learn.filter(~tuning).select("text").mapInArrow(_count_bits(shipped), "chunk long, data binary")
+    bits = learn.select("text").mapInArrow(_count_bits(shipped, tallied=True), "chunk long, data binary")
     # Chunks stream through their tasks, so memory follows the tables and not the corpus.
     dealt = bits.repartition(TABLES * CHUNKS, "chunk")
     found = dealt.mapInArrow(_sum_cells(), "chunk long, data binary").collect()
     cells = np.full(TABLES << TABLE_BITS, 128, dtype=np.uint16)
+    tally = np.zeros(TALLY, dtype=np.int64)
     width = len(cells) // (TABLES * CHUNKS)
     for r in found:
-        cells[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.data, np.uint16)
-    texts = [(r.text or "").encode() for r in learn.filter(tuning).select("text").limit(TUNING_TEXTS).collect()]
-    hashes, first = word_hashes(texts, seed=3)
-    symbols, fresh, _ = _with_ends(code, hashes, first) if texts else (np.zeros(0, np.int64), np.zeros(0, bool), None)
-    model = tune(code, cells, symbols[:TUNING_TOKENS], fresh[:TUNING_TOKENS])
+        if r.chunk < TABLES * CHUNKS:
+            cells[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.data, np.uint16)
+        else:
+            tally = np.frombuffer(r.data, np.int64)
+    model = fit(code, cells, tally)
     parts = rows.mapInArrow(
         _score(spark.sparkContext.broadcast({**vars(model), "code": vars(code)})),
         "kind long, row long, doc_id long, held_out boolean, n_tokens long, n_other long, logs double, "

@@ -354,6 +354,28 @@ def test_lm_cells_add_up_whole_counts():
     assert (np.concatenate([got[i] for i in sorted(got)]) == lm_scoring.cell_values(want[1::2], want[0::2])).all()
 
 
+def test_lm_fits_to_every_training_text(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 400) % 50) for _ in range(700)]
+    fitted, fit = [], lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a: fitted.append(a) or fit(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm_scoring.score_texts(docs).count() == len(texts)
+    (code, cells, tally), = fitted
+    learn = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    hashes, first = lm_scoring.word_hashes(learn, seed=3)
+    symbols, fresh, _ = lm_scoring._with_ends(code, hashes, first)
+    e = lm_scoring.events(code, symbols, fresh)
+    # More than 200,000 tokens: all their bits are tallied once, and all are counted in the cells.
+    assert len(symbols) > 200_000 and tally.sum() == len(e.bit)
+    counts = np.zeros(lm_scoring.TABLES << (lm_scoring.TABLE_BITS + 1), dtype=np.int64)
+    for at in e.cells:
+        np.add.at(counts, 2 * at + e.bit, 1)
+    assert (cells == lm_scoring.cell_values(counts[1::2], counts[0::2])).all()
+    # What is tallied was not counted yet: the first bits of a task meet empty cells.
+    assert tally.reshape(lm_scoring.GATES, -1)[0].sum() > 0
+
+
 def test_lm_odd(spark):
     out = {r.doc_id: r for r in lm_scoring.score_texts(odd_docs(spark)).collect()}
     assert len(out) == len({d for d, *_ in ODD}) and out[2].n_tokens == out[3].n_tokens == out[4].n_tokens == 1
