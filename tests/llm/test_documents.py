@@ -354,6 +354,39 @@ def test_lm_cells_add_up_whole_counts():
     assert (np.concatenate([got[i] for i in sorted(got)]) == lm_scoring.cell_values(want[1::2], want[0::2])).all()
 
 
+def test_ngram_groups_of_the_same_sets_are_compared_once(spark, monkeypatch):
+    texts = [" ".join(f"w{j}" for j in range(40)) + (f" x{i}" if i else "") for i in range(6)] + ["a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(*ngram_join.row_name(docs), "text")
+    sigs = [ngram_join.signature(x) for x in ngram_join.shingle_sets([t.encode() for t in texts])]
+    body = {r.doc_id: r.body for r in rows.collect()}
+    reps = spark.createDataFrame(
+        [(s, (i, body[i]), 40) for i, s in enumerate(sigs)], "sig long, rep struct<doc_id: long, body: long>, size long"
+    )
+    # Tokens 1 to 9 of both orders have the first six sets; token 10 has one more, and token 11 lacks one.
+    groups = [(o, t, sigs[:6]) for o in (0, 1) for t in range(1, 10)] + [(0, 10, sigs), (1, 11, sigs[:5])]
+    left = spark.createDataFrame(
+        [(o, t, s, 37, 200, s, min(x)) for o, t, x in groups for s in x],
+        "ord long, token long, sig long, n long, members long, comp long, main long",
+    )
+    rows_of, keep = [], ngram_join.materialize
+
+    def counted(df, tag, **options):
+        out = keep(df, tag, **options)
+        if tag == "ngram-block-rows":
+            rows_of.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    links = {(r.a, r.b) for r in ngram_join._across_blocks(rows, reps, left).collect()}
+    assert rows_of == [5 + 6 + 4, 6 + 7 + 5]
+    root = {s: s for s in sigs}
+    for _ in sigs:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert [root[s] == root[sigs[0]] for s in sigs] == [True] * 6 + [False]
+
+
 def test_lm_fits_to_every_training_text(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 400) % 50) for _ in range(700)]
