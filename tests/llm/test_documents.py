@@ -387,6 +387,21 @@ def test_ngram_groups_of_the_same_sets_are_compared_once(spark, monkeypatch):
     assert [root[s] == root[sigs[0]] for s in sigs] == [True] * 6 + [False]
 
 
+def test_ngram_pairs_of_unlike_sizes_are_not_gone_through(spark, monkeypatch):
+    """A token of two sets whose sizes cannot be similar is dropped where it is found; near copies stay linked."""
+    long = [f"w{j}" for j in range(80)]
+    texts = [" ".join(long), " ".join(long[70:78]), " ".join(long[:78]), "a b c d e f g h", "a b c d e f g h i"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, keep = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag, **o: met.setdefault(tag, keep(df, tag, **o)) if tag == "ngram-members" else keep(df, tag, **o))
+    pair = ngram_join.jaccard_components(docs.filter("doc_id < 2"))
+    assert {(r.doc_id, r.component_id) for r in pair.collect()} == {(0, 0), (1, 1)}
+    assert met.pop("ngram-members").isEmpty()
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
+    assert not met["ngram-members"].isEmpty()
+
+
 def test_lm_fits_to_every_training_text(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 400) % 50) for _ in range(700)]
