@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrounds.llm.common import small_batches
 from sparkrounds.llm.tokens import word_ids
 from sparkrounds.plans.lineage import materialize
 
@@ -225,16 +226,15 @@ def pack(
     are kept as they are: every row of ``docs`` is a document.  An empty table
     gives no rows.  Other columns are not read, so their names cannot clash.
     """
-    ids = materialize(
-        docs.select(
-            F.col(f"`{key}`").cast("long").alias("doc_id"),
-            F.col(f"`{text}`").cast("string").alias("text"),
-        ).mapInArrow(
-            _encode(tokenizer, window, end),
-            "doc_id long, n long, rem long, task long, turn long, windows long, ids binary",
-        ),
-        "pack-ids",
+    encoded = docs.select(
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
+        F.col(f"`{text}`").cast("string").alias("text"),
+    ).mapInArrow(
+        _encode(tokenizer, window, end),
+        "doc_id long, n long, rem long, task long, turn long, windows long, ids binary",
     )
+    with small_batches(docs.sparkSession):
+        ids = materialize(encoded, "pack-ids")
     cells = ids.groupBy("task", "rem").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.expr(f"n div {window}")).alias("whole")
     )

@@ -515,6 +515,21 @@ def test_packing(spark):
     check_packing(pieces, [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_texts_pass_to_python_in_small_batches(spark, monkeypatch):
+    """Encoding and shingling take at most 1,000 rows at once, whatever the session's own bound, which stays."""
+    bound, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", set()
+    before = spark.conf.get(bound)
+    assert int(before) > 1000
+    for module in (packing, ngram_join):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, tag, keep=keep, **o: seen.add((tag, spark.conf.get(bound))) or keep(df, tag, **o))
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.format_string("a b c %d d e", "id").alias("text"))
+    assert packing.pack(docs, tokenizer=tokenizer_path()).count() >= 2500
+    assert ngram_join.jaccard_components(docs).count() == 2500
+    assert {("pack-ids", "1000"), ("ngram-profile", "1000"), ("ngram-prefixes", "1000")} <= seen
+    assert spark.conf.get(bound) == before
+
+
 def test_packing_odd(spark):
     once = [r for i, r in enumerate(ODD) if i != 1]
     check_packing(packing.pack(odd_docs(spark, once), tokenizer=tokenizer_path()).collect(), [r[:2] for r in once])
