@@ -123,6 +123,16 @@ def test_coreset_clusters_like_the_data(spark, blobs):
     assert reduced <= 1.3 * full
 
 
+def test_kmeans_step_reads_centers_as_numbers(spark, blobs):
+    """A step takes no center out of an array for every point, and gives the same means as the general one."""
+    places = {0: (0.0, 0.0), 1: (5.0, 5.0), 2: (-3.0, 4.0)}
+    step = kmeans._step(blobs, places, 12)
+    assert "get(centers" not in step._jdf.queryExecution().analyzed().toString()
+    centers = spark.createDataFrame([(c, x, y) for c, (x, y) in places.items()], CENTERS)
+    general = kmeans._means(kmeans.nearest_center(blobs, centers), 12)
+    assert sorted(map(tuple, step.collect())) == sorted(map(tuple, general.collect()))
+
+
 def test_kmeans_ignores_partitioning(spark, blobs):
     fits = {tuple(map(tuple, kmeans.kmeans_fit(blobs.repartition(p), 3, seed=2).collect())) for p in (1, 7, 200)}
     assert len(fits) == 1
