@@ -402,6 +402,29 @@ def test_ngram_pairs_of_unlike_sizes_are_not_gone_through(spark, monkeypatch):
     assert not met["ngram-members"].isEmpty()
 
 
+def test_ngram_copies_are_looked_at_once(spark, monkeypatch):
+    """One row of a set gives its tokens, whatever task its copies are in; those without a key or with the same one too."""
+    text, near, other = (" ".join(f"{x}{j}" for j in range(60)) for x in "wvu")
+    rows = [(4, text), (1, text), (None, text), (1, text + "\n"), (2, near), (7, near + " end"), (3, other), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id", "text")
+    assert docs.select(F.spark_partition_id()).distinct().count() > 4
+    tokens, keep = [], ngram_join.materialize
+
+    def counted(df, tag, **options):
+        out = keep(df, tag, **options)
+        if tag == "ngram-prefixes":
+            tokens.append({(r.sig, r.n): r["count"] for r in out.groupBy("sig", "n").count().collect()})
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    found = ngram_join.jaccard_components(docs).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(
+        [(4, 56, 1), (1, 56, 1), (None, 56, 1), (1, 56, 1), (2, 56, 2), (7, 57, 2), (3, 56, 3), (None, 0, None)], key=str
+    )
+    # Only the two near copies share tokens with another set.
+    assert len(tokens) == 1 and sorted(n for _, n in tokens[0]) == [56, 57]
+
+
 def test_lm_fits_to_every_training_text(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 400) % 50) for _ in range(700)]
