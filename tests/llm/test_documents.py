@@ -504,6 +504,30 @@ def test_repeats_odd(spark):
 # Packing
 
 
+def test_suffix_tables_grow_with_the_texts(spark, monkeypatch):
+    """Few texts have small tables, and a file of a table has few chunks, so little of it comes to the driver at once."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1000, n))
+    shared = word(120)
+    texts = [f"{word(60)} {shared} {word(60)}" if i < 6 else word(200) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables, keep = [], suffix_dedup._table
+    monkeypatch.setattr(suffix_dedup, "_table", lambda *a: tables.append(keep(*a)) or tables[-1])
+    stored, write = [], ngram_join.materialize
+
+    def counted(df, tag, **options):
+        out = write(df, tag, **options)
+        stored.append(max(r["count"] for r in out.groupBy(F.input_file_name()).count().collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    out = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [out[i].n_removed > 300 for i in range(12)] == [i < 6 for i in range(12)]
+    assert [len(t) for t in tables] == [1, 1, 2] and sum(x.nbytes for t in tables for x in t) < 1 << 18
+    assert max(stored) <= 8
+    assert [suffix_dedup.cell_bits(n) for n in (0, 10**7, 10**12)] == [16, 22, 27]
+
+
 def check_packing(pieces, docs, window=2048):
     from tokenizers import Tokenizer
 
@@ -553,6 +577,19 @@ def test_texts_pass_to_python_in_small_batches(spark, monkeypatch):
     assert spark.conf.get(bound) == before
 
 
+def test_rows_with_texts_or_ids_pass_to_python_in_small_batches(spark, monkeypatch):
+    """Placing pieces and judging whole rows take at most 1,000 rows at once too."""
+    bound, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", set()
+    for module in (packing, toxicity):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, tag, keep=keep, **o: seen.add((tag, spark.conf.get(bound))) or keep(df, tag, **o))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.format_string("a b c %d d e", "id").alias("text"))
+    labels = docs.select("doc_id", F.expr("int(doc_id % 2)").alias("toxic"))
+    assert packing.pack(docs, tokenizer=tokenizer_path()).count() >= 300
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    assert {("pack-pieces", "1000"), ("toxic-clean", "1000")} <= seen
+
+
 def test_packing_odd(spark):
     once = [r for i, r in enumerate(ODD) if i != 1]
     check_packing(packing.pack(odd_docs(spark, once), tokenizer=tokenizer_path()).collect(), [r[:2] for r in once])
