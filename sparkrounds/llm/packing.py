@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkrounds.llm.common import small_batches
 from sparkrounds.llm.tokens import word_ids
-from sparkrounds.plans.lineage import materialize
+from sparkrounds.plans.lineage import discard, materialize
 
 WINDOW = 2048
 END = 1
@@ -258,4 +258,7 @@ def pack(
         (F.col("windows") + F.col("ahead")).alias("window"),
         "ids",
     )
-    return placed.mapInArrow(_place(plan), PIECES)
+    with small_batches(docs.sparkSession):
+        pieces = materialize(placed.mapInArrow(_place(plan), PIECES), "pack-pieces")
+    discard(ids, cells)
+    return pieces

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrounds.llm.common import small_batches
 from sparkrounds.plans.lineage import materialize
 
 SAMPLE_ROWS = 20_000
@@ -298,4 +299,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, model, keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
     said = F.coalesce(F.col(f"c{docs.columns.index('text')}").cast("string"), F.lit(""))
     clean = scored.filter((F.col("score") < 0.5) | (said == ""))
+    # Whole rows pass through Python and back.
+    with small_batches(docs.sparkSession):
+        clean = materialize(clean.drop("score"), "toxic-clean")
     return clean.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
