@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrounds.catalog import QUERIES
 from sparkrounds.operators import evaluate, runlog
 from sparkrounds.schemas import CORESET_RUNLOG, GRAPH_RUNLOG
 from sparkrounds.sources import io
@@ -128,3 +129,15 @@ def test_sweeps_log_what_they_ran(spark):
     runs = evaluate.coreset_eval([("Blobs", points, 3)], seeds=(100,), fractions=(0.1,), sets=2)
     shown = {(r["SamplingMethod"], r["SampleSize"], len(r["RoundTimes"])) for r in runs.collect()}
     assert shown == {("Grid", 0.0, 2), ("Ball", 30.0, 2)}
+
+
+def test_the_coreset_query_runs_every_seed_and_fraction(spark, tmp_path, monkeypatch):
+    rows = [(i, f"2024-01-01 {i % 24:02d}:00:00", float(i)) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    centers = spark.createDataFrame([(0, 1.0, 2.0)], "c int, cx double, cy double")
+    monkeypatch.setattr(evaluate, "kmeans_fit", lambda points, k, **_: centers)
+    monkeypatch.setattr(evaluate, "coreset_merge_reduce", lambda points, k, **_: points.limit(7))
+    found = [(r["Seed"], r["SamplingMethod"], r["SampleSize"]) for r in QUERIES["coreset_eval"](spark, str(tmp_path)).collect()]
+    sizes = [("Grid", 0.0), *(("Ball", f * 40) for f in (0.001, 0.01, 0.1))]
+    assert found == [(seed, *size) for seed in (100, 101, 102, 105, 106) for size in sizes]
