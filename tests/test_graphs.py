@@ -304,3 +304,52 @@ def test_sweep_equals_its_configurations_one_by_one(spark):
             want.append((method, s, len(mine), len(tree), sum(e[2] for e in tree)))
     assert sorted(map(tuple, found)) == sorted(want)
     assert stored == [6 * 900]
+
+
+def test_timed_sweep_stores_and_hashes_an_edge_once(spark):
+    edges = table(spark, random_graph(80, 900, 6))
+    stored = {}
+    keep = evaluate.materialize_measured
+
+    def watched(df, tag, *options, **measures):
+        out, seen = keep(df, tag, *options, **measures)
+        stored[tag] = seen["rows"]
+        return out, seen
+
+    calls = []
+    solve = evaluate.mst_filtering
+
+    def solved(rows, **options):
+        calls.append((rows.columns, options["stored_rows"], rows.count(), options["n_vertices"], filtering.vertices_of(rows).count()))
+        return solve(rows, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(evaluate, "materialize_measured", watched)
+        patch.setattr(evaluate, "mst_filtering", solved)
+        log = evaluate.table_eval(edges, methods=("UNIQUE",), sparsities=(1.0, 0.2)).collect()
+    assert stored == {"sweep-wide": 900}
+    assert [c[0] for c in calls] == [["src", "dst", "w", "dealt"]] * 2
+    assert all(c[1] == c[2] and c[3] == c[4] for c in calls)
+    assert [(r["Sparsity"], r["Vertices"]) for r in log] == [(1.0, calls[0][3]), (0.2, calls[1][3])]
+
+
+def test_filtering_of_stored_edges_equals_filtering(spark):
+    edges = random_graph(70, 1500, 4, ties=True)
+    rows = table(spark, edges)
+    dealt = rows.withColumn("dealt", filtering.first_deal(5))
+    want = filtering.mst_filtering(rows, seed=5)
+    found = filtering.mst_filtering(dealt, seed=5, stored_rows=1500)
+    assert want.rounds == found.rounds > 0
+    for a, b in ((want.tree, found.tree), (want.forests, found.forests)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(map(tuple, found.tree.collect())) == sorted(kruskal(edges)[0])
+
+
+def test_order_of_tied_edges_whatever_their_ids():
+    draw = np.random.default_rng(1)
+    for w in (draw.random(2000), draw.integers(0, 9, 2000).astype(float), np.ones(2000)):
+        for most in (100, 1 << 40, (1 << 62) + 5):
+            ends = np.unique(draw.integers(-most, most, (2000, 2)), axis=0)
+            src, dst = ends[draw.permutation(len(ends))].T
+            some = w[: len(src)]
+            assert np.array_equal(forests._weight_order(some, src, dst), np.lexsort((dst, src, some)))
