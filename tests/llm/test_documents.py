@@ -642,3 +642,37 @@ def test_ngram_odd(spark):
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in out}
     assert by[6] == (by[5][0], 5) and by[11] == (1, 10) and by[2] == (0, 2) and by[4] == (0, 4)
     assert ngram_join.jaccard_components(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_ngram_cells_travel_as_distances():
+    draw = np.random.default_rng(3)
+    for most, size in ((1 << 22, 20_000), (1 << 22, 5), (3, 50), (1, 0)):
+        cells = np.sort(draw.integers(0, most, size)).astype(np.uint32)
+        data = ngram_join.packed_cells(cells)
+        assert np.array_equal(ngram_join.unpacked_cells(data), cells)
+        assert size < 20_000 or len(data) == 1 + 2 * size
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_ngram_small_groups_are_not_stored_and_sets_are_dealt_out_only_if_repeated(spark, monkeypatch, times):
+    """Words 0 to 59 with one more each are near copies of the first; repeated rows bring a set twice."""
+    texts = [" ".join(f"w{j}" for j in range(60)) + (f" x{i}" if i else "") for i in range(4)] + ["another text of its own, you see"]
+    docs = spark.createDataFrame(list(enumerate(texts)) * times, "doc_id long, text string")
+    stored, keep = {}, ngram_join.materialize
+
+    def watched(df, tag, **options):
+        out = keep(df, tag, **options)
+        stored.setdefault(tag, []).append(out.count())
+        return out
+
+    def watched_counted(df, tag):
+        out = watched(df, tag)
+        return out, out.count()
+
+    monkeypatch.setattr(ngram_join, "materialize", watched)
+    monkeypatch.setattr(ngram_join, "materialize_counted", watched_counted)
+    found = sorted(tuple(r) for r in ngram_join.jaccard_components(docs).select("doc_id", "component_id").collect())
+    assert found == sorted([(0, 0), (1, 0), (2, 0), (3, 0), (4, 4)] * times)
+    assert stored["ngram-left"] == [0] and "ngram-fetched" not in stored
+    full = [n for n in stored["ngram-sets"] if n]
+    assert full == ([4] if times == 1 else [8, 4])
